@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions.numeric import logistic
 from siftwork.sources.corpus import LABEL, PREDICTION
+from siftwork.sources.durable import durable
 
 # Fixed values.
 MIN_LABELS = 10
@@ -73,18 +74,21 @@ def fit(
 
     The objective is the summed log loss with balanced class weights plus half the squared
     coefficients (C = 1, intercept free). Balanced weights sum to the number of rows, so dividing by
-    it gives the mean loss and a regularisation of 1 / (C rows).
+    it gives the mean loss and a regularisation of 1 / (C rows). The labelled rows are written once,
+    so that iterations read numbers and never compute features again.
     """
     if not features:
         return None
-    status = seed_status(training, label_col).first()
+    labelled = training.where(F.col(label_col) != -1).select(*features, label_col)
+    labelled = durable(labelled, "training")
+    status = seed_status(labelled, label_col).first()
     if not status["seeded"]:
         return None
     n = status["labelled"]
     weight = F.when(F.col(label_col) == 1, n / (2.0 * status["interesting"])).otherwise(
         n / (2.0 * status["uninteresting"])
     )
-    rows = training.where(F.col(label_col) != -1).select(
+    rows = labelled.select(
         *features, F.col(label_col).cast("double").alias("_target"), weight.alias("_weight")
     )
     assembled = VectorAssembler(inputCols=list(features), outputCol="_vector").transform(rows)

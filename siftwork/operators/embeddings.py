@@ -61,8 +61,12 @@ def extend_cache(
 def embedding_similarity(
     embeddings: DataFrame, reference: Column, floor: float = 0.25, id_col: str = "doc_id"
 ) -> DataFrame:
-    """Rows (id, cosine, feature): similarity to a reference vector, raw and as a feature value."""
-    raw = embeddings.select(id_col, cosine(F.col("embedding"), reference).alias("cosine"))
+    """Rows (id, cosine, feature): similarity to a reference vector, raw and as a feature value.
+
+    The reference may be a literal, a column or a scalar subquery.
+    """
+    paired = embeddings.select(id_col, "embedding", reference.alias("_reference"))
+    raw = paired.select(id_col, cosine(F.col("embedding"), F.col("_reference")).alias("cosine"))
     return raw.withColumn("feature", similarity_activation(F.col("cosine"), floor))
 
 

@@ -79,8 +79,9 @@ def featurize(
     if embedding_specs:
         if embeddings is None:
             raise ValueError("embedding features need a table of cached embeddings")
+        embedded_keys = [key for key in keys if key in embeddings.columns]
         found = embeddings.select(
-            *keys,
+            *embedded_keys,
             *[
                 similarity_activation(
                     cosine(F.col("embedding"), vector_literal(s.reference)), s.floor
@@ -88,7 +89,7 @@ def featurize(
                 for s in embedding_specs
             ],
         )
-        featured = featured.join(found, keys, "left")
+        featured = featured.join(found, embedded_keys, "left")
     for s in embedding_specs:
         weighted[s.column] = F.coalesce(F.col(s.column), F.lit(0.0)) * F.lit(float(s.weight))
 

@@ -27,21 +27,25 @@ def sort_columns(order: Order) -> list[Column]:
     ]
 
 
-def _before(order: Order, key: Row) -> Column:
-    """Whether a row comes strictly before the key."""
+def _before(order: Order, key: Column) -> Column:
+    """Whether a row comes strictly before the key, a struct of the order's columns."""
     earlier = F.lit(False)
     tied = F.lit(True)
     for name, descending in order:
         column, value = F.col(name), key[name]
-        if value is None:
-            ahead = column.isNotNull()
-        else:
-            ahead = column > F.lit(value) if descending else column < F.lit(value)
-        earlier = earlier | (tied & F.coalesce(ahead, F.lit(False)))
-        tied = tied & column.eqNullSafe(F.lit(value))
+        ahead = column > value if descending else column < value
+        ahead = F.when(value.isNull(), column.isNotNull()).otherwise(
+            F.coalesce(ahead, F.lit(False))
+        )
+        earlier = earlier | (tied & ahead)
+        tied = tied & column.eqNullSafe(value)
     return earlier
 
 
+def _literal(key: Row, names: Sequence[str], df: DataFrame) -> Column:
+    return F.struct(*[F.lit(key[n]).cast(df.schema[n].dataType).alias(n) for n in names])
+
+
 def key_at_rank(
     df: DataFrame, order: Order, rank: int, shallow: int = SHALLOW_ROWS
 ) -> Row | None:
@@ -54,9 +58,8 @@ def key_at_rank(
     while rank >= shallow:
         chosen = pool.orderBy(F.xxhash64(*names), *sort_columns(order)).limit(SPLITTERS)
         splitters = chosen.distinct().orderBy(*sort_columns(order)).collect()
-        part = sum(
-            (F.when(_before(order, key), 0).otherwise(1) for key in splitters), F.lit(0)
-        )
+        keys = [_literal(key, names, df) for key in splitters]
+        part = F.size(F.filter(F.array(*keys), lambda key: ~_before(order, key)))
         counts = dict(pool.groupBy(part.alias("part")).agg(F.count(F.lit(1))).collect())
         wanted, passed = 0, 0
         while passed + counts.get(wanted, 0) <= rank:
@@ -65,9 +68,9 @@ def key_at_rank(
         if counts[wanted] == size:
             break  # one key fills the part: splitting cannot make it smaller
         if wanted > 0:
-            pool = pool.where(~_before(order, splitters[wanted - 1]))
-        if wanted < len(splitters):
-            pool = pool.where(_before(order, splitters[wanted]))
+            pool = pool.where(~_before(order, keys[wanted - 1]))
+        if wanted < len(keys):
+            pool = pool.where(_before(order, keys[wanted]))
         rank, size = rank - passed, counts[wanted]
     return pool.orderBy(*sort_columns(order)).offset(rank).limit(1).first()
 
@@ -78,14 +81,15 @@ def take_slice(
     """Rows offset .. offset + count of the order; all that follow when count is None."""
     if count is not None and offset + count <= shallow:
         return df.orderBy(*sort_columns(order)).offset(offset).limit(count)
+    names = [name for name, _ in order]
     kept = df
     if offset:
         first = key_at_rank(df, order, offset, shallow)
         if first is None:
             return df.limit(0)
-        kept = kept.where(~_before(order, first))
+        kept = kept.where(~_before(order, _literal(first, names, df)))
     if count is not None:
         end = key_at_rank(df, order, offset + count, shallow)
         if end is not None:
-            kept = kept.where(_before(order, end))
+            kept = kept.where(_before(order, _literal(end, names, df)))
     return kept.orderBy(*sort_columns(order))

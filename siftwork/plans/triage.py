@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siftwork.operators.classifier import FittedModel, fit, score
 from siftwork.operators.features import featurize
@@ -95,9 +96,12 @@ def retrain_on(
     idf: IdfTable | None = None,
     embeddings: DataFrame | None = None,
 ) -> FittedModel | None:
-    """Fit on a training set that brings its own texts, such as one kept from another corpus."""
-    ids = [id_col, "_row"] if "_row" in training.columns else [id_col]
-    featured = featurize(training, specs, ids, text_col, idf, embeddings)
+    """Fit on a training set that brings its own texts, such as one kept from another corpus.
+
+    The same id may come with several texts, so rows are told apart by id and text hash.
+    """
+    keyed = training.withColumn("_text_hash", F.sha2(F.col(text_col), 256))
+    featured = featurize(keyed, specs, [id_col, "_text_hash"], text_col, idf, embeddings)
     return train(featured, specs, "label")
 
 
