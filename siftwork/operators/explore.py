@@ -116,15 +116,26 @@ def tab(
 
 
 def search(
-    df: DataFrame, pattern: str, text_col: str = "text", id_col: str = "doc_id"
+    df: DataFrame,
+    pattern: str,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    texts: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows whose text matches a regular expression, ignoring case; "ID:n" finds a row by id."""
+    """Rows whose text matches a regular expression, ignoring case; "ID:n" finds a row by id.
+
+    With ``texts``, a table (id, text), the rows need no text of their own: matching ids are found
+    there, and only ids are joined.
+    """
     if not pattern:
         return df
     tail = pattern[len(ID_SEARCH) :]
     if pattern.startswith(ID_SEARCH) and tail.isdecimal():
         return df.where(F.col(id_col) == int(tail))
-    return df.where(F.col(text_col).rlike(ignore_case(pattern)))
+    matches = F.col(text_col).rlike(ignore_case(pattern))
+    if texts is None:
+        return df.where(matches)
+    return df.join(texts.where(matches).select(id_col), id_col, "left_semi")
 
 
 def prediction_range(df: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -144,10 +155,11 @@ def filter_chain(
     selected: DataFrame | None = None,
     text_col: str = "text",
     id_col: str = "doc_id",
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Tab, then search, then score range."""
     kept = tab(df, tab_name, sample, selected, id_col)
-    return prediction_range(search(kept, pattern, text_col, id_col), low, high)
+    return prediction_range(search(kept, pattern, text_col, id_col, texts), low, high)
 
 
 def feature_active(df: DataFrame, *features: str) -> DataFrame:
@@ -191,6 +203,13 @@ def page(
     return take_slice(df, order, offset, size, shallow)
 
 
+def with_texts(
+    rows: DataFrame, texts: DataFrame, text_col: str = "text", id_col: str = "doc_id"
+) -> DataFrame:
+    """A page of narrow rows with their texts looked up by id."""
+    return rows.join(texts.select(id_col, text_col), id_col)
+
+
 def keyword_highlight_regex(specs: Sequence[Feature]) -> str:
     """The regex that marks every keyword of the keyword features."""
     return combined_regex(spec.keywords for spec in specs if type(spec) is KeywordFeature)
@@ -206,7 +225,8 @@ def page_items(
 ) -> DataFrame:
     """What a page shows of its rows: (id, text with markup, label badge, whether sampled).
 
-    Give it the page, not the table: highlighting then touches only the rows shown.
+    Give it the page, not the table: highlighting then touches only the rows shown. Texts of a page
+    of narrow rows come from ``with_texts``.
     """
     marked = highlight_keywords_and_search(text_col, keyword_highlight_regex(specs), pattern)
     prediction = F.col(PREDICTION) if PREDICTION in rows.columns else None

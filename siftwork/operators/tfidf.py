@@ -19,19 +19,26 @@ from siftwork.functions.stopwords import ENGLISH
 from siftwork.functions.text import words
 from siftwork.sources.durable import durable
 
-HEAD_ROWS = 200_000
+HEAD_ROWS = 1_000_000
 HEAD_BYTES = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
 class IdfTable:
-    """Fitted idf: ``terms(term, df, idf)``, written to the shared folder, and its size."""
+    """Fitted idf: ``terms(term, df, idf)`` in the shared folder, and how large it is.
+
+    ``classes`` holds (power, terms, bytes) of the terms with 2^power <= df < 2^(power + 1).
+    """
 
     terms: DataFrame
     n_docs: int
-    n_terms: int
+    classes: tuple[tuple[int, int, int], ...]
     stop_words: tuple[str, ...] = ENGLISH
 
+    @property
+    def n_terms(self) -> int:
+        return sum(n for _, n, _ in self.classes)
+
 
 def keys_of(id_col: str | Sequence[str]) -> list[str]:
     return [id_col] if isinstance(id_col, str) else list(id_col)
@@ -61,8 +68,22 @@ def fit_idf(
     n_docs = corpus.count()
     counted = document_frequencies(corpus, text_col, stop_words)
     idf = smooth_idf(F.col("df"), F.lit(float(n_docs)))
-    terms = durable(counted.withColumn("idf", idf), "idf")
-    return IdfTable(terms, n_docs, terms.count(), tuple(stop_words))
+    return idf_from_terms(durable(counted.withColumn("idf", idf), "idf"), n_docs, stop_words)
+
+
+def idf_from_terms(
+    terms: DataFrame, n_docs: int, stop_words: Sequence[str] = ENGLISH
+) -> IdfTable:
+    """Wrap a stored idf table: one pass sums terms and bytes per power of two of their df."""
+    power = F.floor(F.log2(F.col("df").cast("double"))).cast("int")
+    classes = (
+        terms.groupBy(power.alias("power"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term")).alias("size"))
+        .collect()
+    )
+    return IdfTable(
+        terms, n_docs, tuple((c.power, c.n, c.size) for c in classes), tuple(stop_words)
+    )
 
 
 def term_counts(
@@ -98,30 +119,21 @@ def term_counts(
 
 
 def head_threshold(
-    idf: IdfTable, row_overhead: int = 32, max_rows: int = HEAD_ROWS, max_bytes: int = HEAD_BYTES
+    idf: IdfTable, row_bytes: int = 32, max_rows: int = HEAD_ROWS, max_bytes: int = HEAD_BYTES
 ) -> int:
     """Smallest power of two such that all terms with at least that df fit the bounds.
 
-    One pass sums rows and bytes per power of two. A term below the threshold holds at most
-    2 / max_rows of all postings: otherwise the next lower class would have fitted as well.
+    Where rows are the limit, a term below the threshold holds at most 2 / max_rows of all postings:
+    otherwise the next lower class would have fitted as well.
     """
-    power = F.floor(F.log2(F.col("df").cast("double"))).cast("int")
-    classes = (
-        idf.terms.groupBy(power.alias("power"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.octet_length("term") + F.lit(row_overhead)).alias("size"),
-        )
-        .collect()
-    )
     rows = size = 0
-    threshold = 2 ** (1 + max((c.power for c in classes), default=0))
-    for entry in sorted(classes, key=lambda c: -c.power):
-        rows += entry.n
-        size += entry.size
+    threshold = 2 ** (1 + max((power for power, _, _ in idf.classes), default=0))
+    for power, n, term_bytes in sorted(idf.classes, reverse=True):
+        rows += n
+        size += term_bytes + n * row_bytes
         if rows > max_rows or size > max_bytes:
             break
-        threshold = 2**entry.power
+        threshold = 2**power
     return threshold
 
 
@@ -129,8 +141,7 @@ def _match_terms(
     counts: DataFrame, idf: IdfTable, weights: DataFrame, **bounds: int
 ) -> list[DataFrame]:
     """Join term counts to per-term weights: frequent terms by broadcast, rare ones by shuffle."""
-    overhead = 32 + 8 * len(weights.columns)
-    threshold = head_threshold(idf, overhead, **bounds)
+    threshold = head_threshold(idf, 32 + 8 * len(weights.columns), **bounds)
     if threshold <= 1:
         return [counts.join(F.broadcast(weights.drop("df")), "term")]
     frequent = weights.where(F.col("df") >= threshold).drop("df")
@@ -153,7 +164,12 @@ def vectors(
     keys = keys_of(id_col)
     counts = term_counts(corpus, keys, text_col, idf.stop_words)
     parts = _match_terms(counts, idf, idf.terms.select("term", "df", "idf"), **bounds)
-    raw = _union(parts).select(*keys, "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    return _unit_length(_union(parts), keys)
+
+
+def _unit_length(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """tf x idf of each posting, divided by the length of its text's vector."""
+    raw = matched.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys)))
     return raw.select(*keys, "term", (F.col("raw") / norm).alias("x"))
 
@@ -193,7 +209,10 @@ def reference_vectors(
         )
         for name, texts in references.items()
     ]
-    pulled = vectors(_union(tables), idf, ["_name", "ref_id"], text_col)
+    keys = ["_name", "ref_id"]
+    counts = term_counts(_union(tables), keys, text_col, idf.stop_words)
+    # References are few as a rule; without a hint Spark broadcasts them when their size allows.
+    pulled = _unit_length(counts.join(idf.terms.select("term", "idf"), "term"), keys)
     summed = durable(
         pulled.groupBy("_name", "term").agg(F.sum("x").alias("x")), "reference-vectors"
     )
@@ -249,10 +268,3 @@ def similarities(
             for name, c in columns.items()
         ],
     )
-
-
-def idf_from_terms(
-    terms: DataFrame, n_docs: int, stop_words: Sequence[str] = ENGLISH
-) -> IdfTable:
-    """Wrap an idf table that was saved earlier."""
-    return IdfTable(terms, n_docs, terms.count(), tuple(stop_words))

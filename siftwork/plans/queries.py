@@ -12,7 +12,14 @@ from siftwork.functions.text import highlight, keyword_count, tokenize
 from siftwork.operators import classifier, embeddings, explore, features, labels, references, stats
 from siftwork.operators.classifier import FittedModel
 from siftwork.operators.tfidf import fit_idf, similarities, text_list, vectors
-from siftwork.plans.triage import relabel, retrain_on, score_new, train, triage
+from siftwork.plans.triage import (
+    compute_features,
+    relabel,
+    retrain_on,
+    score_new,
+    train,
+    triage,
+)
 from siftwork.sources.corpus import LABEL, PREDICTION, load_corpus, spread_scan
 from siftwork.sources.durable import new_path
 from siftwork.sources.session import Session, load_session, save_session
@@ -60,9 +67,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return load_corpus(spark, f"{folder}/documents.parquet")
 
 
+def spread_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus on all cores, for work on its texts."""
+    return spread_scan(documents(spark, folder), ["doc_id"])
+
+
 def texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids and texts only, on all cores, for token work."""
-    return spread_scan(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    """Ids and texts only, on all cores."""
+    return spread_documents(spark, folder).select("doc_id", "text")
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
@@ -70,11 +82,17 @@ def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
 
 
 def featured(spark: SparkSession, folder: str) -> DataFrame:
-    return features.featurize(documents(spark, folder), SPECS)
+    return features.featurize(spread_documents(spark, folder), SPECS)
+
+
+def stored_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Narrow features, written once; what filters and reuses feature values starts here."""
+    corpus = spread_documents(spark, folder)
+    return compute_features(corpus, SPECS, keep=["lang", "source", "n_chars", LABEL])
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    return classifier.score(featured(spark, folder), FIXED_MODEL)
+    return classifier.score(stored_features(spark, folder), FIXED_MODEL)
 
 
 def quality_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,7 +145,7 @@ def selection(spark: SparkSession, folder: str) -> DataFrame:
 
 def fitted(spark: SparkSession, folder: str) -> FittedModel | None:
     """A model fitted on the labelled documents."""
-    featured_rows = features.featurize(documents(spark, folder), FIT_SPECS)
+    featured_rows = features.featurize(spread_documents(spark, folder), FIT_SPECS)
     training = labels.rows_for_training(featured_rows, quality_events(spark, folder))
     return train(training, FIT_SPECS)
 
@@ -175,7 +193,7 @@ def keyword_count_query(spark: SparkSession, folder: str) -> DataFrame:
         keyword_count("text", ["", " \n", " of "]).alias("blank"),
         keyword_count("text", ["ción", "é", "Ñ"]).alias("accented"),
     ]
-    return table(spark, folder, "documents").select("doc_id", *counted)
+    return texts(spark, folder).select("doc_id", *counted)
 
 
 @query
@@ -187,7 +205,7 @@ def featurize_wide(spark: SparkSession, folder: str) -> DataFrame:
 def featurize_weighted(spark: SparkSession, folder: str) -> DataFrame:
     """Weight once in the feature on its own, twice among all features."""
     alone = features.keyword_feature(ION).alias("alone")
-    listed = features.featurize(documents(spark, folder).select("doc_id", "text", alone), [ION])
+    listed = features.featurize(texts(spark, folder).select("*", alone), [ION])
     return listed.select("doc_id", "alone", F.col("_ion").alias("listed"))
 
 
@@ -211,20 +229,20 @@ def letters_per_word(text: Column) -> Column:
 @query
 def custom_feature(spark: SparkSession, folder: str) -> DataFrame:
     specs = [CustomFeature("letters", weight=0.5, builder=letters_per_word), THE]
-    rows = features.featurize(documents(spark, folder), specs)
+    rows = features.featurize(texts(spark, folder), specs)
     return rounded(rows.select("doc_id", "_letters", "_the"), "_letters")
 
 
 @query
 def norm_l1(spark: SparkSession, folder: str) -> DataFrame:
-    rows = features.featurize(documents(spark, folder), SPECS, normalize=True)
+    rows = features.l1_normalize(stored_features(spark, folder), COLUMNS)
     return rounded(rows.select("doc_id", *COLUMNS), *COLUMNS, digits=9)
 
 
 @query
 def norm_l1_reference(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled rows normalised by the sums of the whole corpus."""
-    whole = featured(spark, folder)
+    whole = stored_features(spark, folder)
     labelled = labels.rows_for_training(whole, quality_events(spark, folder))
     normed = features.l1_normalize(labelled, COLUMNS, reference=whole)
     return rounded(normed.select("doc_id", *COLUMNS), *COLUMNS, digits=9)
@@ -304,7 +322,8 @@ def pred_ge_half(spark: SparkSession, folder: str) -> DataFrame:
 
 def _filtered(spark: SparkSession, folder: str) -> DataFrame:
     rows = labels.apply_labels(scored(spark, folder), quality_events(spark, folder))
-    return explore.filter_chain(rows, "Labeled", SEARCH, 0.1, 0.9)
+    corpus = texts(spark, folder)
+    return explore.filter_chain(rows, "Labeled", SEARCH, 0.1, 0.9, texts=corpus)
 
 
 @query
@@ -320,7 +339,7 @@ def filter_chain_count(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def feature_active(spark: SparkSession, folder: str) -> DataFrame:
     """Sampled rows on which a feature is active."""
-    rows = explore.rows_of(featured(spark, folder), sample(spark, folder))
+    rows = explore.rows_of(stored_features(spark, folder), sample(spark, folder))
     return explore.feature_active(rows, "_ion").select("pos", "doc_id", "_ion")
 
 
@@ -331,7 +350,7 @@ def co_activation(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def chain_filter(spark: SparkSession, folder: str) -> DataFrame:
-    kept = classifier.chain_filter(featured(spark, folder), [FIXED_MODEL, SECOND_MODEL])
+    kept = classifier.chain_filter(stored_features(spark, folder), [FIXED_MODEL, SECOND_MODEL])
     best = F.greatest("_pred_0", "_pred_1").alias("best")
     return rounded(kept.select("doc_id", "_pred_0", "_pred_1", best), "_pred_0", "_pred_1", "best")
 
@@ -364,7 +383,7 @@ def labels_bulk(spark: SparkSession, folder: str) -> DataFrame:
 def label_all_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """Everything a search finds is labelled uninteresting, over earlier labels."""
     corpus = documents(spark, folder)
-    found = explore.filter_chain(corpus, pattern=SEARCH)
+    found = explore.filter_chain(spread_documents(spark, folder), pattern=SEARCH)
     events = quality_events(spark, folder).select("seq", "doc_id", "label")
     bulk = labels.label_all(found, 0, seq=2**62)
     return labels.apply_labels(corpus, events.unionByName(bulk)).select("doc_id", LABEL)
@@ -479,15 +498,17 @@ def page_deep(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def page_items(spark: SparkSession, folder: str) -> DataFrame:
     rows = labels.apply_labels(scored(spark, folder), quality_events(spark, folder))
-    kept = explore.filter_chain(rows, pattern=SEARCH, low=0.05)
-    shown = explore.page(kept, 2, 10, sort_by="n_chars")
+    corpus = texts(spark, folder)
+    kept = explore.filter_chain(rows, pattern=SEARCH, low=0.05, texts=corpus)
+    shown = explore.with_texts(explore.page(kept, 2, 10, sort_by="n_chars"), corpus)
     return explore.page_items(shown, SPECS, SEARCH, sample(spark, folder))
 
 
 @query
 def row_decoration(spark: SparkSession, folder: str) -> DataFrame:
     """The page markup of every row."""
-    rows = labels.apply_labels(scored(spark, folder), quality_events(spark, folder))
+    predicted = classifier.score(featured(spark, folder), FIXED_MODEL)
+    rows = labels.apply_labels(predicted, quality_events(spark, folder))
     return explore.page_items(rows, SPECS, "", sample(spark, folder))
 
 
@@ -504,7 +525,8 @@ def sample_append(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def item_view(spark: SparkSession, folder: str) -> DataFrame:
-    rows = labels.apply_labels(scored(spark, folder), quality_events(spark, folder))
+    predicted = classifier.score(features.featurize(documents(spark, folder), SPECS), FIXED_MODEL)
+    rows = labels.apply_labels(predicted, quality_events(spark, folder))
     return explore.item_view(rounded(rows, PREDICTION), VIEW_ID, SPECS, "on")
 
 
@@ -515,13 +537,13 @@ def item_view(spark: SparkSession, folder: str) -> DataFrame:
 def highlight_query(spark: SparkSession, folder: str) -> DataFrame:
     regex = explore.keyword_highlight_regex(SPECS)
     marked = highlight("text", regex).alias("text")
-    return table(spark, folder, "documents").select("doc_id", marked)
+    return texts(spark, folder).select("doc_id", marked)
 
 
 @query
 def highlight_two_pass(spark: SparkSession, folder: str) -> DataFrame:
     """The search pass also marks what the keyword pass wrote."""
-    rows = table(spark, folder, "documents")
+    rows = texts(spark, folder)
     shown = explore.page_items(rows, SPECS, "span|ea")
     return shown.select("doc_id", "text")
 
@@ -593,7 +615,9 @@ def example_anchor(spark: SparkSession, folder: str) -> DataFrame:
 def reference_short(spark: SparkSession, folder: str) -> DataFrame:
     """Names of references: every document's text, and every benchmark passage."""
     own = table(spark, folder, "documents").select(F.col("doc_id").alias("ref_id"), "text")
-    passages = table(spark, folder, "benchmark").select((-1 - F.col("item_id")).alias("ref_id"), "text")
+    passages = table(spark, folder, "benchmark").select(
+        (-1 - F.col("item_id")).alias("ref_id"), "text"
+    )
     return references.short_references(
         own.unionByName(passages), table(spark, folder, "documents")
     )
@@ -645,7 +669,7 @@ def letter_embedder() -> Callable[[Sequence[str]], list[list[float]]]:
 
 @query
 def embed_batch(spark: SparkSession, folder: str) -> DataFrame:
-    found = embeddings.embed_texts(table(spark, folder, "documents"), letter_embedder)
+    found = embeddings.embed_texts(texts(spark, folder), letter_embedder)
     letters = [F.get("embedding", i).cast("double").alias(f"n_{c}") for i, c in enumerate("aeiou")]
     return found.select("doc_id", *letters)
 
@@ -653,9 +677,8 @@ def embed_batch(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def embed_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """Cached rows keep their vector; only the others are embedded."""
-    whole = embeddings.extend_cache(
-        table(spark, folder, "documents"), _cache(spark, folder), letter_embedder
-    )
+    corpus = texts(spark, folder)
+    whole = embeddings.extend_cache(corpus, _cache(spark, folder), letter_embedder)
     return whole.select(
         "doc_id",
         F.size("embedding").cast("bigint").alias("dimensions"),
@@ -693,9 +716,8 @@ def coefficients(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def score_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    rows = features.featurize(documents(spark, folder), FIT_SPECS)
-    predicted = classifier.score(rows, fitted(spark, folder))
-    return rounded(predicted.select("doc_id", PREDICTION), PREDICTION, digits=3)
+    result = triage(texts(spark, folder), FIT_SPECS, quality_events(spark, folder))
+    return rounded(result.scored.select("doc_id", PREDICTION), PREDICTION, digits=3)
 
 
 @query
@@ -706,7 +728,8 @@ def score_second_corpus(spark: SparkSession, folder: str) -> DataFrame:
     model = retrain_on(kept, FIT_SPECS)
     turns = table(spark, folder, "conversations")
     predicted = score_new(turns, FIT_SPECS, model, ["conv_id", "turn"])
-    return rounded(predicted.select("conv_id", "turn", *feature_columns(FIT_SPECS), PREDICTION), PREDICTION, digits=3)
+    columns = [*feature_columns(FIT_SPECS), PREDICTION]
+    return rounded(predicted.select("conv_id", "turn", *columns), PREDICTION, digits=3)
 
 
 @query
@@ -724,8 +747,7 @@ def untrain_drops_pred(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def retrain_and_score(spark: SparkSession, folder: str) -> DataFrame:
     """The whole way: features, fit on the labels, scores, coverage by predicted class."""
-    corpus = table(spark, folder, "documents").select("doc_id", "text")
-    result = triage(corpus, FIT_SPECS, quality_events(spark, folder))
+    result = triage(texts(spark, folder), FIT_SPECS, quality_events(spark, folder))
     covered = stats.coverage(result.scored, result.columns)
     return rounded(covered, "total_pct", "pos_pct", "neg_pct", digits=4)
 

@@ -19,7 +19,7 @@ import siftwork
 from siftwork.functions.stopwords import ENGLISH
 from siftwork.operators.classifier import FittedModel
 from siftwork.operators.explore import DEFAULT_SAMPLE
-from siftwork.operators.tfidf import IdfTable
+from siftwork.operators.tfidf import IdfTable, idf_from_terms
 from siftwork.specs import Feature, spec_from_json, spec_to_json
 
 # Fixed values.
@@ -27,8 +27,8 @@ OLDEST_MINOR_OF_MAJOR_0 = 7
 
 SAVES_SCHEMA = (
     "save string, saved_at string, version string, text_col string, id_cols array<string>, "
-    "sample_size int, intercept double, n_docs bigint, n_terms bigint, "
-    "stop_words array<string>, tables array<string>"
+    "sample_size int, intercept double, n_docs bigint, stop_words array<string>, "
+    "tables array<string>"
 )
 
 
@@ -86,7 +86,6 @@ def save_session(spark: SparkSession, session: Session, path: str) -> str:
         session.sample_size,
         model.intercept if model else None,
         idf.n_docs if idf else None,
-        idf.n_terms if idf else None,
         list(idf.stop_words if idf else ENGLISH),
         list(written),
     )
@@ -119,7 +118,7 @@ def load_session(spark: SparkSession, path: str, save: str | None = None) -> Ses
         )
     idf = None
     if "idf" in meta.tables:
-        idf = IdfTable(read("idf"), meta.n_docs, meta.n_terms, tuple(meta.stop_words))
+        idf = idf_from_terms(read("idf"), meta.n_docs, meta.stop_words)
     return Session(
         specs=tuple(spec_from_json(r.spec) for r in specs),
         text_col=meta.text_col,
