@@ -22,6 +22,7 @@ from siftwork.specs import Feature, KeywordFeature
 # Fixed values.
 DEFAULT_SAMPLE = 100
 DEFAULT_PAGE = 10
+MAX_PAGE = 1000
 INTERESTING_COLOR = "#FB8C00"
 UNINTERESTING_COLOR = "#2196F3"
 UNTRAINED_COLOR = "white"
@@ -206,8 +207,17 @@ def page(
 def with_texts(
     rows: DataFrame, texts: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
-    """A page of narrow rows with their texts looked up by id."""
-    return rows.join(texts.select(id_col, text_col), id_col)
+    """A page of narrow rows with their texts looked up by id.
+
+    The ids of a page are few, so they become a filter that skips most of the texts when the corpus
+    is laid out by id. Longer lists are joined.
+    """
+    page_rows = rows.limit(MAX_PAGE + 1).collect()
+    found = texts.select(id_col, text_col)
+    if len(page_rows) > MAX_PAGE:
+        return rows.join(found, id_col)
+    shown = rows.sparkSession.createDataFrame(page_rows, rows.schema)
+    return shown.join(found.where(F.col(id_col).isin([r[id_col] for r in page_rows])), id_col)
 
 
 def keyword_highlight_regex(specs: Sequence[Feature]) -> str:

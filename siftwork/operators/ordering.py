@@ -27,23 +27,25 @@ def sort_columns(order: Order) -> list[Column]:
     ]
 
 
-def _before(order: Order, key: Column) -> Column:
-    """Whether a row comes strictly before the key, a struct of the order's columns."""
-    earlier = F.lit(False)
-    tied = F.lit(True)
+def _before(order: Order, key: str) -> str:
+    """SQL condition that a row comes strictly before the key, a struct of the order's columns."""
+    cases = []
+    tied = ""
     for name, descending in order:
-        column, value = F.col(name), key[name]
-        ahead = column > value if descending else column < value
-        ahead = F.when(value.isNull(), column.isNotNull()).otherwise(
-            F.coalesce(ahead, F.lit(False))
-        )
-        earlier = earlier | (tied & ahead)
-        tied = tied & column.eqNullSafe(value)
-    return earlier
+        column, value = f"`{name}`", f"{key}.`{name}`"
+        ahead = f"coalesce({column} {'>' if descending else '<'} {value}, false)"
+        ahead = f"if({value} IS NULL, {column} IS NOT NULL, {ahead})"
+        cases.append(f"({tied}{ahead})")
+        tied += f"{column} <=> {value} AND "
+    return f"({' OR '.join(cases)})"
 
 
-def _literal(key: Row, names: Sequence[str], df: DataFrame) -> Column:
-    return F.struct(*[F.lit(key[n]).cast(df.schema[n].dataType).alias(n) for n in names])
+def _where_key(df: DataFrame, order: Order, key: Row, before: bool) -> DataFrame:
+    """Rows strictly before the key, or all others."""
+    types = {field.name: field.dataType for field in df.schema}
+    values = F.struct(*[F.lit(key[name]).cast(types[name]).alias(name) for name, _ in order])
+    condition = _before(order, "_key") if before else f"NOT {_before(order, '_key')}"
+    return df.withColumn("_key", values).where(condition).drop("_key")
 
 
 def key_at_rank(
@@ -58,9 +60,11 @@ def key_at_rank(
     while rank >= shallow:
         chosen = pool.orderBy(F.xxhash64(*names), *sort_columns(order)).limit(SPLITTERS)
         splitters = chosen.distinct().orderBy(*sort_columns(order)).collect()
-        keys = [_literal(key, names, df) for key in splitters]
-        part = F.size(F.filter(F.array(*keys), lambda key: ~_before(order, key)))
-        counts = dict(pool.groupBy(part.alias("part")).agg(F.count(F.lit(1))).collect())
+        listed = df.sparkSession.createDataFrame(splitters, pool.schema)
+        passed_keys = listed.agg(F.collect_list(F.struct(*names))).scalar()
+        part = F.expr(f"size(filter(_keys, key -> NOT {_before(order, 'key')}))").alias("part")
+        parts = pool.select(*names, passed_keys.alias("_keys")).select(part)
+        counts = dict(parts.groupBy("part").agg(F.count(F.lit(1))).collect())
         wanted, passed = 0, 0
         while passed + counts.get(wanted, 0) <= rank:
             passed += counts.get(wanted, 0)
@@ -68,9 +72,9 @@ def key_at_rank(
         if counts[wanted] == size:
             break  # one key fills the part: splitting cannot make it smaller
         if wanted > 0:
-            pool = pool.where(~_before(order, keys[wanted - 1]))
-        if wanted < len(keys):
-            pool = pool.where(_before(order, keys[wanted]))
+            pool = _where_key(pool, order, splitters[wanted - 1], before=False)
+        if wanted < len(splitters):
+            pool = _where_key(pool, order, splitters[wanted], before=True)
         rank, size = rank - passed, counts[wanted]
     return pool.orderBy(*sort_columns(order)).offset(rank).limit(1).first()
 
@@ -81,15 +85,14 @@ def take_slice(
     """Rows offset .. offset + count of the order; all that follow when count is None."""
     if count is not None and offset + count <= shallow:
         return df.orderBy(*sort_columns(order)).offset(offset).limit(count)
-    names = [name for name, _ in order]
     kept = df
     if offset:
         first = key_at_rank(df, order, offset, shallow)
         if first is None:
             return df.limit(0)
-        kept = kept.where(~_before(order, _literal(first, names, df)))
+        kept = _where_key(kept, order, first, before=False)
     if count is not None:
         end = key_at_rank(df, order, offset + count, shallow)
         if end is not None:
-            kept = kept.where(_before(order, _literal(end, names, df)))
+            kept = _where_key(kept, order, end, before=True)
     return kept.orderBy(*sort_columns(order))

@@ -658,18 +658,24 @@ def embed_missing(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.missing_from_cache(rows, _cache(spark, folder))
 
 
-def letter_embedder() -> Callable[[Sequence[str]], list[list[float]]]:
-    """A stand-in for a user's model: counts of five letters."""
+def letter_embedder() -> Callable:
+    """A loader of a stand-in for a user's model: it counts five letters.
 
-    def embed(batch: Sequence[str]) -> list[list[float]]:
-        return [[float(text.count(letter)) for letter in "aeiou"] for text in batch]
+    The loader is a local function, which travels to the workers by value.
+    """
+
+    def load() -> Callable:
+        def embed(batch):
+            return [[float(text.count(letter)) for letter in "aeiou"] for text in batch]
+
+        return embed
 
-    return embed
+    return load
 
 
 @query
 def embed_batch(spark: SparkSession, folder: str) -> DataFrame:
-    found = embeddings.embed_texts(texts(spark, folder), letter_embedder)
+    found = embeddings.embed_texts(texts(spark, folder), letter_embedder())
     letters = [F.get("embedding", i).cast("double").alias(f"n_{c}") for i, c in enumerate("aeiou")]
     return found.select("doc_id", *letters)
 
@@ -678,7 +684,7 @@ def embed_batch(spark: SparkSession, folder: str) -> DataFrame:
 def embed_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """Cached rows keep their vector; only the others are embedded."""
     corpus = texts(spark, folder)
-    whole = embeddings.extend_cache(corpus, _cache(spark, folder), letter_embedder)
+    whole = embeddings.extend_cache(corpus, _cache(spark, folder), letter_embedder())
     return whole.select(
         "doc_id",
         F.size("embedding").cast("bigint").alias("dimensions"),
