@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 from siftwork.functions.text import short_text
 
+SHORT_LIST = 10_000
+
 
 def short_references(
     references: DataFrame, corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 ) -> DataFrame:
     """Rows (ref_id, short): the first id with exactly this text, else the text's beginning.
 
-    Texts meet by hash, so no long text is shuffled. Ids of one text are reduced to the first on the
-    map side, so a text with very many copies is no hot key.
+    Texts meet by hash, so no long text is shuffled. The corpus is reduced to the first id per text
+    on the map side before the join, so a text with very many copies is no hot key. A short list of
+    references filters the corpus beforehand.
     """
-    hashed = references.select("ref_id", text_col, F.sha2(text_col, 256).alias("_hash"))
-    first_ids = (
-        corpus.select(F.sha2(text_col, 256).alias("_hash"), id_col)
-        .join(hashed.select("_hash").distinct(), "_hash", "left_semi")
-        .groupBy("_hash")
-        .agg(F.min(id_col).alias("_first"))
-    )
+    text_hash = F.unhex(F.sha2(text_col, 256)).alias("_hash")
+    hashed = references.select("ref_id", text_col, text_hash)
+    keyed = corpus.select(text_hash, id_col)
+    if references.limit(SHORT_LIST + 1).count() <= SHORT_LIST:
+        keyed = keyed.join(F.broadcast(hashed.select("_hash")), "_hash", "left_semi")
+    first_ids = keyed.groupBy("_hash").agg(F.min(id_col).alias("_first"))
     return hashed.join(first_ids, "_hash", "left").select(
         "ref_id",
         F.coalesce(F.col("_first").cast("string"), short_text(text_col)).alias("short"),

@@ -217,7 +217,7 @@ def reference_vectors(
         pulled.groupBy("_name", "term").agg(F.sum("x").alias("x")), "reference-vectors"
     )
     lengths = summed.groupBy("_name").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    scaled = summed.join(lengths, "_name")
+    scaled = summed.join(F.broadcast(lengths), "_name")  # one row per reference list
     return scaled.groupBy("term").agg(
         *[
             F.max(F.when(F.col("_name") == name, F.col("x") / F.col("length"))).alias(name)
