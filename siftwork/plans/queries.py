@@ -63,6 +63,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table as a stream. A pattern may name one file or a folder of files; a plain path only
+    a folder."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}.parquet")
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return load_corpus(spark, f"{folder}/documents.parquet")
 
@@ -763,12 +770,7 @@ def retrain_and_score(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_score(spark: SparkSession, folder: str) -> DataFrame:
-    batch = table(spark, folder, "documents")
-    stream = (
-        spark.readStream.schema(batch.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(folder)
-    )
+    stream = stream_of(spark, folder, "documents")
     out = new_path(spark, "stream-scores")
     started = (
         score_stream(stream, SPECS, FIXED_MODEL)
@@ -785,12 +787,7 @@ def stream_score(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Label events arriving as a stream, then the training state they leave."""
-    batch = table(spark, folder, "labels")
-    stream = (
-        spark.readStream.schema(batch.schema)
-        .option("pathGlobFilter", "labels.parquet")
-        .parquet(folder)
-    )
+    stream = stream_of(spark, folder, "labels")
     steps = F.array(
         F.struct((F.col("doc_id") * 2).alias("seq"), F.col("quality").alias("label")),
         F.struct(
