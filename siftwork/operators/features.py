@@ -106,17 +106,13 @@ def l1_normalize(
 ) -> DataFrame:
     """Divide each feature by its sum over the reference table, by default the table itself.
 
-    The sums reach the rows as one scalar subquery. Columns that sum to 0 become 0.
+    The sums are one row, fetched first, so the division is a plain projection. Columns that sum to 0
+    become 0. Give it stored features, or they are computed once for the sums and once more here.
     """
     source = df if reference is None else reference
-    sums = source.agg(F.struct(*[F.sum(c).alias(c) for c in features]).alias("sums")).scalar()
+    sums = source.agg(*[F.sum(c).alias(c) for c in features]).first()
     return df.withColumns(
-        {
-            c: F.when(F.coalesce(sums[c], F.lit(0.0)) == 0, F.lit(0.0)).otherwise(
-                F.col(c) / sums[c]
-            )
-            for c in features
-        }
+        {c: F.col(c) / F.lit(float(sums[c])) if sums[c] else F.lit(0.0) for c in features}
     )
 
 

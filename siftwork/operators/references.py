@@ -19,15 +19,20 @@ def short_references(
     on the map side before the join, so a text with very many copies is no hot key. A short list of
     references filters the corpus beforehand.
     """
-    text_hash = F.unhex(F.sha2(text_col, 256)).alias("_hash")
-    hashed = references.select("ref_id", text_col, text_hash)
-    keyed = corpus.select(text_hash, id_col)
+    digest = F.sha2(text_col, 256)
+    # Never null, or Spark would add a null filter that hashes every text a second time.
+    hashed = references.select(
+        "ref_id",
+        short_text(text_col).alias("_short"),
+        F.coalesce(digest, F.lit("no text")).alias("_hash"),
+    )
+    keyed = corpus.select(F.coalesce(digest, F.lit("")).alias("_hash"), id_col)
     if references.limit(SHORT_LIST + 1).count() <= SHORT_LIST:
         keyed = keyed.join(F.broadcast(hashed.select("_hash")), "_hash", "left_semi")
     first_ids = keyed.groupBy("_hash").agg(F.min(id_col).alias("_first"))
     return hashed.join(first_ids, "_hash", "left").select(
         "ref_id",
-        F.coalesce(F.col("_first").cast("string"), short_text(text_col)).alias("short"),
+        F.coalesce(F.col("_first").cast("string"), F.col("_short")).alias("short"),
     )
 
 

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,22 @@ def test_custom_builder_is_saved_by_address():
         spec_to_json(CustomFeature("c", builder=lambda text: text))
 
 
+def test_vectorised_python_builder(fun):
+    @F.pandas_udf("double")
+    def shout(texts: pd.Series) -> pd.Series:
+        return texts.str.count("[A-Z]").astype(float)
+
+    spec = CustomFeature("shout", weight=0.5, builder=lambda text: shout(text))
+    got = values(features.featurize(fun, [spec, TEST]), "_shout")
+    assert got == [0.5 * sum(c.isascii() and c.isupper() for c in t) for t in values(fun, "text")]
+
+
+def test_many_keywords(fun):
+    """Hundreds of keywords are still one projection."""
+    many = KeywordFeature("many", keywords=tuple(f"k{i}" for i in range(300)) + ("muffin",))
+    assert sum(values(features.featurize(fun, [many, TEST]), "_many")) == 2
+
+
 def test_embedding_feature(spark, fun):
     vectors = spark.createDataFrame(
         [(0, [1.0, 0.0]), (1, [3.0, 3.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0])],
