@@ -25,17 +25,23 @@ def embed_texts(
     text_col: str = "text",
     batch_size: int = EMBED_BATCH,
 ) -> DataFrame:
-    """Rows (id, embedding). ``make_embedder`` loads the model, once per task."""
+    """Rows (id, embedding). ``make_embedder`` loads the model, once per task.
+
+    Null texts are not given to the model; their embedding is null.
+    """
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = make_embedder()
         for texts in batches:
-            vectors: list = []
             values = texts.tolist()
-            for start in range(0, len(values), batch_size):
-                vectors.extend(embedder(values[start : start + batch_size]))
-            yield pd.Series(vectors, index=texts.index)
+            vectors: list = [None] * len(values)
+            known = [at for at, text in enumerate(values) if text is not None]
+            for start in range(0, len(known), batch_size):
+                batch = known[start : start + batch_size]
+                for at, vector in zip(batch, embedder([values[at] for at in batch])):
+                    vectors[at] = vector
+            yield pd.Series(vectors, index=texts.index, dtype=object)
 
     return df.select(id_col, embed(text_col).alias("embedding"))
 

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-SHALLOW_ROWS = 100_000
+# Up to this depth a slice is one top-k, whose last task sees this many rows of every partition.
+SHALLOW_ROWS = 2_000
 SPLITTERS = 64
 
 # (column name, descending)

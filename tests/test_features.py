@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork.operators import features
+from siftwork.operators.embeddings import embed_texts
 from siftwork.specs import (
     CustomFeature,
     EmbeddingFeature,
@@ -152,3 +153,22 @@ def test_narrow_features_do_not_shuffle_text(fun, tmp_path):
         if "Exchange" in line:
             assert "text" not in line
     assert rows.count() == 12
+
+
+def test_null_and_empty_texts_have_no_features(spark):
+    rows = [(1, None), (2, ""), (3, "a muffin in space")]
+    corpus = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def load():
+        return lambda batch: [[float(len(text)), 1.0] for text in batch]
+
+    vectors = embed_texts(corpus, load)
+    specs = [
+        TEST,
+        TfidfFeature("like", references=("space muffin",)),
+        EmbeddingFeature("near", reference=(17.0, 1.0)),
+    ]
+    got = features.featurize(corpus, specs, embeddings=vectors).orderBy("doc_id").collect()
+    assert [tuple(r)[2:4] for r in got[:2]] == [(0.0, 0.0)] * 2
+    assert got[0]._near == 0.0
+    assert got[2][2:] == (1.0, pytest.approx(1.0), pytest.approx(1.0))
