@@ -46,6 +46,7 @@ def featurize(
     embeddings: DataFrame | None = None,
     normalize: bool = False,
     reference: DataFrame | None = None,
+    norms: DataFrame | None = None,
 ) -> DataFrame:
     """The corpus with one weighted column per spec, in spec order.
 
@@ -53,7 +54,7 @@ def featurize(
     join by id; embedding features join the table of cached embeddings ``(id, embedding)`` by id.
     Select the columns you need afterwards: the text is then pruned before those joins and only ids
     and numbers are shuffled. ``idf`` is the fitted table to use; without it, one is fitted on this
-    corpus. With ``normalize``, columns are divided by their sums over ``reference`` or this corpus.
+    corpus; ``norms`` are its stored text norms, if any. With ``normalize``, columns are divided by their sums over ``reference`` or this corpus.
     """
     check_specs(specs)
     keys = keys_of(id_col)
@@ -66,7 +67,7 @@ def featurize(
     referenced = {s.column: s.references for s in tfidf_specs if s.references}
     if referenced:
         idf = idf or fit_idf(corpus, text_col)
-        found = similarities(corpus, idf, referenced, keys, text_col)
+        found = similarities(corpus, idf, referenced, keys, text_col, norms)
         featured = featured.join(found, keys, "left")
     weighted = {
         s.column: F.coalesce(F.col(s.column), F.lit(0.0)) * F.lit(float(s.weight))

@@ -226,19 +226,62 @@ def reference_vectors(
     )
 
 
+def _sums_per_text(
+    corpus: DataFrame,
+    idf: IdfTable,
+    weights: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str],
+    text_col: str,
+    **bounds: int,
+) -> DataFrame:
+    """Rows (id, _square, columns): squared vector length and inner product with each column.
+
+    Each posting meets one weights row, and a text's postings are summed before they are shuffled.
+    """
+    counts = term_counts(corpus, keys, text_col, idf.stop_words)
+    raw = F.col("tf") * F.col("idf")
+    sums = [F.sum(raw * raw).alias("_square")]
+    sums += [F.sum(raw * F.col(c)).alias(c) for c in columns]
+    parts = [part.groupBy(*keys).agg(*sums) for part in _match_terms(counts, idf, weights, **bounds)]
+    if len(parts) == 1:
+        return parts[0]
+    totals = [F.sum(c).alias(c) for c in ("_square", *columns)]
+    return _union(parts).groupBy(*keys).agg(*totals)
+
+
+def text_norms(
+    corpus: DataFrame,
+    idf: IdfTable,
+    id_col: str | Sequence[str] = "doc_id",
+    text_col: str = "text",
+    **bounds: int,
+) -> DataFrame:
+    """Rows (id, norm): the length of each text's vector, stored.
+
+    With them, every further similarity feature over the same corpus and idf only looks for the terms
+    of its references.
+    """
+    keys = keys_of(id_col)
+    weights = idf.terms.select("term", "df", "idf")
+    squares = _sums_per_text(corpus, idf, weights, [], keys, text_col, **bounds)
+    return durable(squares.select(*keys, F.sqrt("_square").alias("norm")), "text-norms")
+
+
 def similarities(
     corpus: DataFrame,
     idf: IdfTable,
     references: Mapping[str, DataFrame | Sequence[str]],
     id_col: str | Sequence[str] = "doc_id",
     text_col: str = "text",
+    norms: DataFrame | None = None,
     **bounds: int,
 ) -> DataFrame:
     """Rows (id, one similarity column per name) for texts that share the fitted vocabulary.
 
-    All similarity features are computed in one pass: each posting meets one weights row with the idf
-    and every reference's value, and a text's postings are summed before they are shuffled. Texts
-    without known terms are missing from the result; their similarity is 0.
+    All similarity features are computed in one pass. Texts without known terms, or without terms of
+    the references, may be missing from the result; their similarity is 0. ``norms`` are the
+    ``text_norms`` of this corpus and idf, if they are stored.
     """
     keys = keys_of(id_col)
     columns = {name: f"_ref{position}" for position, name in enumerate(references)}
@@ -248,23 +291,39 @@ def similarities(
         idf,
         text_col,
     )
-    weights = idf.terms.select("term", "df", "idf").join(pulled, "term", "left")
-    counts = term_counts(corpus, keys, text_col, idf.stop_words)
-    raw = F.col("tf") * F.col("idf")
-    sums = [F.sum(raw * raw).alias("_square")]
-    sums += [F.sum(raw * F.col(c)).alias(c) for c in columns.values()]
-    parts = [part.groupBy(*keys).agg(*sums) for part in _match_terms(counts, idf, weights, **bounds)]
-    totals = parts[0]
-    if len(parts) > 1:
-        totals = (
-            _union(parts)
-            .groupBy(*keys)
-            .agg(*[F.sum(c).alias(c) for c in ("_square", *columns.values())])
+    if norms is not None and pulled.count() <= bounds.get("max_rows", HEAD_ROWS):
+        totals = _products_per_text(corpus, idf, pulled, list(columns.values()), keys, text_col)
+        totals, norm = totals.join(norms, keys), F.col("norm")
+    else:
+        weights = idf.terms.select("term", "df", "idf").join(pulled, "term", "left")
+        totals = _sums_per_text(
+            corpus, idf, weights, list(columns.values()), keys, text_col, **bounds
         )
+        norm = F.sqrt("_square")
     return totals.select(
         *keys,
         *[
-            (F.coalesce(F.col(c), F.lit(0.0)) / F.sqrt("_square")).alias(name)
+            (F.coalesce(F.col(c), F.lit(0.0)) / norm).alias(name)
             for name, c in columns.items()
         ],
     )
+
+
+def _products_per_text(
+    corpus: DataFrame,
+    idf: IdfTable,
+    pulled: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str],
+    text_col: str,
+) -> DataFrame:
+    """Rows (id, columns): inner products alone, from occurrences of the references' terms.
+
+    A term's count is a factor of its product, so occurrences are summed as they come, without
+    counting them per term first. The references' terms were checked to be few enough to broadcast.
+    """
+    weights = idf.terms.select("term", "idf").join(pulled, "term")
+    values = weights.select("term", *[(F.col("idf") * F.col(c)).alias(c) for c in columns])
+    occurrences = corpus.select(*keys, F.explode(words(text_col)).alias("term"))
+    matched = occurrences.join(F.broadcast(values), "term")
+    return matched.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])

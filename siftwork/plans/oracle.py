@@ -399,6 +399,7 @@ SQL["tfidf_sim_single"] = f"WITH {similarity(ONE_TEXT)} {SIMILARITY_RESULT}"
 SQL["tfidf_sim_multi"] = (
     f"WITH {similarity('SELECT item_id AS ref_id, text FROM benchmark')} {SIMILARITY_RESULT}"
 )
+SQL["tfidf_sim_stored"] = SQL["tfidf_sim_multi"]
 SQL["tfidf_feature"] = f"""WITH {similarity(ONE_TEXT)}
 SELECT doc_id, {count_of(THE.keywords)} AS _the,
        round(coalesce(s, 0.0::DOUBLE) * 2, 6) AS _like, 0.0::DOUBLE AS _nothing

@@ -7,11 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.functions.stopwords import ENGLISH
 from siftwork.functions.text import highlight, keyword_count, tokenize
 from siftwork.operators import classifier, embeddings, explore, features, labels, references, stats
 from siftwork.operators.classifier import FittedModel
-from siftwork.operators.tfidf import fit_idf, similarities, text_list, vectors
+from siftwork.operators.tfidf import fit_idf, similarities, text_norms, vectors
 from siftwork.plans.triage import (
     compute_features,
     relabel,
@@ -88,6 +87,11 @@ def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def passages(spark: SparkSession, folder: str) -> DataFrame:
+    """All benchmark passages as reference texts."""
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("ref_id"), "text")
+
+
 def featured(spark: SparkSession, folder: str) -> DataFrame:
     return features.featurize(spread_documents(spark, folder), SPECS)
 
@@ -580,10 +584,12 @@ def tfidf_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _similarity(
-    spark: SparkSession, folder: str, reference: DataFrame | Sequence[str]
+    spark: SparkSession, folder: str, reference: DataFrame | Sequence[str], stored: bool = False
 ) -> DataFrame:
     corpus = texts(spark, folder)
-    found = similarities(corpus, fit_idf(corpus), {"similarity": reference})
+    idf = fit_idf(corpus)
+    norms = text_norms(corpus, idf) if stored else None
+    found = similarities(corpus, idf, {"similarity": reference}, norms=norms)
     joined = corpus.select("doc_id").join(found, "doc_id", "left")
     return joined.select(
         "doc_id", F.round(F.coalesce("similarity", F.lit(0.0)), DIGITS).alias("similarity")
@@ -598,8 +604,13 @@ def tfidf_sim_single(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def tfidf_sim_multi(spark: SparkSession, folder: str) -> DataFrame:
     """Similarity to the mean of all benchmark passages."""
-    passages = table(spark, folder, "benchmark").select(F.col("item_id").alias("ref_id"), "text")
-    return _similarity(spark, folder, passages)
+    return _similarity(spark, folder, passages(spark, folder))
+
+
+@query
+def tfidf_sim_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, with text norms stored beforehand as for a further feature."""
+    return _similarity(spark, folder, passages(spark, folder), stored=True)
 
 
 @query
@@ -622,12 +633,8 @@ def example_anchor(spark: SparkSession, folder: str) -> DataFrame:
 def reference_short(spark: SparkSession, folder: str) -> DataFrame:
     """Names of references: every document's text, and every benchmark passage."""
     own = table(spark, folder, "documents").select(F.col("doc_id").alias("ref_id"), "text")
-    passages = table(spark, folder, "benchmark").select(
-        (-1 - F.col("item_id")).alias("ref_id"), "text"
-    )
-    return references.short_references(
-        own.unionByName(passages), table(spark, folder, "documents")
-    )
+    others = passages(spark, folder).withColumn("ref_id", -1 - F.col("ref_id"))
+    return references.short_references(own.unionByName(others), table(spark, folder, "documents"))
 
 
 @query
@@ -636,12 +643,10 @@ def reference_by_id(spark: SparkSession, folder: str) -> DataFrame:
     ids = table(spark, folder, "labels").select(
         F.col("doc_id").alias("ref_id"), F.col("doc_id").cast("string").alias("entry")
     )
-    passages = table(spark, folder, "benchmark").select(
-        (-1 - F.col("item_id")).alias("ref_id"), F.col("text").alias("entry")
-    )
-    return references.resolve_entries(
-        ids.unionByName(passages), table(spark, folder, "documents")
+    literal = passages(spark, folder).select(
+        (-1 - F.col("ref_id")).alias("ref_id"), F.col("text").alias("entry")
     )
+    return references.resolve_entries(ids.unionByName(literal), table(spark, folder, "documents"))
 
 
 # Embeddings

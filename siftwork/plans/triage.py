@@ -44,11 +44,12 @@ def compute_features(
     idf: IdfTable | None = None,
     embeddings: DataFrame | None = None,
     keep: Sequence[str] = (),
+    norms: DataFrame | None = None,
 ) -> DataFrame:
     """Ids, kept columns and features, without the text, written to the shared folder."""
     wanted = [*keys_of(id_col), *keep]
     source = corpus.select(*dict.fromkeys([*wanted, text_col]))
-    featured = featurize(source, specs, id_col, text_col, idf, embeddings)
+    featured = featurize(source, specs, id_col, text_col, idf, embeddings, norms=norms)
     return durable(featured.select(*wanted, *feature_columns(specs)), "features")
 
 

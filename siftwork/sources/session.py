@@ -46,6 +46,7 @@ class Session:
     training: DataFrame | None = None
     sample: DataFrame | None = None
     embeddings: DataFrame | None = None
+    norms: DataFrame | None = None
     version: str = field(default_factory=lambda: siftwork.__version__)
 
 
@@ -67,6 +68,7 @@ def save_session(spark: SparkSession, session: Session, path: str) -> str:
         "training": session.training,
         "sample": session.sample,
         "embeddings": session.embeddings,
+        "norms": session.norms,
         "idf": idf.terms if idf else None,
         "specs": _numbered(spark, [(spec_to_json(s),) for s in session.specs], "spec string"),
         "model": None,
@@ -130,6 +132,7 @@ def load_session(spark: SparkSession, path: str, save: str | None = None) -> Ses
         training=read("training"),
         sample=read("sample"),
         embeddings=read("embeddings"),
+        norms=read("norms"),
         version=meta.version,
     )
 

@@ -96,6 +96,20 @@ def test_frequent_and_rare_terms_give_the_same_sums(fun, bounds):
     }
 
 
+@pytest.mark.parametrize("bounds", [{}, {"max_rows": 1}])
+def test_stored_norms_give_the_same_similarities(fun, bounds):
+    idf = tfidf.fit_idf(fun)
+    norms = tfidf.text_norms(fun, idf)
+    refs = {"one": [FUN_TEXTS[0]], "two": [FUN_TEXTS[4], FUN_TEXTS[9]], "none": ["xyzzy"]}
+    rows = {r.doc_id: r for r in tfidf.similarities(fun, idf, refs, norms=norms, **bounds).collect()}
+    for name, texts in refs.items():
+        got = [rows[i][name] if i in rows else 0.0 for i in range(12)]
+        assert got == pytest.approx(brute_force(FUN_TEXTS, texts))
+    spec = TfidfFeature("t", references=(FUN_TEXTS[0],))
+    featured = values(featurize(fun, [spec], idf=idf, norms=norms), "_t")
+    assert featured == pytest.approx(brute_force(FUN_TEXTS, [FUN_TEXTS[0]]))
+
+
 def test_head_threshold_keeps_bounds(fun):
     idf = tfidf.fit_idf(fun)
     assert tfidf.head_threshold(idf) == 1
