@@ -54,7 +54,8 @@ def featurize(
     join by id; embedding features join the table of cached embeddings ``(id, embedding)`` by id.
     Select the columns you need afterwards: the text is then pruned before those joins and only ids
     and numbers are shuffled. ``idf`` is the fitted table to use; without it, one is fitted on this
-    corpus; ``norms`` are its stored text norms, if any. With ``normalize``, columns are divided by their sums over ``reference`` or this corpus.
+    corpus; ``norms`` are its stored text norms, if any. With ``normalize``, columns are divided by
+    their sums over ``reference`` or this corpus.
     """
     check_specs(specs)
     keys = keys_of(id_col)

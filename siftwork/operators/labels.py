@@ -1,9 +1,9 @@
 """The label ledger: an append-only table of label events ``(seq, id, text, label)``.
 
 Labels are 1 (interesting), 0 (uninteresting) and -1 (unlabelled). ``seq`` orders the events and no
-two events of one id share it; the current state is always an aggregation over the ledger, so replaying it in any order, or twice, gives
-the same result. Aggregations combine on the map side, so a row relabelled millions of times is no
-hot spot.
+two events of one id share it; the current state is always an aggregation over the ledger, so
+replaying it in any order, or twice, gives the same result. Aggregations combine on the map side, so
+a row relabelled millions of times is no hot spot.
 """
 
 from __future__ import annotations

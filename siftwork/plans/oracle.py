@@ -6,9 +6,7 @@ from collections.abc import Sequence
 
 from siftwork.functions.stopwords import ENGLISH
 from siftwork.plans.queries import (
-    CION,
     COLUMNS,
-    EAU,
     EXAMPLE_ID,
     FIXED_MODEL,
     ION,
@@ -359,10 +357,11 @@ ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 25 OFFSET 25"""
 SQL["page_deep"] = (
     "SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 20 OFFSET 580"
 )
+TWO_PASS = highlight(highlight("text", KEYWORD_REGEX), f"({SEARCH})", "white")
 SQL["page_items"] = f"""WITH {SCORED}, {LABELLED.format("scored")}, {SAMPLE}, shown AS (
     SELECT * FROM labelled WHERE regexp_matches(text, '{SEARCH}', 'i') AND _pred BETWEEN 0.05 AND 1
     ORDER BY n_chars, doc_id LIMIT 10 OFFSET 10)
-SELECT doc_id, {COLOR_SPAN.format(highlight(highlight("text", KEYWORD_REGEX), f"({SEARCH})", "white"))}
+SELECT doc_id, {COLOR_SPAN.format(TWO_PASS)}
     AS text, {BADGE} AS labeled, doc_id IN (SELECT doc_id FROM sample) AS in_sample FROM shown"""
 SQL["row_decoration"] = f"""WITH {SCORED}, {LABELLED.format("scored")}, {SAMPLE}
 SELECT doc_id, {COLOR_SPAN.format(highlight("text", KEYWORD_REGEX))} AS text, {BADGE} AS labeled,

@@ -6,6 +6,7 @@ import os
 import sys
 import time
 import traceback
+from glob import glob
 
 import duckdb
 
@@ -21,9 +22,11 @@ TABLES = (
 def connect(folder: str):
     connection = duckdb.connect()
     for name in TABLES:
-        connection.execute(
-            f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')"
-        )
+        path = f"{folder}/{name}.parquet"
+        if os.path.isdir(path):
+            path += "/*.parquet"
+        if glob(path):
+            connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
     return connection
 
 

@@ -4,7 +4,7 @@ from siftwork.operators import embeddings, explore, labels, tfidf
 from siftwork.operators.classifier import FittedModel
 from siftwork.plans import triage as plan
 from siftwork.sources import corpus, durable, session
-from siftwork.specs import CustomFeature, KeywordFeature, TfidfFeature
+from siftwork.specs import KeywordFeature, TfidfFeature
 from siftwork.streaming.ledger import read_ledger, write_label_stream
 from siftwork.streaming.scoring import score_stream
 from tests.conftest import values
@@ -77,7 +77,9 @@ def test_saving_over_a_loaded_session(spark, fun, tmp_path):
     assert session.load_session(spark, path, first).corpus.count() == 12
 
 
-@pytest.mark.parametrize("version,ok", [("0.8.0", True), ("0.7.2", True), ("0.6.9", False), ("1.0.0", False)])
+@pytest.mark.parametrize(
+    "version,ok", [("0.8.0", True), ("0.7.2", True), ("0.6.9", False), ("1.0.0", False)]
+)
 def test_version_gate(spark, tmp_path, version, ok):
     path = str(tmp_path / "session")
     session.save_session(spark, session.Session(specs=(), version=version), path)
