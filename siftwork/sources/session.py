@@ -7,11 +7,12 @@ not touch the tables being read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,12 +71,15 @@ def save_session(spark: SparkSession, session: Session, path: str) -> str:
         "embeddings": session.embeddings,
         "norms": session.norms,
         "idf": idf.terms if idf else None,
-        "specs": _numbered(spark, [(spec_to_json(s),) for s in session.specs], "spec string"),
+        "specs": _numbered(spark, {"spec": ([spec_to_json(s) for s in session.specs], pa.string())}),
         "model": None,
     }
     if model:
-        rows = list(zip(model.features, model.coefficients))
-        tables["model"] = _numbered(spark, rows, "feature string, coefficient double")
+        columns = {
+            "feature": (model.features, pa.string()),
+            "coefficient": (model.coefficients, pa.float64()),
+        }
+        tables["model"] = _numbered(spark, columns)
     written = {name: table for name, table in tables.items() if table is not None}
     for name, table in written.items():
         table.write.parquet(f"{path}/{save}/{name}")
@@ -137,7 +141,11 @@ def load_session(spark: SparkSession, path: str, save: str | None = None) -> Ses
     )
 
 
-def _numbered(spark: SparkSession, rows: Sequence[tuple], columns: str) -> DataFrame:
-    """A short driver-side list, such as specs or coefficients, as a table in list order."""
-    numbered = [(position, *row) for position, row in enumerate(rows)]
-    return spark.createDataFrame(numbered, f"position int, {columns}").coalesce(1)
+def _numbered(
+    spark: SparkSession, columns: Mapping[str, tuple[Sequence, pa.DataType]]
+) -> DataFrame:
+    """Short driver-side lists, such as specs or coefficients, as a table in list order."""
+    arrays = {name: pa.array(list(values), kind) for name, (values, kind) in columns.items()}
+    size = len(next(iter(arrays.values())))
+    table = pa.table({"position": pa.array(range(size), pa.int32()), **arrays})
+    return spark.createDataFrame(table).coalesce(1)
