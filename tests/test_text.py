@@ -66,8 +66,12 @@ def test_keyword_count_is_what_python_counts(spark, texts, keywords):
     assert got == want
 
 
+# Java and Python know different versions of Unicode; these letters are the same in both.
+OLD_SCRIPTS = st.characters(max_codepoint=0x4FF)
+
+
 @settings(max_examples=6, deadline=None)
-@given(st.lists(st.text(max_size=40), min_size=5, max_size=5))
+@given(st.lists(st.text(OLD_SCRIPTS, max_size=40), min_size=5, max_size=5))
 def test_tokens_are_what_python_finds(spark, texts):
     texts = [t.lower() for t in texts]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
