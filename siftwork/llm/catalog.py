@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import pack, quality, simhash
+from siftwork.llm import lines, mix, pack, quality, simhash, syncmers
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,6 +20,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_mix(spark: SparkSession, folder: str) -> DataFrame:
+    uses = mix.schedule(table(spark, folder, "documents"))
+    source = F.when(F.col("source_key") != "", F.expr("substring(source_key, 2)")).alias("source")
+    return uses.select(F.col("key").alias("doc_id"), source, "epoch", "turn", "slot", "release", "deadline", "begin")
+
+
+def op5_lines(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = lines.decisions(docs).withColumnRenamed("key", "doc_id")
+    rows = docs.select("doc_id").join(found, "doc_id", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_exact", "n_near", "n_links")]
+    return rows.select("doc_id", *counts, F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.classes(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
@@ -39,10 +53,24 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = syncmers.edited_pairs(table(spark, folder, "documents"))
+    return rows.select(
+        F.col("key").alias("doc_id"), "n_chars", "edited_sha256",
+        syncmers.as_text("sketch").alias("fingerprint"),
+        syncmers.as_text("edited_sketch").alias("edited_fingerprint"),
+        syncmers.likeness("sketch", "edited_sketch").alias("near_edited"),
+        syncmers.likeness("sketch", "next_sketch").alias("near_next"),
+    )
+
+
 QUERIES = {
+    "op2_mix": op2_mix,
+    "op5_lines": op5_lines,
     "op7_simhash": op7_simhash,
     "op8_pack": op8_pack,
     "op9_quality": op9_quality,
+    "op10_syncmers": op10_syncmers,
 }
 
 OP9 = r"""
@@ -73,4 +101,78 @@ judged AS (
 SELECT *, failures & 3 <> 0 AS base_failed, failures = 0 AS kept FROM judged
 """
 
-SQL = {"op9_quality": OP9}
+OP2 = """
+WITH RECURSIVE sums AS (
+  SELECT source, doc_id, sum(greatest(coalesce(n_chars, 1), 1))::BIGINT AS cost
+  FROM documents GROUP BY ALL),
+placed AS (
+  SELECT *, (coalesce(sum(cost) OVER (PARTITION BY source ORDER BY md5('mix' || coalesce(doc_id::VARCHAR, '')), doc_id
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begin
+  FROM sums),
+totals AS (
+  SELECT source, sum(cost)::BIGINT AS total, max(begin) // 16384 AS last,
+         floor(sqrt(sum(cost)::DOUBLE * sqrt(sum(cost)::DOUBLE)) * 1000)::BIGINT AS power
+  FROM placed GROUP BY source),
+scaled AS (
+  SELECT *, (1000 - count(*) OVER ()) * power AS s, sum(power) OVER ()::BIGINT AS everything, count(*) OVER () AS n_sources
+  FROM totals),
+parts AS (
+  SELECT *, s // everything AS part,
+         row_number() OVER (ORDER BY s % everything DESC, coalesce('=' || source, '')) AS place
+  FROM scaled),
+shares AS (
+  SELECT *, (1 + part + (place <= 1000 - n_sources - sum(part) OVER ())::INT)::BIGINT AS share,
+         row_number() OVER (ORDER BY coalesce('=' || source, '')) AS number
+  FROM parts),
+b AS (SELECT list(share ORDER BY number) AS b FROM shares),
+steps AS (
+  SELECT -1::BIGINT AS slot, list_transform(b, lambda x: 0::BIGINT) AS done, 0::BIGINT AS number FROM b
+  UNION ALL
+  SELECT slot + 1, list_transform(done, lambda x, i: x + (i = pick)::BIGINT), pick FROM (
+    SELECT slot, done, list_min(list_filter(list_transform(done, lambda x, i:
+      CASE WHEN x < b[i] AND (x * 1000) // b[i] <= slot + 1
+           THEN (((x + 1) * 1000 + b[i] - 1) // b[i]) * 10000 + i END), lambda v: v IS NOT NULL)) % 10000 AS pick
+    FROM steps, b WHERE slot < 999)),
+one AS (SELECT slot, number, row_number() OVER (PARTITION BY number ORDER BY slot) - 1 AS turn FROM steps WHERE slot >= 0),
+finish AS (SELECT max((last // share) * 1000 + slot) AS finish FROM shares JOIN one
+           ON one.number = shares.number AND one.turn = last % share),
+used AS (SELECT number, sum((finish - slot + 1000) // 1000)::BIGINT AS used FROM one, finish GROUP BY number),
+uses AS (
+  SELECT doc_id, placed.source, begin, share, s.number, last + 1 AS n, begin // 16384 AS block,
+         unnest(range(0, (used - 1 - begin // 16384) // (last + 1) + 1)) AS epoch
+  FROM placed JOIN shares s ON placed.source IS NOT DISTINCT FROM s.source JOIN used ON used.number = s.number)
+SELECT doc_id, source, epoch, block + epoch * n AS turn,
+       ((block + epoch * n) // share) * 1000 + slot AS slot,
+       ((block + epoch * n) // share) * 1000 + (one.turn * 1000) // share AS release,
+       ((block + epoch * n) // share) * 1000 + ((one.turn + 1) * 1000 + share - 1) // share AS deadline, begin
+FROM uses JOIN one ON one.number = uses.number AND one.turn = (block + epoch * n) % share
+"""
+
+OP5 = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+lines AS (SELECT * FROM split WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+firsts AS (SELECT line, strlen(line) AS n, min((doc_id, pos)) AS first FROM lines GROUP BY line),
+pairs AS (
+  SELECT a.line AS a, b.line AS b, a.first AS first_a, b.first AS first_b
+  FROM (SELECT *, unnest([n, n + 1, n + 2]) AS other FROM firsts) a JOIN firsts b ON b.n = a.other
+  WHERE (b.n > a.n OR b.line > a.line) AND a.n >= 20 AND b.n - a.n <= least(2, a.n // 20)
+    AND levenshtein(a.line, b.line) <= least(2, a.n // 20)),
+ends AS (SELECT a AS line, first_b < first_a AS earlier FROM pairs
+         UNION ALL SELECT b, first_a < first_b FROM pairs),
+near AS (SELECT line, bool_or(earlier) AS near, count(*) AS n_links FROM ends GROUP BY line),
+judged AS (
+  SELECT doc_id, pos, (doc_id, pos) <> first AS exact, coalesce(near, false) AND (doc_id, pos) = first AS near,
+         coalesce(n_links, 0) AS n_links
+  FROM lines JOIN firsts USING (line) LEFT JOIN near USING (line)),
+found AS (
+  SELECT doc_id, count(*) AS n_lines, sum(exact::INT) AS n_exact, sum(near::INT) AS n_near, sum(n_links) AS n_links,
+         coalesce(string_agg(CASE WHEN exact OR near THEN pos::VARCHAR END, ',' ORDER BY pos), '') AS removed
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_exact, 0)::BIGINT AS n_exact,
+       coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+SQL = {"op2_mix": OP2, "op5_lines": OP5, "op9_quality": OP9}
