@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import lines, mix, pack, quality, simhash, syncmers
+from siftwork.llm import chat, langid, lines, mix, pack, quality, simhash, syncmers
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,6 +20,21 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def held_out(spark_key: str, parts: int, rest: int):
+    """Whether the CRC of a key leaves this rest; a null key is not held out."""
+    return F.coalesce(F.crc32(F.col(spark_key).cast("string").cast("binary")) % parts == rest, F.lit(False))
+
+
+def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    known = docs.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    model = langid.fit(known.select(F.col("doc_id").alias("key"), "text", "lang"))
+    rows = docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), langid.identify(docs, model).alias("found"))
+    return rows.select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", F.size("found.spans").alias("n_spans")
+    )
+
+
 def op2_mix(spark: SparkSession, folder: str) -> DataFrame:
     uses = mix.schedule(table(spark, folder, "documents"))
     source = F.when(F.col("source_key") != "", F.expr("substring(source_key, 2)")).alias("source")
@@ -34,6 +49,24 @@ def op5_lines(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
 
+def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    out = chat.conversations(chat.chains(turns.union(extra)))
+    read = out.select("conv", "formatted", "loss", chat.turns_of("formatted").alias("turns"))
+    line = F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n")))
+    loss = chat.loss_text("formatted", "loss")
+    return read.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.classes(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
@@ -65,8 +98,10 @@ def op10_syncmers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op2_mix": op2_mix,
     "op5_lines": op5_lines,
+    "op6_chat": op6_chat,
     "op7_simhash": op7_simhash,
     "op8_pack": op8_pack,
     "op9_quality": op9_quality,
@@ -175,4 +210,21 @@ SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_exact, 0)::BI
 FROM documents LEFT JOIN found USING (doc_id)
 """
 
-SQL = {"op2_mix": OP2, "op5_lines": OP5, "op9_quality": OP9}
+OP6 = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+framed AS (
+  SELECT *, length(regexp_replace(text, '([\[<])(\\*)(/?(?:INST\]|ROLE|s>))', '\1/\2\3', 'g')) AS n FROM said),
+sized AS (
+  SELECT *, n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 16 + length(role) END AS chars FROM framed)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+SQL = {"op6_chat": OP6, "op2_mix": OP2, "op5_lines": OP5, "op9_quality": OP9}

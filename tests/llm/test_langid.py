@@ -1,0 +1,87 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siftwork.llm import langid
+from siftwork.llm.words import find_words
+
+VOCABULARY = {
+    "aa": ["tide", "lamp", "harbour", "night", "window", "reading", "quick", "silver"],
+    "bb": ["maré", "janela", "noite", "leitura", "porto", "prata", "rápido", "lâmpada"],
+    "cc": ["окно", "ночь", "гавань", "лампа", "чтение", "серебро", "быстро", "прилив"],
+}
+
+
+def sentence(rng, lang, n):
+    return " ".join(rng.choice(VOCABULARY[lang]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    rng = random.Random(1)
+    rows = [(i, sentence(rng, lang, 30), lang) for i in range(300) for lang in VOCABULARY]
+    return langid.fit(spark.createDataFrame(rows, "key bigint, text string, lang string"))
+
+
+def labelled(spark, model, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = docs.select("i", langid.identify(docs, model).alias("f")).orderBy("i").collect()
+    return [(r.f.lang, r.f.score, [(s.begin, s.end, s.lang) for s in r.f.spans]) for r in rows]
+
+
+def test_spans_of_a_mixed_text(spark, model):
+    rng = random.Random(2)
+    text = "\n".join([sentence(rng, "aa", 20), sentence(rng, "bb", 15), sentence(rng, "cc", 30)])
+    lang, score, spans = labelled(spark, model, [text])[0]
+    assert lang == "cc" and 0 < score < 1
+    assert [s[2] for s in spans] == ["aa", "bb", "cc"]
+    assert abs(spans[0][1] - 20) <= 1 and abs(spans[1][1] - 35) <= 1 and spans[2][1] == 65
+
+
+def test_undetermined_and_odd_texts(spark, model, odd_rows):
+    got = labelled(spark, model, [None, "", " \n", "123 %% --", "1 окно 2", "\U0001f600"])
+    assert [g[0] for g in got] == ["und", "und", "und", "und", "cc", "und"]
+    assert [g[1] for g in got] == [0, 0, 0, 0, 1, 0]
+    every = labelled(spark, model, [r[1] for r in odd_rows])
+    assert all(0 <= g[1] <= 1 and g[0] in {*VOCABULARY, "und"} for g in every)
+    assert every[7] == every[8]
+
+
+def test_scripts_narrow_the_languages(model):
+    words = find_words(__import__("pyarrow").array(["ночь night 12"]))
+    _, scripts = langid.word_letters(words)
+    scores = model.emissions(words, scripts)
+    cyrillic = model.languages.index("cc")
+    assert scores[0].argmax() == cyrillic and (np.delete(scores[0], cyrillic) <= -langid.FOREIGN).all()
+    assert scores[1, cyrillic] <= -langid.FOREIGN and (scores[2] == 0).all()
+
+
+def test_best_paths_by_brute_force():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    first = np.array([0, 5, 5, 6, 12])
+    scores = rng.normal(0, 2, (12, 3)).astype(np.float32)
+    path = langid.best_paths(scores, first, 1.5)
+    value = lambda p, a: sum(scores[a + i, s] for i, s in enumerate(p)) - 1.5 * sum(x != y for x, y in zip(p, p[1:]))
+    for a, b in zip(first, first[1:]):
+        best = max((value(p, a) for p in product(range(3), repeat=b - a)), default=0)
+        assert abs(value(path[a:b].tolist(), a) - best) < 1e-4
+
+
+def test_nothing_labelled_and_empty_table(spark, empty):
+    none = langid.fit(empty.selectExpr("doc_id as key", "text", "lang"))
+    assert labelled(spark, none, ["tide lamp"]) == [("und", 0.0, [])]
+    assert empty.select(langid.identify(empty, none)).count() == 0
+
+
+def test_held_out_accuracy(spark, tmp_path):
+    from siftwork.llm.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    rows = QUERIES["op1_langid"](spark, folder).where("held_out")
+    truth = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    right = rows.join(truth, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"))
+    assert right.collect()[0].a > 0.98
