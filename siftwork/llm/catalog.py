@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import chat, langid, lines, mix, pack, quality, simhash, syncmers
+from siftwork.llm import chat, langid, lines, maxent, mix, pack, quality, simhash, syncmers
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -41,6 +41,19 @@ def op2_mix(spark: SparkSession, folder: str) -> DataFrame:
     return uses.select(F.col("key").alias("doc_id"), source, "epoch", "turn", "slot", "release", "deadline", "begin")
 
 
+def op3_maxent(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select(F.col("doc_id").alias("key"), held_out("doc_id", 5, 1).alias("flag"), text)
+    training = rows.where(~F.col("flag")).select("key", "text")
+    counts_table, counts = maxent.gather(training)
+    found = maxent.score(rows, counts_table, maxent.train(training, counts))
+    return found.select(
+        F.col("key").alias("doc_id"), F.col("flag").alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        F.col("base").alias("base_score"), "score",
+    )
+
+
 def op5_lines(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = lines.decisions(docs).withColumnRenamed("key", "doc_id")
@@ -100,6 +113,7 @@ def op10_syncmers(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_mix": op2_mix,
+    "op3_maxent": op3_maxent,
     "op5_lines": op5_lines,
     "op6_chat": op6_chat,
     "op7_simhash": op7_simhash,
