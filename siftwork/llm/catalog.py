@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import chat, langid, lines, maxent, mix, pack, quality, simhash, syncmers
+from siftwork.llm import automata, chat, langid, lines, maxent, mix, pack, quality, simhash, syncmers
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -54,6 +54,11 @@ def op3_maxent(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_automata(spark: SparkSession, folder: str) -> DataFrame:
+    found = automata.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_lines(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = lines.decisions(docs).withColumnRenamed("key", "doc_id")
@@ -114,6 +119,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op2_mix": op2_mix,
     "op3_maxent": op3_maxent,
+    "op4_automata": op4_automata,
     "op5_lines": op5_lines,
     "op6_chat": op6_chat,
     "op7_simhash": op7_simhash,

@@ -4,6 +4,9 @@ The first pass writes each document's ids with its offset inside its partition.
 partitions' token totals then give every document a global offset, and the second pass cuts it wherever a
 window ends. Only partition totals, one row per partition, are gathered; texts are never shuffled.
 
+Documents follow each other as they are scanned, or, where the caller names a file column and a row column,
+in the order of file names and of rows in each file.
+
 A null or empty text is one end token. Repeated rows are packed once each. The input may have any columns.
 """
 
@@ -16,17 +19,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.ship import durable, ship
+from siftwork.llm.ship import packed, ship
 from siftwork.llm.words import LOWER, buffer, find_words, slices, span_hashes
 
 LENGTH = 4096
 END = 2
 CACHE_WORDS = 1_500_000
-STORED = "part int, at bigint, doc_id bigint, n bigint, ids binary"
+STORED = "file string, lead bigint, at bigint, doc_id bigint, n bigint, ids binary"
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint"
@@ -122,10 +124,13 @@ def encoder(path: str) -> Encoder:
 
 
 def token_rows(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of STORED for the documents of a partition."""
+    """Rows of STORED for the (doc_id, text, file, row) of a partition.
+
+    `at` counts the ids ahead in the same partition and file; `lead` is the first row of that stretch.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, part, total = encoder(path), TaskContext.get().partitionId(), 0
+        work, file, lead, total = encoder(path), None, 0, 0
         for batch in batches:
             for i, j in slices(batch.column(1)):
                 ids, counts = work.texts(batch.column(1).slice(i, j - i))
@@ -136,17 +141,25 @@ def token_rows(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 blob = pa.Array.from_buffers(
                     pa.large_binary(), len(counts), [None, bounds, pa.py_buffer(ids.tobytes())]
                 )
+                leads, ats = [], []
+                places = zip(batch.column(2).slice(i, j - i).to_pylist(), batch.column(3).slice(i, j - i).to_pylist())
+                for (name, row), n in zip(places, counts.tolist()):
+                    if name != file:
+                        file, lead, total = name, row, 0
+                    leads.append(lead)
+                    ats.append(total)
+                    total += n
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(counts), part, dtype=np.int32)),
-                        pa.array(total + after - counts),
+                        batch.column(2).slice(i, j - i),
+                        pa.array(leads, pa.int64()),
+                        pa.array(ats, pa.int64()),
                         batch.column(0).slice(i, j - i),
                         pa.array(counts),
                         blob.cast(pa.binary()),
                     ],
-                    names=["part", "at", "doc_id", "n", "ids"],
+                    names=["file", "lead", "at", "doc_id", "n", "ids"],
                 )
-                total += int(after[-1])
 
     return rows
 
@@ -188,22 +201,36 @@ def cut_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return rows
 
 
-def token_table(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text"):
-    """Ids of each document, written once, with offsets inside each partition."""
+def token_table(
+    docs: DataFrame,
+    tokenizer: str,
+    end: int = END,
+    key: str = "doc_id",
+    text: str = "text",
+    order: tuple[str, str] | None = None,
+) -> DataFrame:
+    """Ids of each document, written once, with offsets inside each stretch of rows.
+
+    `order` names a file column and a row column. Without it each scanned partition is a stretch.
+    """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return durable(rows.mapInArrow(token_rows(tokenizer, end), STORED), "tokens")
+    place = [F.lit("").alias("file"), F.spark_partition_id().cast("long").alias("row")]
+    if order:
+        place = [F.col(order[0]).cast("string").alias("file"), F.col(order[1]).cast("long").alias("row")]
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *place)
+    return packed(rows.mapInArrow(token_rows(tokenizer, end), STORED), "tokens")
 
 
 def pieces(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     """Pieces of the stored documents in windows of `length`; the last window may be shorter.
 
-    The broadcast table has one row per partition of the first pass, which the driver schedules anyway.
+    The broadcast table has one row per partition and file of the first pass, which the driver schedules
+    anyway.
     """
-    totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base"))
-    placed = tokens.join(F.broadcast(base), "part")
+    totals = tokens.groupBy("file", "lead").agg(F.sum("n").alias("total"))
+    ahead = Window.orderBy("file", "lead").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("file", "lead", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base"))
+    placed = tokens.join(F.broadcast(base), ["file", "lead"])
     placed = placed.select((F.col("base") + F.col("at")).alias("offset"), "doc_id", "n", "ids")
     return placed.mapInArrow(cut_rows(length), PIECES)
 
@@ -218,6 +245,8 @@ def padded(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.withColumn("padded", F.when(power, F.col("tokens")).otherwise(F.lit(length)))
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, key: str = "doc_id", text: str = "text"):
+def pack(
+    docs: DataFrame, tokenizer: str, length: int = LENGTH, order: tuple[str, str] | None = None
+) -> DataFrame:
     """All documents as pieces of windows."""
-    return pieces(token_table(docs, tokenizer, key=key, text=text), length)
+    return pieces(token_table(docs, tokenizer, order=order), length)

@@ -143,3 +143,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int
     joined = nodes.join(found, nodes["low"] == found["node"], "left")
     named = joined.select("fp", F.coalesce("component", "low").alias("component_id"))
     return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+    """One document of each component, the one with the smallest key, with the columns it came with.
+
+    Of rows that share a key one stays. Rows without a key can't be named in a component and stay.
+    """
+    found = classes(docs, key, text, bits)
+    later = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("later")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(key).alias("own")).join(later, F.col("own") == F.col("later"), "left_anti")
+    apart = F.when(F.col("own").isNull(), F.monotonically_increasing_id())
+    return rows.withColumn("apart", apart).dropDuplicates(["own", "apart"]).select("row.*")

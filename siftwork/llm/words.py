@@ -135,3 +135,17 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out = out * BASE + hashes[j : j + n]
     return mix(out)
+
+
+def joined(words: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kept words, a space behind each: the bytes, where each word begins, and how many each text keeps."""
+    start, end = (words.start, words.end) if keep is None else (words.start[keep], words.end[keep])
+    size = end - start + 1
+    begin = np.cumsum(size) - size
+    if not len(start):
+        return np.empty(0, dtype=np.uint8), begin, np.zeros(len(words.first) - 1, dtype=np.int64)
+    take = np.repeat(start - begin, size) + np.arange(int(size.sum()))
+    out = words.data[np.minimum(take, len(words.data) - 1)]
+    out[begin + size - 1] = 32
+    text = words.text_of_word() if keep is None else words.text_of_word()[keep]
+    return out, begin, np.bincount(text, minlength=len(words.first) - 1)

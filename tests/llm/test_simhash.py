@@ -69,3 +69,13 @@ def test_chains_connect(spark, length):
     found = connect(spark.createDataFrame(links, "a bigint, b bigint"))
     got = {r.node: r.component for r in found.collect()}
     assert got == {i: 0 for i in range(length + 1)} | {200: 200, 203: 200, 205: 200}
+
+
+def test_one_of_each_group_stays(odd, odd_rows, empty, spark):
+    label = groups({d: print_of(t) for d, t, *_ in odd_rows})
+    kept = simhash.keep_first(odd.union(odd))
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
+    assert simhash.keep_first(empty).count() == 0
+    nameless = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "a b c d")], "doc_id bigint, text string")
+    assert [r.doc_id for r in simhash.keep_first(nameless).collect()].count(None) == 2
