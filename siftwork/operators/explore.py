@@ -15,18 +15,19 @@ from siftwork.functions.text import (
     label_badge,
     prediction_span,
 )
-from siftwork.operators.ordering import SHALLOW_ROWS, take_slice
+from siftwork.operators.ordering import first_rows, take_slice
 from siftwork.sources.corpus import LABEL, PREDICTION
 from siftwork.specs import Feature, KeywordFeature
 
 # Fixed values.
 DEFAULT_SAMPLE = 100
 DEFAULT_PAGE = 10
-MAX_PAGE = 1000
+LARGEST_ID = 2**63 - 1
 INTERESTING_COLOR = "#FB8C00"
 UNINTERESTING_COLOR = "#2196F3"
 UNTRAINED_COLOR = "white"
 ID_SEARCH = "ID:"
+TABS = ("Sample", "Labeled", "Interesting", "Selected")
 
 
 # Lists of rows
@@ -69,13 +70,12 @@ def random_sample(
     n: int = DEFAULT_SAMPLE,
     seed: int = 0,
     id_col: str = "doc_id",
-    shallow: int = SHALLOW_ROWS,
 ) -> DataFrame:
     """Exactly n rows without replacement as (pos, id); all rows by id when there are no more."""
     total = df.agg(F.count(F.lit(1))).scalar()
     position = F.when(total <= n, F.col(id_col)).otherwise(sample_order(id_col, seed))
     placed = df.select(position.cast("bigint").alias("pos"), id_col)
-    return take_slice(placed, [("pos", False), (id_col, False)], 0, n, shallow)
+    return first_rows(placed, [("pos", False), (id_col, False)], n)
 
 
 def append_to_sample(sample: DataFrame, row_id: int, id_col: str = "doc_id") -> DataFrame:
@@ -126,13 +126,13 @@ def search(
     """Rows whose text matches a regular expression, ignoring case; "ID:n" finds a row by id.
 
     With ``texts``, a table (id, text), the rows need no text of their own: matching ids are found
-    there, and only ids are joined.
+    there, and only ids are joined. A number that no id can be finds nothing.
     """
     if not pattern:
         return df
     tail = pattern[len(ID_SEARCH) :]
     if pattern.startswith(ID_SEARCH) and tail.isdecimal():
-        return df.where(F.col(id_col) == int(tail))
+        return df.where(F.col(id_col) == int(tail)) if int(tail) <= LARGEST_ID else df.limit(0)
     matches = F.col(text_col).rlike(ignore_case(pattern))
     if texts is None:
         return df.where(matches)
@@ -158,9 +158,15 @@ def filter_chain(
     id_col: str = "doc_id",
     texts: DataFrame | None = None,
 ) -> DataFrame:
-    """Tab, then search, then score range."""
-    kept = tab(df, tab_name, sample, selected, id_col)
-    return prediction_range(search(kept, pattern, text_col, id_col, texts), low, high)
+    """Tab, score range and search; the search, which is the costly one, comes last.
+
+    Where the tab or the range leave only some rows, their ids pick the texts to be searched.
+    """
+    kept = prediction_range(tab(df, tab_name, sample, selected, id_col), low, high)
+    narrowed = tab_name in TABS or (PREDICTION in df.columns and (low, high) != (0.0, 1.0))
+    if texts is not None and pattern and narrowed:
+        texts = texts.join(kept.select(id_col), id_col, "left_semi")
+    return search(kept, pattern, text_col, id_col, texts)
 
 
 def feature_active(df: DataFrame, *features: str) -> DataFrame:
@@ -186,7 +192,6 @@ def page(
     sort_by: str | None = None,
     descending: bool = False,
     id_col: str = "doc_id",
-    shallow: int = SHALLOW_ROWS,
 ) -> DataFrame:
     """Page ``number``, counted from 1, of the sorted rows; all rows when size is None.
 
@@ -201,7 +206,7 @@ def page(
     else:
         order = [(sort_by, descending), (id_col, False)] + ([("pos", False)] if listed else [])
     offset = 0 if size is None else (number - 1) * size
-    return take_slice(df, order, offset, size, shallow)
+    return take_slice(df, order, offset, size)
 
 
 def with_texts(
@@ -209,15 +214,9 @@ def with_texts(
 ) -> DataFrame:
     """A page of narrow rows with their texts looked up by id.
 
-    The ids of a page are few, so they become a filter that skips most of the texts when the corpus
-    is laid out by id. Longer lists are joined.
+    One join: Spark broadcasts the page, whose size it knows, and reads the texts where they are.
     """
-    page_rows = rows.limit(MAX_PAGE + 1).collect()
-    found = texts.select(id_col, text_col)
-    if len(page_rows) > MAX_PAGE:
-        return rows.join(found, id_col)
-    shown = rows.sparkSession.createDataFrame(page_rows, rows.schema)
-    return shown.join(found.where(F.col(id_col).isin([r[id_col] for r in page_rows])), id_col)
+    return rows.join(texts.select(id_col, text_col), id_col)
 
 
 def keyword_highlight_regex(specs: Sequence[Feature]) -> str:

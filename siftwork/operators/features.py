@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions.numeric import cosine, row_capped, similarity_activation, vector_literal
 from siftwork.functions.text import keyword_count
-from siftwork.operators.tfidf import IdfTable, fit_idf, keys_of, similarities
+from siftwork.operators.tfidf import IdfTable, fit_idf, keys_of, similarities, stored_counts
 from siftwork.specs import (
     CustomFeature,
     EmbeddingFeature,
@@ -34,7 +34,7 @@ def _row_feature(spec: Feature, text_col: str) -> Column:
     """
     if isinstance(spec, KeywordFeature):
         return keyword_feature(spec, text_col) * F.lit(float(spec.weight))
-    return spec.build(F.col(text_col)).cast("double") * F.lit(float(spec.weight))
+    return spec.build(text_col).cast("double") * F.lit(float(spec.weight))
 
 
 def featurize(
@@ -47,6 +47,7 @@ def featurize(
     normalize: bool = False,
     reference: DataFrame | None = None,
     norms: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """The corpus with one weighted column per spec, in spec order.
 
@@ -54,8 +55,8 @@ def featurize(
     join by id; embedding features join the table of cached embeddings ``(id, embedding)`` by id.
     Select the columns you need afterwards: the text is then pruned before those joins and only ids
     and numbers are shuffled. ``idf`` is the fitted table to use; without it, one is fitted on this
-    corpus; ``norms`` are its stored text norms, if any. With ``normalize``, columns are divided by
-    their sums over ``reference`` or this corpus.
+    corpus; ``counts`` and ``norms`` are its stored term counts and text norms, if any. With
+    ``normalize``, columns are divided by their sums over ``reference`` or this corpus.
     """
     check_specs(specs)
     keys = keys_of(id_col)
@@ -67,8 +68,11 @@ def featurize(
     tfidf_specs = [s for s in specs if isinstance(s, TfidfFeature)]
     referenced = {s.column: s.references for s in tfidf_specs if s.references}
     if referenced:
-        idf = idf or fit_idf(corpus, text_col)
-        found = similarities(corpus, idf, referenced, keys, text_col, norms)
+        if counts is None:
+            stop_words = {"stop_words": idf.stop_words} if idf else {}
+            counts = stored_counts(corpus, keys, text_col, **stop_words)
+        idf = idf or fit_idf(corpus, text_col, counts=counts)
+        found = similarities(counts, idf, referenced, keys, text_col, norms)
         featured = featured.join(found, keys, "left")
     weighted = {
         s.column: F.coalesce(F.col(s.column), F.lit(0.0)) * F.lit(float(s.weight))

@@ -8,7 +8,7 @@ a row relabelled millions of times is no hot spot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.sources.corpus import LABEL
@@ -58,31 +58,30 @@ def training_set(
     """The labelled rows: the latest event of each (id, text), where not unlabelled since.
 
     The same id with another text is another row. Unlabelling an id removes all of its rows,
-    whatever their text; later events add rows again.
+    whatever their text; later events add rows again. The winners are found on numbers and then
+    look up their event, so texts enter no aggregation.
     """
-    latest = (
-        events.withColumn("_hash", F.sha2(F.col(text_col), 256))
-        .groupBy(id_col, "_hash")
-        .agg(
-            F.max_by(F.struct("seq", text_col, "label"), F.col("seq")).alias("_event"),
-        )
-    )
+    latest = _latest(events, id_col, text_col)
     removed = (
         events.where(F.col("label") == UNLABELLED)
         .groupBy(id_col)
         .agg(F.max("seq").alias("_removed"))
     )
     kept = latest.join(removed, id_col, "left").where(
-        F.col("_removed").isNull() | (F.col("_event.seq") > F.col("_removed"))
+        F.col("_removed").isNull() | (F.col("seq") > F.col("_removed"))
     )
-    return kept.select(
-        id_col,
-        F.col(f"_event.{text_col}").alias(text_col),
-        F.col("_event.label").cast("int").alias("label"),
-        F.col("_event.seq").alias("seq"),
+    return events.join(kept.select(id_col, "seq"), [id_col, "seq"], "left_semi").select(
+        id_col, text_col, F.col("label").cast("int").alias("label"), "seq"
     )
 
 
+def _latest(events: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Rows (id, seq) of the latest event per id, text and further grouping columns."""
+    hashed = events.select(id_col, "seq", F.sha2(F.col(text_col), 256).alias("_hash"), *more)
+    groups = [c for c in hashed.columns if c != "seq"]
+    return hashed.groupBy(*groups).agg(F.max("seq").alias("seq"))
+
+
 def compact_events(
     events: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -90,13 +89,9 @@ def compact_events(
 
     Keeps the latest event of each (id, text) and each id's latest unlabelling.
     """
-    names = ["seq", id_col, text_col, "label"]
-    by_text = (
-        events.withColumn("_hash", F.sha2(F.col(text_col), 256))
-        .groupBy(id_col, "_hash", (F.col("label") == UNLABELLED).alias("_unlabel"))
-        .agg(F.max_by(F.struct(*names), F.col("seq")).alias("_event"))
-    )
-    return by_text.select("_event.*")
+    unlabel = (F.col("label") == UNLABELLED).alias("_unlabel")
+    kept = _latest(events, id_col, text_col, unlabel).select(id_col, "seq")
+    return events.join(kept, [id_col, "seq"], "left_semi").select("seq", id_col, text_col, "label")
 
 
 def rows_for_training(

@@ -1,9 +1,10 @@
 """Exact slices of a total order without collecting the rows before them.
 
-Nulls sort last in both directions. The order must end in a unique key. Shallow slices are one top-k;
-beyond that, the keys at the slice's two ends are found by narrowing: splitters taken from the data
-divide the rows, one pass counts the rows between splitters, and only the part that holds the wanted
-rank is looked at again. The slice itself is then a plain filter, spread over all tasks.
+Nulls sort last in both directions. The order must end in a unique key. The key at a slice's beginning
+or end is found by narrowing stored keys: splitters taken from the data divide the rows, one pass counts
+the rows between splitters, and only the part that holds the wanted rank is looked at again, until it
+has a page's worth of rows. What lies before or behind a key is then a plain filter, spread over all
+tasks.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-# Up to this depth a slice is one top-k, whose last task sees this many rows of every partition.
-SHALLOW_ROWS = 2_000
+from siftwork.sources.durable import durable
+
 SPLITTERS = 64
+# Narrowing ends with so many rows or fewer, which are sorted.
+LAST_ROWS = 1_000
 
 # (column name, descending)
 Order = Sequence[tuple[str, bool]]
@@ -50,15 +53,15 @@ def _where_key(df: DataFrame, order: Order, key: Row, before: bool) -> DataFrame
 
 
 def key_at_rank(
-    df: DataFrame, order: Order, rank: int, shallow: int = SHALLOW_ROWS
+    df: DataFrame, order: Order, rank: int, last_rows: int = LAST_ROWS
 ) -> Row | None:
-    """The key of the row with this 0-based rank, or None past the end."""
+    """The key of the row with this 0-based rank, or None past the end. Equal keys are refused."""
     names = [name for name, _ in order]
-    pool = df.select(*names)
+    pool = durable(df.select(*names), "order-keys")
     size = pool.count()
     if rank >= size:
         return None
-    while rank >= shallow:
+    while size > last_rows:
         chosen = pool.orderBy(F.xxhash64(*names), *sort_columns(order)).limit(SPLITTERS)
         splitters = chosen.distinct().orderBy(*sort_columns(order)).collect()
         listed = df.sparkSession.createDataFrame(splitters, pool.schema)
@@ -71,7 +74,7 @@ def key_at_rank(
             passed += counts.get(wanted, 0)
             wanted += 1
         if counts[wanted] == size:
-            break  # one key fills the part: splitting cannot make it smaller
+            raise ValueError(f"the order by {names} doesn't end in a unique key")
         if wanted > 0:
             pool = _where_key(pool, order, splitters[wanted - 1], before=False)
         if wanted < len(splitters):
@@ -80,20 +83,22 @@ def key_at_rank(
     return pool.orderBy(*sort_columns(order)).offset(rank).limit(1).first()
 
 
+def first_rows(df: DataFrame, order: Order, count: int, last_rows: int = LAST_ROWS) -> DataFrame:
+    """The first rows of the order, any number of them: all rows before the key that follows."""
+    end = key_at_rank(df, order, count, last_rows)
+    kept = df if end is None else _where_key(df, order, end, before=True)
+    return kept.orderBy(*sort_columns(order))
+
+
 def take_slice(
-    df: DataFrame, order: Order, offset: int, count: int | None, shallow: int = SHALLOW_ROWS
+    df: DataFrame, order: Order, offset: int, count: int | None, last_rows: int = LAST_ROWS
 ) -> DataFrame:
-    """Rows offset .. offset + count of the order; all that follow when count is None."""
-    if count is not None and offset + count <= shallow:
-        return df.orderBy(*sort_columns(order)).offset(offset).limit(count)
+    """Rows offset .. offset + count of the order, a page; all that follow when count is None."""
     kept = df
     if offset:
-        first = key_at_rank(df, order, offset, shallow)
+        first = key_at_rank(df, order, offset, last_rows)
         if first is None:
             return df.limit(0)
         kept = _where_key(kept, order, first, before=False)
-    if count is not None:
-        end = key_at_rank(df, order, offset + count, shallow)
-        if end is not None:
-            kept = _where_key(kept, order, end, before=True)
-    return kept.orderBy(*sort_columns(order))
+    ordered = kept.orderBy(*sort_columns(order))
+    return ordered if count is None else ordered.limit(count)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from siftwork.functions.text import short_text
 
-SHORT_LIST = 10_000
-
 
 def short_references(
     references: DataFrame, corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id"
@@ -16,8 +14,7 @@ def short_references(
     """Rows (ref_id, short): the first id with exactly this text, else the text's beginning.
 
     Texts meet by hash, so no long text is shuffled. The corpus is reduced to the first id per text
-    on the map side before the join, so a text with very many copies is no hot key. A short list of
-    references filters the corpus beforehand.
+    on the map side before the join, so a text with very many copies is no hot key.
     """
     digest = F.sha2(text_col, 256)
     # Never null, or Spark would add a null filter that hashes every text a second time.
@@ -27,8 +24,6 @@ def short_references(
         F.coalesce(digest, F.lit("no text")).alias("_hash"),
     )
     keyed = corpus.select(F.coalesce(digest, F.lit("")).alias("_hash"), id_col)
-    if references.limit(SHORT_LIST + 1).count() <= SHORT_LIST:
-        keyed = keyed.join(F.broadcast(hashed.select("_hash")), "_hash", "left_semi")
     first_ids = keyed.groupBy("_hash").agg(F.min(id_col).alias("_first"))
     return hashed.join(first_ids, "_hash", "left").select(
         "ref_id",
@@ -41,11 +36,15 @@ def resolve_entries(
 ) -> DataFrame:
     """Rows (ref_id, text) of entries (ref_id, entry): an all-digit entry is a row id, else a text.
 
-    An entry naming an id that is not in the corpus yields no row.
+    An entry naming an id that is not in the corpus, or that no id can be, fails the query.
     """
     by_id = F.col("entry").rlike(r"^\d+$")
-    wanted = entries.where(by_id).select("ref_id", F.col("entry").cast("bigint").alias(id_col))
-    found = corpus.select(id_col, text_col).join(wanted, id_col).select("ref_id", text_col)
+    number = F.expr("try_cast(entry AS bigint)")
+    wanted = entries.where(by_id).select("ref_id", "entry", number.alias(id_col))
+    known = corpus.select(id_col, text_col, F.lit(True).alias("_known"))
+    missing = F.raise_error(F.concat(F.lit("no row with id "), F.col("entry")))
+    text = F.when(F.col("_known"), F.col(text_col)).otherwise(missing.cast("string"))
+    found = wanted.join(known, id_col, "left").select("ref_id", text.alias(text_col))
     literal = entries.where(~by_id).select("ref_id", F.col("entry").alias(text_col))
     return found.unionByName(literal)
 

@@ -1,9 +1,9 @@
-"""TF-IDF: fitted idf tables, vectors, and cosine similarity to reference texts.
+"""TF-IDF: stored term counts, fitted idf tables, vectors, and cosine similarity to reference texts.
 
-Term counts are made inside each row, without a shuffle. The only table that grows with the
-vocabulary is the idf table; its most frequent terms, up to a fixed number of rows and bytes, are
-broadcast, and only occurrences of rarer terms are shuffled. A term outside the broadcast part is, by
-its rank, in at most 1 / rows of all postings, so the shuffled part has no hot key.
+A corpus is tokenised once: its term counts are made inside each row, without a shuffle, and stored as
+a narrow table (id, term, tf). Document frequencies, text norms, vectors and every similarity read that
+table. Joins by term have one row per term on the other side and carry no hint: Spark broadcasts a side
+that turns out small and splits the postings of a frequent term otherwise.
 """
 
 from __future__ import annotations
@@ -19,26 +19,15 @@ from siftwork.functions.stopwords import ENGLISH
 from siftwork.functions.text import words
 from siftwork.sources.durable import durable
 
-HEAD_ROWS = 1_000_000
-HEAD_BYTES = 64 * 1024 * 1024
-
 
 @dataclass(frozen=True)
 class IdfTable:
-    """Fitted idf: ``terms(term, df, idf)`` in the shared folder, and how large it is.
-
-    ``classes`` holds (power, terms, bytes) of the terms with 2^power <= df < 2^(power + 1).
-    """
+    """Fitted idf: ``terms(term, df, idf)`` in the shared folder, over so many texts."""
 
     terms: DataFrame
     n_docs: int
-    classes: tuple[tuple[int, int, int], ...]
     stop_words: tuple[str, ...] = ENGLISH
 
-    @property
-    def n_terms(self) -> int:
-        return sum(n for _, n, _ in self.classes)
-
 
 def keys_of(id_col: str | Sequence[str]) -> list[str]:
     return [id_col] if isinstance(id_col, str) else list(id_col)
@@ -48,13 +37,9 @@ def _without_stop_words(rows: DataFrame, stop_words: Sequence[str]) -> DataFrame
     return rows.where(~F.col("term").isin(list(stop_words))) if stop_words else rows
 
 
-def document_frequencies(
-    corpus: DataFrame, text_col: str = "text", stop_words: Sequence[str] = ENGLISH
-) -> DataFrame:
+def document_frequencies(counts: DataFrame) -> DataFrame:
     """Rows (term, df): in how many texts each term occurs, counted on the map side first."""
-    distinct = corpus.select(F.explode(F.array_distinct(words(text_col))).alias("term"))
-    kept = _without_stop_words(distinct, stop_words)
-    return kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def smooth_idf(df: Column, n_docs: Column) -> Column:
@@ -62,28 +47,21 @@ def smooth_idf(df: Column, n_docs: Column) -> Column:
 
 
 def fit_idf(
-    corpus: DataFrame, text_col: str = "text", stop_words: Sequence[str] = ENGLISH
+    corpus: DataFrame,
+    text_col: str = "text",
+    stop_words: Sequence[str] = ENGLISH,
+    counts: DataFrame | None = None,
 ) -> IdfTable:
-    """Count document frequencies once and keep the idf table in the shared folder."""
+    """Count document frequencies once and keep the idf table in the shared folder.
+
+    ``counts`` are the stored term counts of this corpus, if there are any.
+    """
+    if counts is None:
+        counts = term_counts(corpus.select(F.lit(0).alias("_row"), text_col), "_row", text_col, stop_words)
     n_docs = corpus.count()
-    counted = document_frequencies(corpus, text_col, stop_words)
     idf = smooth_idf(F.col("df"), F.lit(float(n_docs)))
-    return idf_from_terms(durable(counted.withColumn("idf", idf), "idf"), n_docs, stop_words)
-
-
-def idf_from_terms(
-    terms: DataFrame, n_docs: int, stop_words: Sequence[str] = ENGLISH
-) -> IdfTable:
-    """Wrap a stored idf table: one pass sums terms and bytes per power of two of their df."""
-    power = F.floor(F.log2(F.col("df").cast("double"))).cast("int")
-    classes = (
-        terms.groupBy(power.alias("power"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term")).alias("size"))
-        .collect()
-    )
-    return IdfTable(
-        terms, n_docs, tuple((c.power, c.n, c.size) for c in classes), tuple(stop_words)
-    )
+    terms = durable(document_frequencies(counts).withColumn("idf", idf), "idf")
+    return IdfTable(terms, n_docs, tuple(stop_words))
 
 
 def term_counts(
@@ -118,53 +96,21 @@ def term_counts(
     return _without_stop_words(runs.select(*keys, F.inline(entries)), stop_words)
 
 
-def head_threshold(
-    idf: IdfTable, row_bytes: int = 32, max_rows: int = HEAD_ROWS, max_bytes: int = HEAD_BYTES
-) -> int:
-    """Smallest power of two such that all terms with at least that df fit the bounds.
-
-    Where rows are the limit, a term below the threshold holds at most 2 / max_rows of all postings:
-    otherwise the next lower class would have fitted as well.
-    """
-    rows = size = 0
-    threshold = 2 ** (1 + max((power for power, _, _ in idf.classes), default=0))
-    for power, n, term_bytes in sorted(idf.classes, reverse=True):
-        rows += n
-        size += term_bytes + n * row_bytes
-        if rows > max_rows or size > max_bytes:
-            break
-        threshold = 2**power
-    return threshold
-
-
-def _match_terms(
-    counts: DataFrame, idf: IdfTable, weights: DataFrame, **bounds: int
-) -> list[DataFrame]:
-    """Join term counts to per-term weights: frequent terms by broadcast, rare ones by shuffle."""
-    threshold = head_threshold(idf, 32 + 8 * len(weights.columns), **bounds)
-    if threshold <= 1:
-        return [counts.join(F.broadcast(weights.drop("df")), "term")]
-    frequent = weights.where(F.col("df") >= threshold).drop("df")
-    rare = weights.where(F.col("df") < threshold).drop("df")
-    rare_counts = counts.join(F.broadcast(frequent.select("term")), "term", "left_anti")
-    return [
-        counts.join(F.broadcast(frequent), "term"),
-        rare_counts.join(rare, "term"),
-    ]
-
-
-def vectors(
+def stored_counts(
     corpus: DataFrame,
-    idf: IdfTable,
     id_col: str | Sequence[str] = "doc_id",
     text_col: str = "text",
-    **bounds: int,
+    stop_words: Sequence[str] = ENGLISH,
+) -> DataFrame:
+    """The term counts of a corpus as a stored table: the only time its texts are tokenised."""
+    return durable(term_counts(corpus, id_col, text_col, stop_words), "term-counts")
+
+
+def vectors(
+    counts: DataFrame, idf: IdfTable, id_col: str | Sequence[str] = "doc_id"
 ) -> DataFrame:
     """Rows (id, term, x) of the L2-normalised TF-IDF vectors; unknown terms are left out."""
-    keys = keys_of(id_col)
-    counts = term_counts(corpus, keys, text_col, idf.stop_words)
-    parts = _match_terms(counts, idf, idf.terms.select("term", "df", "idf"), **bounds)
-    return _unit_length(_union(parts), keys)
+    return _unit_length(counts.join(idf.terms.select("term", "idf"), "term"), keys_of(id_col))
 
 
 def _unit_length(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -226,104 +172,45 @@ def reference_vectors(
     )
 
 
-def _sums_per_text(
-    corpus: DataFrame,
-    idf: IdfTable,
-    weights: DataFrame,
-    columns: Sequence[str],
-    keys: Sequence[str],
-    text_col: str,
-    **bounds: int,
-) -> DataFrame:
-    """Rows (id, _square, columns): squared vector length and inner product with each column.
-
-    Each posting meets one weights row, and a text's postings are summed before they are shuffled.
-    """
-    counts = term_counts(corpus, keys, text_col, idf.stop_words)
-    raw = F.col("tf") * F.col("idf")
-    sums = [F.sum(raw * raw).alias("_square")]
-    sums += [F.sum(raw * F.col(c)).alias(c) for c in columns]
-    parts = [part.groupBy(*keys).agg(*sums) for part in _match_terms(counts, idf, weights, **bounds)]
-    if len(parts) == 1:
-        return parts[0]
-    totals = [F.sum(c).alias(c) for c in ("_square", *columns)]
-    return _union(parts).groupBy(*keys).agg(*totals)
-
-
 def text_norms(
-    corpus: DataFrame,
-    idf: IdfTable,
-    id_col: str | Sequence[str] = "doc_id",
-    text_col: str = "text",
-    **bounds: int,
+    counts: DataFrame, idf: IdfTable, id_col: str | Sequence[str] = "doc_id"
 ) -> DataFrame:
     """Rows (id, norm): the length of each text's vector, stored.
 
-    With them, every further similarity feature over the same corpus and idf only looks for the terms
-    of its references.
+    The one join of all postings with the idf table. Squares are summed per text before they are
+    shuffled. Every similarity feature over the same corpus and idf reuses the norms.
     """
-    keys = keys_of(id_col)
-    weights = idf.terms.select("term", "df", "idf")
-    squares = _sums_per_text(corpus, idf, weights, [], keys, text_col, **bounds)
-    return durable(squares.select(*keys, F.sqrt("_square").alias("norm")), "text-norms")
+    raw = F.col("tf") * F.col("idf")
+    matched = counts.join(idf.terms.select("term", "idf"), "term")
+    lengths = matched.groupBy(*keys_of(id_col)).agg(F.sqrt(F.sum(raw * raw)).alias("norm"))
+    return durable(lengths, "text-norms")
 
 
 def similarities(
-    corpus: DataFrame,
+    counts: DataFrame,
     idf: IdfTable,
     references: Mapping[str, DataFrame | Sequence[str]],
     id_col: str | Sequence[str] = "doc_id",
     text_col: str = "text",
     norms: DataFrame | None = None,
-    **bounds: int,
 ) -> DataFrame:
-    """Rows (id, one similarity column per name) for texts that share the fitted vocabulary.
+    """Rows (id, one similarity column per name) for texts that share a term with the references.
 
-    All similarity features are computed in one pass. Texts without known terms, or without terms of
-    the references, may be missing from the result; their similarity is 0. ``norms`` are the
-    ``text_norms`` of this corpus and idf, if they are stored.
+    ``counts`` are the stored term counts. All features are computed in one pass that only meets the
+    terms of the references. Texts without any of them are missing; their similarity is 0. ``norms``
+    are the ``text_norms`` of these counts and idf, if they are stored.
     """
     keys = keys_of(id_col)
     columns = {name: f"_ref{position}" for position, name in enumerate(references)}
-    pulled = reference_vectors(
-        corpus.sparkSession,
-        {columns[name]: texts for name, texts in references.items()},
-        idf,
-        text_col,
-    )
-    if norms is not None and pulled.count() <= bounds.get("max_rows", HEAD_ROWS):
-        totals = _products_per_text(corpus, idf, pulled, list(columns.values()), keys, text_col)
-        totals, norm = totals.join(norms, keys), F.col("norm")
-    else:
-        weights = idf.terms.select("term", "df", "idf").join(pulled, "term", "left")
-        totals = _sums_per_text(
-            corpus, idf, weights, list(columns.values()), keys, text_col, **bounds
-        )
-        norm = F.sqrt("_square")
-    return totals.select(
-        *keys,
-        *[
-            (F.coalesce(F.col(c), F.lit(0.0)) / norm).alias(name)
-            for name, c in columns.items()
-        ],
-    )
-
-
-def _products_per_text(
-    corpus: DataFrame,
-    idf: IdfTable,
-    pulled: DataFrame,
-    columns: Sequence[str],
-    keys: Sequence[str],
-    text_col: str,
-) -> DataFrame:
-    """Rows (id, columns): inner products alone, from occurrences of the references' terms.
-
-    A term's count is a factor of its product, so occurrences are summed as they come, without
-    counting them per term first. The references' terms were checked to be few enough to broadcast.
-    """
-    weights = idf.terms.select("term", "idf").join(pulled, "term")
-    values = weights.select("term", *[(F.col("idf") * F.col(c)).alias(c) for c in columns])
-    occurrences = corpus.select(*keys, F.explode(words(text_col)).alias("term"))
-    matched = occurrences.join(F.broadcast(values), "term")
-    return matched.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
+    named = {columns[name]: texts for name, texts in references.items()}
+    pulled = reference_vectors(counts.sparkSession, named, idf, text_col)
+    weights = pulled.join(idf.terms.select("term", "idf"), "term")
+    weights = weights.select("term", *[(F.col("idf") * F.col(c)).alias(c) for c in columns.values()])
+    products = [F.sum(F.col("tf") * F.col(c)).alias(c) for c in columns.values()]
+    totals = counts.join(weights, "term").groupBy(*keys).agg(*products)
+    if norms is None:
+        norms = text_norms(counts, idf, keys)
+    found = [
+        (F.coalesce(F.col(c), F.lit(0.0)) / F.col("norm")).alias(name) for name, c in columns.items()
+    ]
+    return totals.join(norms, keys).select(*keys, *found)

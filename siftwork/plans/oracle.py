@@ -10,12 +10,13 @@ from siftwork.plans.queries import (
     EXAMPLE_ID,
     FIXED_MODEL,
     ION,
+    NEAR,
     REFERENCE_TEXT,
     SAMPLE_EXTRA_ID,
     SAMPLE_SEED,
     SEARCH,
-    SEARCH_ID,
     SECOND_MODEL,
+    SESSION_MODEL,
     SPECS,
     THE,
     VIEW_ID,
@@ -217,9 +218,6 @@ PERCENT = (
 )
 
 SQL["load_corpus"] = "SELECT *, -1 AS _label FROM documents"
-SQL["session_roundtrip"] = (
-    f"WITH {SCORED} SELECT doc_id, {', '.join(COLUMNS)}, round(_pred, 6) AS _pred FROM scored"
-)
 SQL["export_points"] = f"""WITH {SCORED}, {SAMPLE}, {LABELLED.format("scored")}
 SELECT doc_id::VARCHAR AS id, CASE WHEN _pred > 0.5 THEN '#FB8C00' ELSE '#2196F3' END AS color,
        _label <> -1 AS labeled,
@@ -243,6 +241,14 @@ SQL["drop_feature"] = (
 SQL["custom_feature"] = f"""SELECT doc_id,
     round(length(text)::DOUBLE / (length(text) - length(replace(text, ' ', '')) + 1) * 0.5, 6)
         AS _letters, {count_of(THE.keywords)} AS _the FROM documents"""
+SQL["custom_feature_columns"] = f"""SELECT doc_id,
+    round({count_of(["chte", "erin", "tion"])} / greatest(n_chars, 1), 9) AS _share,
+    {count_of(THE.keywords)} AS _the FROM documents"""
+NEAR_COSINE = f"list_cosine_similarity(embedding::DOUBLE[], {list(NEAR)}::DOUBLE[])"
+NEARNESS = f"CASE WHEN 2 * {NEAR_COSINE} - 1 < 0.1 THEN 0.0 ELSE 2 * {NEAR_COSINE} - 1 END"
+SQL["embedding_feature"] = f"""SELECT doc_id, {count_of(THE.keywords)} AS _the,
+    round(coalesce({NEARNESS} * 2, 0.0::DOUBLE), 6) AS _near
+FROM documents LEFT JOIN embeddings ON vec_id = doc_id"""
 SUMS = f"sums AS (SELECT {each(COLUMNS, 'sum({0}) AS s{0}')} FROM featured)"
 NORMED = each(COLUMNS, "round(CASE WHEN s{0} = 0 THEN 0 ELSE {0} / s{0} END, 9) AS {0}")
 SQL["norm_l1"] = f"WITH {FEATURED}, {SUMS} SELECT doc_id, {NORMED} FROM featured, sums"
@@ -270,8 +276,10 @@ SQL["search_regex"] = f"SELECT doc_id, lang FROM documents WHERE regexp_matches(
 SQL["search_markup"] = (
     "SELECT page_id, url FROM pages WHERE regexp_matches(html, '<title>[^<]*ion', 'i')"
 )
-SQL["search_id"] = f"""SELECT doc_id, quality::INT AS _label, text
-FROM documents JOIN labels USING (doc_id) WHERE doc_id = {SEARCH_ID}"""
+SQL["search_id"] = """SELECT doc_id, quality::INT AS _label, text, 0 AS searched
+FROM documents JOIN labels USING (doc_id) WHERE doc_id = (SELECT min(doc_id) FROM labels)"""
+SQL["tab_without_list"] = """SELECT unnest(['Sample', 'Selected', 'Interesting', 'Labeled']) AS tab, 0::BIGINT AS n
+UNION ALL SELECT 'All', count(*) FROM documents"""
 SQL["pred_range"] = (
     f"WITH {SCORED} SELECT doc_id, round(_pred, 6) AS _pred FROM scored"
     " WHERE _pred BETWEEN 0.3 AND 0.6"
@@ -343,7 +351,7 @@ SQL["seed_status"] = """SELECT labelled, interesting, uninteresting,
     labelled >= 10 AND interesting > 0 AND uninteresting > 0 AS seeded
 FROM (SELECT count(*) AS labelled, count(*) FILTER (toxic = 1) AS interesting,
              count(*) FILTER (toxic = 0) AS uninteresting
-      FROM labels WHERE toxic = 1 AND quality = 0)"""
+      FROM labels)"""
 SQL["class_weights"] = """SELECT quality AS label, count(*) AS n, round(
     (SELECT count(*) FROM labels)::DOUBLE
         / ((SELECT count(DISTINCT quality) FROM labels) * count(*)), 6) AS weight
@@ -355,7 +363,7 @@ SQL["page_sorted_id"] = (
 SQL["page_sorted_col"] = """SELECT doc_id, n_chars, source FROM documents
 ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 25 OFFSET 25"""
 SQL["page_deep"] = (
-    "SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 20 OFFSET 580"
+    "SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 20 OFFSET 160"
 )
 TWO_PASS = highlight(highlight("text", KEYWORD_REGEX), f"({SEARCH})", "white")
 SQL["page_items"] = f"""WITH {SCORED}, {LABELLED.format("scored")}, {SAMPLE}, shown AS (
@@ -423,9 +431,9 @@ SQL["embed_missing"] = """SELECT doc_id, source FROM documents
 WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"""
 LETTERS = "(length(text) - length(replace(text, '{0}', '')))::DOUBLE"
 SQL["embed_batch"] = f"""SELECT doc_id, {each("aeiou", LETTERS + " AS n_{0}")} FROM documents"""
-SQL["embed_incremental"] = f"""SELECT vec_id AS doc_id, len(embedding)::BIGINT AS dimensions,
-    round(embedding[1]::DOUBLE, 6) AS first FROM embeddings
-UNION ALL SELECT doc_id, 5, {LETTERS.format("a")} FROM documents
+SQL["embed_incremental"] = f"""SELECT vec_id AS doc_id, unnest(range(len(embedding))) AS dim,
+    round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings
+UNION ALL SELECT doc_id, unnest(range(5)), unnest([{each("aeiou", LETTERS)}]) FROM documents
 WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"""
 SQL["mean_pool"] = """SELECT label, dim, round(avg(value), 6) AS value
 FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS value
@@ -440,15 +448,41 @@ SQL["coefficients"] = f"""WITH {FITTED}
 SELECT '_the' AS feature, round(u, 5) AS coefficient FROM model
 UNION ALL SELECT '_ion', round(v, 5) FROM model"""
 SQL["score_corpus"] = f"""WITH {FITTED}, f AS ({FIT_ROWS.format("documents")})
-SELECT doc_id, round({FIT_PRED}, 3) AS _pred FROM f, model"""
-KEPT_TRAINING = newton(
-    f"SELECT {FIT_X} AS x, {FIT_Y} AS y, label FROM events WHERE seq % 4 = 0"
-)
-SQL["score_second_corpus"] = f"""WITH {EVENTS}, {KEPT_TRAINING},
+SELECT doc_id, coalesce(quality, -1)::INT AS _label, round({FIT_PRED}, 4) AS _pred
+FROM f LEFT JOIN labels USING (doc_id), model"""
+SQL["labeled_after_triage"] = "SELECT doc_id, quality::INT AS _label FROM documents JOIN labels USING (doc_id)"
+KEPT = f"""{EVENTS}, kept AS (
+    SELECT doc_id, text, label, seq FROM events
+    LEFT JOIN (SELECT doc_id, max(seq) AS last FROM events WHERE label = -1 GROUP BY doc_id) USING (doc_id)
+    WHERE last IS NULL OR seq > last QUALIFY {LATEST.format("doc_id, text")})"""
+SQL["score_second_corpus"] = f"""WITH {KEPT},
+{newton(f"SELECT {FIT_X} AS x, {FIT_Y} AS y, label FROM kept")},
 f AS ({FIT_ROWS.format("conversations")})
-SELECT conv_id, turn, _the, _ion, round({FIT_PRED}, 3) AS _pred FROM f, model"""
+SELECT conv_id, turn, _the, _ion, round({FIT_PRED}, 4) AS _pred FROM f, model"""
+
+
+def like_of(source: str, key: str) -> str:
+    """Rows (key, s): cosine to the reference text of another table's texts, under the documents' idf."""
+    return f"""{similarity(ONE_TEXT)}, {term_counts(source, key, "own_tf")},
+{unit_vectors("own_tf", key, "own_x")},
+own AS (SELECT {key}, sum(x * c) / (SELECT sqrt(sum(c * c)) FROM centre) AS s
+        FROM own_x JOIN centre USING (term) GROUP BY {key})"""
+
+
+SQL["score_second_corpus_tfidf"] = f"""WITH {like_of("conversations", "conv_id, turn")},
+f AS (SELECT conv_id, turn, {count_of(THE.keywords)} AS _the, coalesce(s, 0.0::DOUBLE) * 2 AS _like
+      FROM conversations LEFT JOIN own USING (conv_id, turn))
+SELECT conv_id, turn, _the, round(_like, 6) AS _like,
+       round(1 / (1 + exp(-(-0.5::DOUBLE + 0.02::DOUBLE * _the + 1.5::DOUBLE * _like))), 6) AS _pred FROM f"""
+SQL["session_roundtrip"] = f"""WITH {KEPT}, {like_of("kept", "seq")},
+f AS (SELECT seq AS doc_id, {count_of(THE.keywords, "text")} AS _the, coalesce(s, 0.0::DOUBLE) * 2 AS _like,
+             coalesce({NEARNESS}, 0.0::DOUBLE) AS _near
+      FROM kept LEFT JOIN own USING (seq) LEFT JOIN embeddings ON vec_id * 4 = seq)
+SELECT doc_id, _the, round(_like, 6) AS _like, round(_near, 6) AS _near,
+       round({logistic(SESSION_MODEL)}, 6) AS _pred FROM f"""
 SQL["untrain_drops_pred"] = f"""WITH {FEATURED}
-SELECT doc_id, -1 AS _label, {", ".join(COLUMNS)} FROM featured"""
+SELECT doc_id, CASE WHEN quality = 1 THEN 1 ELSE -1 END::INT AS _label, {", ".join(COLUMNS)}
+FROM featured LEFT JOIN labels USING (doc_id)"""
 SQL["retrain_and_score"] = f"""WITH {FITTED}, f AS ({FIT_ROWS.format("documents")}),
 s AS (SELECT *, {FIT_PRED} AS _pred FROM f, model) {covered("s", True, 4, ["_the", "_ion"])}"""
 

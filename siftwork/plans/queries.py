@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from siftwork.functions.text import highlight, keyword_count, tokenize
 from siftwork.operators import classifier, embeddings, explore, features, labels, references, stats
 from siftwork.operators.classifier import FittedModel
-from siftwork.operators.tfidf import fit_idf, similarities, text_norms, vectors
+from siftwork.operators.tfidf import (
+    fit_idf,
+    similarities,
+    stored_counts,
+    text_norms,
+    vectors,
+)
 from siftwork.plans.triage import (
     compute_features,
     relabel,
@@ -19,10 +25,16 @@ from siftwork.plans.triage import (
     train,
     triage,
 )
-from siftwork.sources.corpus import LABEL, PREDICTION, load_corpus, spread_scan
+from siftwork.sources.corpus import LABEL, PREDICTION, load_corpus
 from siftwork.sources.durable import new_path
 from siftwork.sources.session import Session, load_session, save_session
-from siftwork.specs import CustomFeature, KeywordFeature, TfidfFeature, feature_columns
+from siftwork.specs import (
+    CustomFeature,
+    EmbeddingFeature,
+    KeywordFeature,
+    TfidfFeature,
+    feature_columns,
+)
 from siftwork.streaming.ledger import read_ledger, write_label_stream
 from siftwork.streaming.scoring import score_stream
 
@@ -43,10 +55,21 @@ FIT_SPECS = (THE, ION)
 FIXED_MODEL = FittedModel(tuple(COLUMNS), (0.03, -0.0125, 0.02, -0.04), 0.25)
 SECOND_MODEL = FittedModel(("_ion", "_eau"), (0.01, -0.02), -0.2)
 
+# A reference vector of the length of the cached embeddings.
+NEAR = tuple(round(((7 * i) % 11 - 5) / 5, 2) for i in range(64))
+
+# A session as a user would save it: keywords, a reference text and a reference vector.
+LIKE_TEXT = "Things like erin and thre: the thble, thor and ciónque with leouelle."
+SESSION_SPECS = (
+    THE,
+    TfidfFeature("like", weight=2.0, references=(LIKE_TEXT,)),
+    EmbeddingFeature("near", reference=NEAR, floor=0.1),
+)
+SESSION_MODEL = FittedModel(("_the", "_like", "_near"), (0.02, 1.5, 0.75), -0.5)
+
 SEARCH = "th(e|in)"
-REFERENCE_TEXT = "Things like erin and thre: the thble, thor and ciónque with leouelle."
+REFERENCE_TEXT = LIKE_TEXT
 SAMPLE_SEED = 7
-SEARCH_ID = 5
 EXAMPLE_ID = 3
 VIEW_ID = 19
 SAMPLE_EXTRA_ID = 11
@@ -73,14 +96,9 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return load_corpus(spark, f"{folder}/documents.parquet")
 
 
-def spread_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The corpus on all cores, for work on its texts."""
-    return spread_scan(documents(spark, folder), ["doc_id"])
-
-
 def texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids and texts only, on all cores."""
-    return spread_documents(spark, folder).select("doc_id", "text")
+    """Ids and texts only."""
+    return documents(spark, folder).select("doc_id", "text")
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
@@ -93,15 +111,22 @@ def passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def featured(spark: SparkSession, folder: str) -> DataFrame:
-    return features.featurize(spread_documents(spark, folder), SPECS)
+    return features.featurize(documents(spark, folder), SPECS)
 
 
 def stored_features(spark: SparkSession, folder: str) -> DataFrame:
     """Narrow features, written once; what filters and reuses feature values starts here."""
-    corpus = spread_documents(spark, folder)
+    corpus = documents(spark, folder)
     return compute_features(corpus, SPECS, keep=["lang", "source", "n_chars", LABEL])
 
 
+def sampled_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of the sampled rows alone, with their position; the sample is joined before the texts
+    are worked on."""
+    rows = explore.rows_of(documents(spark, folder), sample(spark, folder))
+    return compute_features(rows, SPECS, keep=["pos", LABEL])
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.score(stored_features(spark, folder), FIXED_MODEL)
 
@@ -156,9 +181,8 @@ def selection(spark: SparkSession, folder: str) -> DataFrame:
 
 def fitted(spark: SparkSession, folder: str) -> FittedModel | None:
     """A model fitted on the labelled documents."""
-    featured_rows = features.featurize(spread_documents(spark, folder), FIT_SPECS)
-    training = labels.rows_for_training(featured_rows, quality_events(spark, folder))
-    return train(training, FIT_SPECS)
+    labelled = labels.rows_for_training(documents(spark, folder), quality_events(spark, folder))
+    return train(compute_features(labelled, FIT_SPECS, keep=[LABEL]), FIT_SPECS)
 
 
 # Sources and sinks
@@ -171,21 +195,34 @@ def load_corpus_query(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def session_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Save a session, load it, and score with what was loaded."""
+    """Save a session with all its parts, load it, and score its training texts with what was loaded;
+    the first event of a row stands for its cached vector."""
     corpus = texts(spark, folder)
+    counts = stored_counts(corpus)
     path = new_path(spark, "session")
     session = Session(
-        specs=SPECS, corpus=corpus, model=FIXED_MODEL, sample=sample(spark, folder), sample_size=100
+        specs=SESSION_SPECS,
+        model=SESSION_MODEL,
+        idf=fit_idf(corpus, counts=counts),
+        corpus_path=f"{folder}/documents.parquet",
+        training=labels.training_set(changing_events(spark, folder)),
+        sample=sample(spark, folder),
+        embeddings=_cache(spark, folder),
+        sample_size=100,
     )
     save_session(spark, session, path)
     loaded = load_session(spark, path)
-    rescored = score_new(loaded.corpus, loaded.specs, loaded.model)
-    return rounded(rescored.select("doc_id", *COLUMNS, PREDICTION), PREDICTION)
+    rows = loaded.training.select(F.col("seq").alias("doc_id"), "text")
+    own = loaded.embeddings.select((F.col("doc_id") * 4).alias("doc_id"), "embedding")
+    rescored = score_new(rows, loaded.specs, loaded.model, idf=loaded.idf, embeddings=own)
+    columns = feature_columns(loaded.specs)
+    return rounded(rescored.select("doc_id", *columns, PREDICTION), *columns, PREDICTION)
 
 
 @query
 def export_points(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = labels.apply_labels(scored(spark, folder), quality_events(spark, folder))
+    predicted = classifier.score(sampled_features(spark, folder).drop("pos"), FIXED_MODEL)
+    labelled = labels.apply_labels(predicted, quality_events(spark, folder))
     points = explore.export_points(labelled, sample(spark, folder), COLUMNS, 0.2, 0.95)
     weights = [
         F.round(F.col("weights")[c.removeprefix("_")], DIGITS).alias(f"w{c}") for c in COLUMNS
@@ -244,6 +281,31 @@ def custom_feature(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rows.select("doc_id", "_letters", "_the"), "_letters")
 
 
+def words_by_size(text: Column, size: Column, references: Sequence[str]) -> Column:
+    """A user's own feature over two columns and texts of its own: how often their words occur, by
+    the size that the table holds."""
+    known = sorted({word for reference in references for word in reference.split()})
+    return keyword_count(text, known) / F.greatest(size, F.lit(1))
+
+
+@query
+def custom_feature_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """A custom feature that reads another column and has reference texts, by the stored way."""
+    own = CustomFeature(
+        "share", builder=words_by_size, columns=("n_chars",), references=("tion erin", "erin chte")
+    )
+    rows = compute_features(documents(spark, folder), [own, THE])
+    return rounded(rows.select("doc_id", "_share", "_the"), "_share", digits=9)
+
+
+@query
+def embedding_feature(spark: SparkSession, folder: str) -> DataFrame:
+    """An embedding feature among others; documents without a cached vector have 0."""
+    near = EmbeddingFeature("near", weight=2.0, reference=NEAR, floor=0.1)
+    rows = compute_features(documents(spark, folder), [THE, near], embeddings=_cache(spark, folder))
+    return rounded(rows.select("doc_id", "_the", "_near"), "_near")
+
+
 @query
 def norm_l1(spark: SparkSession, folder: str) -> DataFrame:
     rows = features.l1_normalize(stored_features(spark, folder), COLUMNS)
@@ -313,10 +375,33 @@ def search_markup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def search_id(spark: SparkSession, folder: str) -> DataFrame:
-    """An id search looks only among the rows of the tab."""
-    labelled = labels.apply_labels(documents(spark, folder), quality_events(spark, folder))
-    found = explore.search(explore.tab(labelled, "Labeled"), f"ID:{SEARCH_ID}")
-    return found.select("doc_id", LABEL, "text")
+    """An id search looks only among the rows of the tab: the first labelled id is found there, the
+    first unlabelled one and a number that is no id are not."""
+    events = quality_events(spark, folder)
+    inside = events.agg(F.min("doc_id")).first()[0]
+    others = documents(spark, folder).join(events, "doc_id", "left_anti")
+    outside = others.agg(F.min("doc_id")).first()[0]
+    labelled = labels.apply_labels(documents(spark, folder), events)
+    found = [
+        explore.search(explore.tab(labelled, "Labeled"), f"ID:{value}")
+        .select("doc_id", LABEL, "text")
+        .withColumn("searched", F.lit(number))
+        for number, value in enumerate((inside, outside, "9" * 20))
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def tab_without_list(spark: SparkSession, folder: str) -> DataFrame:
+    """Tabs whose list or column is missing are empty; all rows stay countable."""
+    rows = documents(spark, folder).select("doc_id")
+    names = ["Sample", "Selected", "Interesting", "Labeled", "All"]
+    found = [explore.tab(rows, name).select(F.lit(name).alias("tab"), "doc_id") for name in names]
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    listed = spark.createDataFrame([(name,) for name in names], "tab string")
+    return listed.join(every, "tab", "left").groupBy("tab").agg(F.count("doc_id").alias("n"))
 
 
 @query
@@ -350,7 +435,7 @@ def filter_chain_count(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def feature_active(spark: SparkSession, folder: str) -> DataFrame:
     """Sampled rows on which a feature is active."""
-    rows = explore.rows_of(stored_features(spark, folder), sample(spark, folder))
+    rows = sampled_features(spark, folder)
     return explore.feature_active(rows, "_ion").select("pos", "doc_id", "_ion")
 
 
@@ -394,7 +479,7 @@ def labels_bulk(spark: SparkSession, folder: str) -> DataFrame:
 def label_all_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """Everything a search finds is labelled uninteresting, over earlier labels."""
     corpus = documents(spark, folder)
-    found = explore.filter_chain(spread_documents(spark, folder), pattern=SEARCH)
+    found = explore.filter_chain(documents(spark, folder), pattern=SEARCH)
     events = quality_events(spark, folder).select("seq", "doc_id", "label")
     bulk = labels.label_all(found, 0, seq=2**62)
     return labels.apply_labels(corpus, events.unionByName(bulk)).select("doc_id", LABEL)
@@ -444,8 +529,7 @@ def hist_global(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def hist_local(spark: SparkSession, folder: str) -> DataFrame:
-    rows = explore.tab(scored(spark, folder), "Sample", sample=sample(spark, folder))
-    return stats.histogram(rows)
+    return stats.histogram(classifier.score(sampled_features(spark, folder), FIXED_MODEL))
 
 
 @query
@@ -470,9 +554,8 @@ def is_seeded(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def seed_status(spark: SparkSession, folder: str) -> DataFrame:
-    """What is missing before a model of toxic rows of low quality could be trained."""
-    rows = table(spark, folder, "labels").where((F.col("toxic") == 1) & (F.col("quality") == 0))
-    return classifier.seed_status(rows, "toxic")
+    """What is missing before a model of toxic rows could be trained."""
+    return classifier.seed_status(table(spark, folder, "labels"), "toxic")
 
 
 @query
@@ -499,9 +582,9 @@ def page_sorted_col(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def page_deep(spark: SparkSession, folder: str) -> DataFrame:
-    """A page far down the order, found by narrowing rather than by sorting up to it."""
+    """A page down an order with many ties."""
     rows = explore.page(
-        table(spark, folder, "documents"), 30, 20, sort_by="source", shallow=50
+        table(spark, folder, "documents"), 9, 20, sort_by="source"
     )
     return rows.select("doc_id", "source")
 
@@ -574,22 +657,25 @@ def tokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def tfidf_idf(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(fit_idf(texts(spark, folder)).terms, "idf")
+    corpus = texts(spark, folder)
+    return rounded(fit_idf(corpus).terms, "idf")
 
 
 @query
 def tfidf_vectors(spark: SparkSession, folder: str) -> DataFrame:
     corpus = texts(spark, folder)
-    return rounded(vectors(corpus, fit_idf(corpus)), "x")
+    counts = stored_counts(corpus)
+    return rounded(vectors(counts, fit_idf(corpus, counts=counts)), "x")
 
 
 def _similarity(
     spark: SparkSession, folder: str, reference: DataFrame | Sequence[str], stored: bool = False
 ) -> DataFrame:
     corpus = texts(spark, folder)
-    idf = fit_idf(corpus)
-    norms = text_norms(corpus, idf) if stored else None
-    found = similarities(corpus, idf, {"similarity": reference}, norms=norms)
+    counts = stored_counts(corpus)
+    idf = fit_idf(corpus, counts=counts)
+    norms = text_norms(counts, idf) if stored else None
+    found = similarities(counts, idf, {"similarity": reference}, norms=norms)
     joined = corpus.select("doc_id").join(found, "doc_id", "left")
     return joined.select(
         "doc_id", F.round(F.coalesce("similarity", F.lit(0.0)), DIGITS).alias("similarity")
@@ -697,10 +783,10 @@ def embed_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """Cached rows keep their vector; only the others are embedded."""
     corpus = texts(spark, folder)
     whole = embeddings.extend_cache(corpus, _cache(spark, folder), letter_embedder())
-    return whole.select(
-        "doc_id",
-        F.size("embedding").cast("bigint").alias("dimensions"),
-        F.round(F.get("embedding", F.lit(0)).cast("double"), DIGITS).alias("first"),
+    values = whole.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+    return rounded(
+        values.select("doc_id", F.col("dim").cast("bigint").alias("dim"), F.col("value").cast("double").alias("value")),
+        "value",
     )
 
 
@@ -735,19 +821,37 @@ def coefficients(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def score_corpus(spark: SparkSession, folder: str) -> DataFrame:
     result = triage(texts(spark, folder), FIT_SPECS, quality_events(spark, folder))
-    return rounded(result.scored.select("doc_id", PREDICTION), PREDICTION, digits=3)
+    return rounded(result.scored.select("doc_id", LABEL, PREDICTION), PREDICTION, digits=4)
+
+
+@query
+def labeled_after_triage(spark: SparkSession, folder: str) -> DataFrame:
+    """The Labeled tab of what a triage returns."""
+    result = triage(texts(spark, folder), FIT_SPECS, quality_events(spark, folder))
+    return explore.tab(result.scored, "Labeled").select("doc_id", LABEL)
 
 
 @query
 def score_second_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Labels made on the documents, kept with their texts, score the conversations."""
-    training = changing_events(spark, folder).where(F.col("label") != -1)
-    kept = labels.training_set(training.where(F.col("seq") % 4 == 0))
+    kept = labels.training_set(changing_events(spark, folder))
     model = retrain_on(kept, FIT_SPECS)
     turns = table(spark, folder, "conversations")
     predicted = score_new(turns, FIT_SPECS, model, ["conv_id", "turn"])
     columns = [*feature_columns(FIT_SPECS), PREDICTION]
-    return rounded(predicted.select("conv_id", "turn", *columns), PREDICTION, digits=3)
+    return rounded(predicted.select("conv_id", "turn", *columns), PREDICTION, digits=4)
+
+
+@query
+def score_second_corpus_tfidf(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations under a model of the documents, with the documents' idf."""
+    corpus = texts(spark, folder)
+    idf = fit_idf(corpus, counts=stored_counts(corpus))
+    specs = [THE, TfidfFeature("like", weight=2.0, references=(REFERENCE_TEXT,))]
+    model = FittedModel(("_the", "_like"), (0.02, 1.5), -0.5)
+    turns = table(spark, folder, "conversations")
+    predicted = score_new(turns, specs, model, ["conv_id", "turn"], idf=idf)
+    return rounded(predicted.select("conv_id", "turn", "_the", "_like", PREDICTION), "_like", PREDICTION)
 
 
 @query

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +19,3 @@ def with_default_label(df: DataFrame) -> DataFrame:
 def load_corpus(spark: SparkSession, path: str, source_format: str = "parquet") -> DataFrame:
     """Read a table and give it a label column."""
     return with_default_label(spark.read.format(source_format).load(path))
-
-
-def spread_scan(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spread a scan over all cores by key when it has fewer splits than there are cores.
-
-    Meant for a plain scan ahead of costly text work. File splits shrink down to the open cost
-    (``spark.sql.files.openCostInBytes``) before there are fewer of them than cores, so the table
-    this moves is smaller than cores x that cost. Anything larger keeps its own splits and is not
-    shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

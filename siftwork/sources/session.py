@@ -20,7 +20,7 @@ import siftwork
 from siftwork.functions.stopwords import ENGLISH
 from siftwork.operators.classifier import FittedModel
 from siftwork.operators.explore import DEFAULT_SAMPLE
-from siftwork.operators.tfidf import IdfTable, idf_from_terms
+from siftwork.operators.tfidf import IdfTable
 from siftwork.specs import Feature, spec_from_json, spec_to_json
 
 # Fixed values.
@@ -29,13 +29,18 @@ OLDEST_MINOR_OF_MAJOR_0 = 7
 SAVES_SCHEMA = (
     "save string, saved_at string, version string, text_col string, id_cols array<string>, "
     "sample_size int, intercept double, n_docs bigint, stop_words array<string>, "
-    "tables array<string>"
+    "tables array<string>, corpus_path string, corpus_rows bigint, corpus_ids bigint"
 )
 
 
 @dataclass(frozen=True)
 class Session:
-    """What a session consists of; tables that do not exist are None."""
+    """What a session consists of; tables that do not exist are None.
+
+    A corpus that is stored already is named by ``corpus_path``, a Parquet table, and not copied: the
+    session keeps its place, its number of rows and a digest of its ids, and loading refuses another
+    table there. A corpus given as ``corpus`` alone is copied.
+    """
 
     specs: tuple[Feature, ...]
     text_col: str = "text"
@@ -48,6 +53,7 @@ class Session:
     sample: DataFrame | None = None
     embeddings: DataFrame | None = None
     norms: DataFrame | None = None
+    corpus_path: str | None = None
     version: str = field(default_factory=lambda: siftwork.__version__)
 
 
@@ -60,12 +66,18 @@ def check_version(saved: str, current: str = siftwork.__version__) -> None:
         raise ValueError(f"session of version {saved} does not load in version {current}")
 
 
+def fingerprint(corpus: DataFrame, id_cols: Sequence[str]) -> tuple[int, int]:
+    """Number of rows and a digest of their ids, whatever their order; reads the ids only."""
+    row = corpus.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*id_cols)).alias("ids")).first()
+    return row.n, row.ids or 0
+
+
 def save_session(spark: SparkSession, session: Session, path: str) -> str:
     """Write the session under the path and return the name of this save."""
     save = uuid4().hex
     model, idf = session.model, session.idf
     tables: dict[str, DataFrame | None] = {
-        "corpus": session.corpus,
+        "corpus": None if session.corpus_path else session.corpus,
         "training": session.training,
         "sample": session.sample,
         "embeddings": session.embeddings,
@@ -83,6 +95,9 @@ def save_session(spark: SparkSession, session: Session, path: str) -> str:
     written = {name: table for name, table in tables.items() if table is not None}
     for name, table in written.items():
         table.write.parquet(f"{path}/{save}/{name}")
+    rows = ids = None
+    if session.corpus_path:
+        rows, ids = fingerprint(spark.read.parquet(session.corpus_path), session.id_cols)
     entry = (
         save,
         datetime.now(timezone.utc).isoformat(),
@@ -94,6 +109,9 @@ def save_session(spark: SparkSession, session: Session, path: str) -> str:
         idf.n_docs if idf else None,
         list(idf.stop_words if idf else ENGLISH),
         list(written),
+        session.corpus_path,
+        rows,
+        ids,
     )
     listed = spark.createDataFrame([entry], SAVES_SCHEMA).coalesce(1)
     listed.write.mode("append").json(f"{path}/saves")
@@ -122,9 +140,14 @@ def load_session(spark: SparkSession, path: str, save: str | None = None) -> Ses
         model = FittedModel(
             tuple(r.feature for r in rows), tuple(r.coefficient for r in rows), meta.intercept
         )
+    corpus = read("corpus")
+    if meta.corpus_path:
+        corpus = spark.read.parquet(meta.corpus_path)
+        if fingerprint(corpus, meta.id_cols) != (meta.corpus_rows, meta.corpus_ids):
+            raise ValueError(f"{meta.corpus_path} is not the corpus that was saved")
     idf = None
     if "idf" in meta.tables:
-        idf = idf_from_terms(read("idf"), meta.n_docs, meta.stop_words)
+        idf = IdfTable(read("idf"), meta.n_docs, tuple(meta.stop_words))
     return Session(
         specs=tuple(spec_from_json(r.spec) for r in specs),
         text_col=meta.text_col,
@@ -132,11 +155,12 @@ def load_session(spark: SparkSession, path: str, save: str | None = None) -> Ses
         sample_size=meta.sample_size,
         model=model,
         idf=idf,
-        corpus=read("corpus"),
+        corpus=corpus,
         training=read("training"),
         sample=read("sample"),
         embeddings=read("embeddings"),
         norms=read("norms"),
+        corpus_path=meta.corpus_path,
         version=meta.version,
     )
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Fixed values.
 RESERVED_NAMES = ("label", "pred")
@@ -54,16 +55,27 @@ class EmbeddingFeature(Feature):
 class CustomFeature(Feature):
     """A user's own column: ``builder`` gets the text column and returns a numeric column.
 
-    ``builder`` is a function, or its "module:function" address, which is what can be saved.
+    ``columns`` names further columns of the table, which it gets behind the text; ``references`` are
+    texts of its own, which it gets as a keyword argument where there are any. ``builder`` is a
+    function, or its "module:function" address, which is what can be saved.
     """
 
-    builder: Callable[[Column], Column] | str = ""
+    builder: Callable[..., Column] | str = ""
+    columns: tuple[str, ...] = ()
+    references: tuple[str, ...] = ()
+
+    def build(self, text_col: str) -> Column:
+        builder = self.builder
+        if not callable(builder):
+            module, _, function = builder.partition(":")
+            builder = getattr(importlib.import_module(module), function)
+        extra = {"references": self.references} if self.references else {}
+        return builder(F.col(text_col), *[F.col(c) for c in self.columns], **extra)
+
 
-    def build(self, text: Column) -> Column:
-        if callable(self.builder):
-            return self.builder(text)
-        module, _, function = self.builder.partition(":")
-        return getattr(importlib.import_module(module), function)(text)
+def columns_read(specs: Iterable[Feature]) -> list[str]:
+    """Columns besides the text that custom features read."""
+    return [c for spec in specs if isinstance(spec, CustomFeature) for c in spec.columns]
 
 
 KINDS = {
