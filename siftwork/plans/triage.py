@@ -112,9 +112,10 @@ def relabel(
     """Fit and score again after labels changed; features are not computed again.
 
     Events that bring their texts are trained on with these, also those of other corpora; otherwise
-    the current labels of corpus rows are. Either way the scored rows carry the current labels.
+    the current labels of corpus rows are. Either way the scored rows carry the labels of the ledger,
+    and no others.
     """
-    labelled = apply_labels(features, labels, id_col)
+    labelled = apply_labels(features.drop(LABEL), labels, id_col)
     if text_col in labels.columns:
         training = training_set(labels, id_col, text_col)
         model = retrain_on(training, specs, id_col, text_col, idf, embeddings)

@@ -1,5 +1,7 @@
 """The local session of tests and checks."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -12,6 +14,7 @@ def local_session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="siftwork-tests-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siftwork.operators import features
 from siftwork.operators.embeddings import embed_texts
+from siftwork.plans.triage import compute_features
 from siftwork.specs import (
     CustomFeature,
     EmbeddingFeature,
@@ -14,63 +15,64 @@ from siftwork.specs import (
     spec_from_json,
     spec_to_json,
 )
-from tests.conftest import values
+from tests.conftest import YARD, occurrences, values
 
-TEST = KeywordFeature("test", keywords=("I'm", "muffin"))
+TEST = KeywordFeature("test", keywords=("it's", "kettle"))
+COUNTS = occurrences("it's", "kettle")
 
 
 def text_length(text):
     return F.length(text)
 
 
-def test_features_in_spec_order_and_weights(fun):
+def test_features_in_spec_order_and_weights(yard):
     specs = [
         CustomFeature("size", weight=2.0, builder=text_length),
-        KeywordFeature("kw", weight=3.0, keywords=("muffin",)),
+        KeywordFeature("kw", weight=3.0, keywords=("kettle",)),
     ]
-    rows = features.featurize(fun, specs)
+    rows = features.featurize(yard, specs)
     assert rows.columns == ["doc_id", "text", "_size", "_kw"]
     sixth = rows.where("doc_id = 6").first()
     assert sixth._kw == 2 * 3.0 * 3.0  # keyword weights enter twice
     assert sixth._size == 2.0 * len(sixth.text)
-    alone = fun.where("doc_id = 6").select(features.keyword_feature(specs[1]).alias("k")).first()
+    alone = yard.where("doc_id = 6").select(features.keyword_feature(specs[1]).alias("k")).first()
     assert alone.k == 6.0
 
 
-def test_featurizing_again_replaces_columns(fun):
-    rows = features.featurize(features.featurize(fun, [TEST]), [TEST])
+def test_featurizing_again_replaces_columns(yard):
+    rows = features.featurize(features.featurize(yard, [TEST]), [TEST])
     assert rows.columns == ["doc_id", "text", "_test"]
 
 
-def test_l1_norm(fun):
-    got = values(features.featurize(fun, [TEST], normalize=True), "_test")
-    assert got == [0, 0, 0, 0, 0.4, 0, 0.4, 0.2, 0, 0, 0, 0]
+def test_l1_norm(yard):
+    got = values(features.featurize(yard, [TEST], normalize=True), "_test")
+    assert got == pytest.approx([n / sum(COUNTS) for n in COUNTS])
 
 
-def test_l1_norm_by_reference(fun):
-    part = fun.where("doc_id in (3, 4)")
-    whole = features.featurize(fun, [TEST])
+def test_l1_norm_by_reference(yard):
+    part = yard.where("doc_id in (5, 6)")
+    whole = features.featurize(yard, [TEST])
     got = values(features.featurize(part, [TEST], normalize=True, reference=whole), "_test")
-    assert got == [0, 0.4]
+    assert got == pytest.approx([0, COUNTS[6] / sum(COUNTS)])
 
 
-def test_l1_norm_of_zeros(fun):
-    nothing = KeywordFeature("none", keywords=("idonotexist",))
-    assert set(values(features.featurize(fun, [nothing], normalize=True), "_none")) == {0.0}
+def test_l1_norm_of_zeros(yard):
+    nothing = KeywordFeature("none", keywords=("brontide",))
+    assert set(values(features.featurize(yard, [nothing], normalize=True), "_none")) == {0.0}
 
 
-def test_row_cap(fun):
-    specs = [KeywordFeature("beep", keywords=("beep",)), KeywordFeature("eep", keywords=("eep",))]
-    rows = features.featurize(fun, specs)
-    alone = features.row_cap_normalize(rows, ["_beep"]).where("doc_id = 4").first()
-    assert alone._beep == 1.0
-    both = features.row_cap_normalize(rows, ["_beep", "_eep"]).where("doc_id = 4").first()
-    assert both._beep + both._eep == pytest.approx(1.0)
-    assert both._beep < both._eep
+def test_row_cap(yard):
+    specs = [KeywordFeature("tick", keywords=("tick",)), KeywordFeature("ick", keywords=("ick", "c"))]
+    rows = features.featurize(yard, specs)
+    alone = features.row_cap_normalize(rows, ["_tick"]).where("doc_id = 4").first()
+    assert alone._tick == 1.0
+    both = features.row_cap_normalize(rows, ["_tick", "_ick"]).where("doc_id = 4").first()
+    assert both._tick + both._ick == pytest.approx(1.0)
+    assert both._tick < both._ick
 
 
-def test_rename_and_drop(fun):
-    rows = features.featurize(fun, [TEST])
+def test_rename_and_drop(yard):
+    rows = features.featurize(yard, [TEST])
     assert "_other" in features.rename_feature(rows, "test", "other").columns
     with pytest.raises(ValueError):
         features.rename_feature(rows, "test", "test")
@@ -98,7 +100,7 @@ def test_feature_columns():
         TEST,
         TfidfFeature("t", weight=0.5, references=("a", "b")),
         EmbeddingFeature("e", reference=(0.5, 1.0), in_model=False),
-        CustomFeature("c", builder="tests.test_features:text_length"),
+        CustomFeature("c", builder="tests.test_features:text_length", columns=("n",), references=("r",)),
     ],
 )
 def test_spec_json(spec):
@@ -112,51 +114,66 @@ def test_custom_builder_is_saved_by_address():
         spec_to_json(CustomFeature("c", builder=lambda text: text))
 
 
-def test_vectorised_python_builder(fun):
+def per_column(text, doc_id, references=()):
+    return F.length(text) * 100 + doc_id + len(references)
+
+
+def test_builder_with_columns_and_references(yard):
+    spec = CustomFeature("own", builder=per_column, columns=("doc_id",), references=("a", "b"))
+    got = values(features.featurize(yard, [spec]), "_own")
+    assert got == [len(t) * 100 + i + 2 for i, t in enumerate(YARD)]
+    narrow = compute_features(yard.withColumn("more", F.col("doc_id") * 2), [
+        CustomFeature("own", builder=per_column, columns=("more",))
+    ])
+    assert narrow.columns == ["doc_id", "_own"]
+    assert values(narrow, "_own") == [len(t) * 100 + 2 * i for i, t in enumerate(YARD)]
+
+
+def test_vectorised_python_builder(yard):
     @F.pandas_udf("double")
     def shout(texts: pd.Series) -> pd.Series:
         return texts.str.count("[A-Z]").astype(float)
 
     spec = CustomFeature("shout", weight=0.5, builder=lambda text: shout(text))
-    got = values(features.featurize(fun, [spec, TEST]), "_shout")
-    assert got == [0.5 * sum(c.isascii() and c.isupper() for c in t) for t in values(fun, "text")]
+    got = values(features.featurize(yard, [spec, TEST]), "_shout")
+    assert got == [0.5 * sum(c.isascii() and c.isupper() for c in t) for t in values(yard, "text")]
 
 
-def test_many_keywords(fun):
+def test_many_keywords(yard):
     """Hundreds of keywords are still one projection."""
-    many = KeywordFeature("many", keywords=tuple(f"k{i}" for i in range(300)) + ("muffin",))
-    assert sum(values(features.featurize(fun, [many, TEST]), "_many")) == 2
+    many = KeywordFeature("many", keywords=tuple(f"k{i}" for i in range(300)) + ("kettle",))
+    assert sum(values(features.featurize(yard, [many, TEST]), "_many")) == 2  # one text names two
 
 
-def test_embedding_feature(spark, fun):
+def test_embedding_feature(spark, yard):
     vectors = spark.createDataFrame(
         [(0, [1.0, 0.0]), (1, [3.0, 3.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0])],
         "doc_id bigint, embedding array<float>",
     )
     spec = EmbeddingFeature("e", weight=2.0, reference=(2.0, 0.0))
-    got = values(features.featurize(fun, [spec], embeddings=vectors), "_e")
+    got = values(features.featurize(yard, [spec], embeddings=vectors), "_e")
     assert got[0] == pytest.approx(2.0)
     assert got[1] == pytest.approx(2 * (2 / 2**0.5 - 1))
-    assert got[2:] == [0.0] * 10
+    assert got[2:] == [0.0] * (len(YARD) - 2)
     with pytest.raises(ValueError):
-        features.featurize(fun, [spec])
+        features.featurize(yard, [spec])
 
 
-def test_narrow_features_do_not_shuffle_text(fun, tmp_path):
-    path = str(tmp_path / "fun")
-    fun.write.parquet(path)
-    corpus = fun.sparkSession.read.parquet(path)
-    specs = [TEST, TfidfFeature("like", references=("a llama",))]
+def test_narrow_features_do_not_shuffle_text(yard, tmp_path):
+    path = str(tmp_path / "yard")
+    yard.write.parquet(path)
+    corpus = yard.sparkSession.read.parquet(path)
+    specs = [TEST, TfidfFeature("like", references=("a lantern",))]
     rows = features.featurize(corpus, specs).select("doc_id", "_test", "_like")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     for line in plan.splitlines():
         if "Exchange" in line:
             assert "text" not in line
-    assert rows.count() == 12
+    assert rows.count() == len(YARD)
 
 
 def test_null_and_empty_texts_have_no_features(spark):
-    rows = [(1, None), (2, ""), (3, "a muffin in space")]
+    rows = [(1, None), (2, ""), (3, "a kettle in space")]
     corpus = spark.createDataFrame(rows, "doc_id bigint, text string")
 
     def load():
@@ -165,7 +182,7 @@ def test_null_and_empty_texts_have_no_features(spark):
     vectors = embed_texts(corpus, load)
     specs = [
         TEST,
-        TfidfFeature("like", references=("space muffin",)),
+        TfidfFeature("like", references=("space kettle",)),
         EmbeddingFeature("near", reference=(17.0, 1.0)),
     ]
     got = features.featurize(corpus, specs, embeddings=vectors).orderBy("doc_id").collect()

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from siftwork.operators import labels
+from tests.conftest import YARD
 
 EVENTS = "seq bigint, doc_id bigint, text string, label int"
 
@@ -61,11 +62,11 @@ def test_training_set_is_a_replay(spark, seed):
         assert got == latest
 
 
-def test_apply_labels(spark, fun):
+def test_apply_labels(spark, yard):
     rows = [(1, 3, "", 1), (2, 4, "", 0), (3, 3, "", 0), (4, 5, "", 1), (5, 5, "", -1)]
     rows += [(6, 99, "", 1)]
-    got = {r.doc_id: r._label for r in labels.apply_labels(fun, ledger(spark, rows)).collect()}
-    assert got == {i: {3: 0, 4: 0}.get(i, -1) for i in range(12)}
+    got = {r.doc_id: r._label for r in labels.apply_labels(yard, ledger(spark, rows)).collect()}
+    assert got == {i: {3: 0, 4: 0}.get(i, -1) for i in range(len(YARD))}
 
 
 def test_bulk_lists_in_order(spark):
@@ -77,8 +78,8 @@ def test_bulk_lists_in_order(spark):
     assert {r.doc_id: r.label for r in current.collect()} == {1: 1, 2: -1}
 
 
-def test_label_all(fun):
-    events = labels.label_all(fun.where("doc_id < 3"), 1, seq=7)
+def test_label_all(yard):
+    events = labels.label_all(yard.where("doc_id < 3"), 1, seq=7)
     assert sorted((r.seq, r.doc_id, r.label) for r in events.collect()) == [
         (7, 0, 1),
         (7, 1, 1),
@@ -86,7 +87,14 @@ def test_label_all(fun):
     ]
 
 
-def test_rows_for_training(spark, fun):
+def test_rows_for_training(spark, yard):
     events = ledger(spark, [(1, 3, "", 1), (2, 4, "", 0), (3, 4, "", -1)])
-    rows = labels.rows_for_training(fun, events).collect()
+    rows = labels.rows_for_training(yard, events).collect()
     assert [(r.doc_id, r._label) for r in rows] == [(3, 1)]
+
+
+def test_no_text_in_an_aggregation(spark):
+    events = ledger(spark, [(1, 1, "a", 0), (2, 2, "b", 1)])
+    for frame in (labels.training_set(events), labels.compact_events(events)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan and "max_by" not in plan

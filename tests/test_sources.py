@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from siftwork.operators import embeddings, explore, labels, tfidf
 from siftwork.operators.classifier import FittedModel
@@ -7,49 +8,39 @@ from siftwork.sources import corpus, durable, session
 from siftwork.specs import KeywordFeature, TfidfFeature
 from siftwork.streaming.ledger import read_ledger, write_label_stream
 from siftwork.streaming.scoring import score_stream
-from tests.conftest import values
+from tests.conftest import YARD, values
 
 SPECS = (
-    KeywordFeature("test", weight=2.0, keywords=("I'm", "muffin")),
-    TfidfFeature("like", references=("llama drive", "pie")),
+    KeywordFeature("test", weight=2.0, keywords=("it's", "kettle")),
+    TfidfFeature("like", references=("moved ladder", "jam")),
 )
 MODEL = FittedModel(("_test", "_like"), (0.5, -2.0), 0.125)
 
 
-def test_default_label(spark, fun, tmp_path):
-    path = str(tmp_path / "fun")
-    fun.write.json(path)
+def test_default_label(spark, yard, tmp_path):
+    path = str(tmp_path / "yard")
+    yard.write.json(path)
     rows = corpus.load_corpus(spark, path, "json")
     assert set(values(rows, "_label")) == {-1}
     kept = corpus.with_default_label(rows.replace(-1, 1, ["_label"]))
     assert set(values(kept, "_label")) == {1}
 
 
-def test_durable_tables_are_read_back(fun):
-    kept = durable.durable(fun, "fun")
-    assert kept.schema == fun.schema and values(kept, "text") == values(fun, "text")
-    assert durable.shared_folder(fun.sparkSession) in kept.inputFiles()[0]
+def test_durable_tables_are_read_back(yard):
+    kept = durable.durable(yard, "yard")
+    assert kept.schema == yard.schema and values(kept, "text") == values(yard, "text")
+    assert durable.shared_folder(yard.sparkSession) in kept.inputFiles()[0]
 
 
-def test_spread_only_small_scans(spark, fun, tmp_path):
-    path = str(tmp_path / "fun")
-    fun.write.parquet(path)
-    scan = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    spread = corpus.spread_scan(scan, ["doc_id"])
-    assert spread.rdd.getNumPartitions() == cores
-    assert corpus.spread_scan(spread, ["doc_id"]) is spread
-
-
-def test_session_round_trip(spark, fun, tmp_path):
+def test_session_round_trip(spark, yard, tmp_path):
     path = str(tmp_path / "session")
-    idf = tfidf.fit_idf(fun)
+    idf = tfidf.fit_idf(yard)
     training = spark.createDataFrame([(1, "x", 1)], "doc_id bigint, text string, label int")
     saved = session.Session(
         specs=SPECS,
         model=MODEL,
         idf=idf,
-        corpus=fun,
+        corpus=yard,
         training=training,
         sample=explore.id_list(spark, [3, 1]),
         sample_size=50,
@@ -57,24 +48,37 @@ def test_session_round_trip(spark, fun, tmp_path):
     session.save_session(spark, saved, path)
     loaded = session.load_session(spark, path)
     assert (loaded.specs, loaded.model, loaded.sample_size) == (SPECS, MODEL, 50)
-    assert loaded.idf.n_docs == 12 and loaded.idf.n_terms == idf.n_terms
+    assert loaded.idf.n_docs == len(YARD)
+    assert sorted(loaded.idf.terms.collect()) == sorted(idf.terms.collect())
     assert loaded.embeddings is None
     assert sorted(r.doc_id for r in loaded.sample.collect()) == [1, 3]
-    before = plan.score_new(fun, SPECS, MODEL, idf=idf)
+    before = plan.score_new(yard, SPECS, MODEL, idf=idf)
     after = plan.score_new(loaded.corpus, loaded.specs, loaded.model, idf=loaded.idf)
     assert values(after, "_pred") == pytest.approx(values(before, "_pred"))
 
 
-def test_saving_over_a_loaded_session(spark, fun, tmp_path):
+def test_saving_over_a_loaded_session(spark, yard, tmp_path):
     path = str(tmp_path / "session")
-    first = session.save_session(spark, session.Session(specs=SPECS, corpus=fun), path)
+    first = session.save_session(spark, session.Session(specs=SPECS, corpus=yard), path)
     loaded = session.load_session(spark, path)
     fewer = session.Session(specs=SPECS[:1], corpus=loaded.corpus.where("doc_id < 3"))
     session.save_session(spark, fewer, path)
     latest = session.load_session(spark, path)
     assert latest.corpus.count() == 3 and len(latest.specs) == 1
     assert latest.model is None and latest.training is None
-    assert session.load_session(spark, path, first).corpus.count() == 12
+    assert session.load_session(spark, path, first).corpus.count() == len(YARD)
+
+
+def test_a_stored_corpus_is_named_not_copied(spark, yard, tmp_path):
+    place, path = str(tmp_path / "yard"), str(tmp_path / "session")
+    yard.write.parquet(place)
+    session.save_session(spark, session.Session(specs=SPECS, corpus_path=place), path)
+    loaded = session.load_session(spark, path)
+    assert values(loaded.corpus, "text") == values(yard, "text") and loaded.corpus_path == place
+    assert not list((tmp_path / "session").glob("*/corpus"))
+    yard.limit(1).withColumn("doc_id", F.lit(77).cast("bigint")).write.mode("append").parquet(place)
+    with pytest.raises(ValueError, match="not the corpus"):
+        session.load_session(spark, path)
 
 
 @pytest.mark.parametrize(
@@ -104,18 +108,18 @@ def loader(batches):
     return load
 
 
-def test_embedding_in_batches_and_only_new_rows(spark, fun, tmp_path):
+def test_embedding_in_batches_and_only_new_rows(spark, yard, tmp_path):
     log = str(tmp_path / "batches")
-    cache = embeddings.embed_texts(fun.where("doc_id < 9"), loader(log), batch_size=4)
+    cache = embeddings.embed_texts(yard.where("doc_id < 9"), loader(log), batch_size=4)
     cache = durable.durable(cache, "cache")
     with open(log) as sizes:
         assert sorted(int(s) for s in sizes) == [1, 4, 4]
-    assert embeddings.missing_from_cache(fun, cache).count() == 3
+    assert embeddings.missing_from_cache(yard, cache).count() == len(YARD) - 9
     log = str(tmp_path / "more")
-    whole = durable.durable(embeddings.extend_cache(fun, cache, loader(log)), "cache")
+    whole = durable.durable(embeddings.extend_cache(yard, cache, loader(log)), "cache")
     with open(log) as sizes:
-        assert sum(int(s) for s in sizes) == 3
-    texts = values(fun, "text")
+        assert sum(int(s) for s in sizes) == len(YARD) - 9
+    texts = values(yard, "text")
     assert values(whole, "embedding") == [[len(t), t.count("a")] for t in texts]
 
 
@@ -126,11 +130,11 @@ def test_mean_pool(spark):
     assert values(embeddings.mean_pool(tokens, "doc_id"), "embedding") == [[2.0, 3.0], [5.0, 6.0]]
 
 
-def test_stream_scores_equal_batch_scores(spark, fun, tmp_path):
+def test_stream_scores_equal_batch_scores(spark, yard, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    fun.repartition(3).write.parquet(source)
+    yard.repartition(3).write.parquet(source)
     model = FittedModel(("_test",), (1.0,), -0.5)
-    stream = spark.readStream.schema(fun.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(yard.schema).option("maxFilesPerTrigger", 1).parquet(source)
     query = (
         score_stream(stream, SPECS[:1], model)
         .writeStream.option("path", out)
@@ -139,7 +143,7 @@ def test_stream_scores_equal_batch_scores(spark, fun, tmp_path):
         .start()
     )
     query.awaitTermination()
-    batch = plan.score_new(fun, SPECS[:1], model)
+    batch = plan.score_new(yard, SPECS[:1], model)
     assert values(spark.read.parquet(out), "_pred") == values(batch, "_pred")
     with pytest.raises(ValueError):
         score_stream(stream, SPECS, model)

@@ -8,43 +8,30 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text as T
 from siftwork.functions.stopwords import ENGLISH
-from tests.conftest import values
-
-TEAPOT = """I'm a little teapot
-Short and stout
-Here is my handle
-Here is my spout
-When I get all steamed up
-Hear me shout
-Tip me over
-And pour me out!"""
-
-
-@pytest.mark.parametrize(
-    "keywords,expected",
-    [
-        (["teapot"], 1),
-        (["here"], 2),
-        (["Here"], 2),
-        (["short", "stout"], 2),
-        (["idonotexist"], 0),
-        (["idonotexist", "short"], 1),
-        ([], 0),
-        (["\n"], 0),
-        ([""], 0),
-        (["short", "short"], 2),
-    ],
-)
-def test_keyword_count(spark, keywords, expected):
-    one = spark.range(1).select(T.keyword_count(F.lit(TEAPOT), keywords).alias("n"))
-    assert one.first().n == expected
-
-
-def test_keyword_count_per_row(fun):
-    counted = fun.withColumn("n", T.keyword_count("text", ["muffin", "I'm"]))
-    assert values(counted, "n") == [0, 0, 0, 0, 2, 0, 2, 1, 0, 0, 0, 0]
-    doubled = fun.withColumn("n", T.keyword_count("text", ["muffin", "I'm"], 2))
-    assert values(doubled, "n") == [0, 0, 0, 0, 4, 0, 4, 2, 0, 0, 0, 0]
+from tests.conftest import occurrences, values
+
+NOTE = "Wash the jars.\nDry the jars, label them;\nstore THE JARS by size (jars!)"
+
+
+def counted(spark, text, keywords, *weight):
+    return spark.range(1).select(T.keyword_count(F.lit(text), keywords, *weight).alias("n")).first().n
+
+
+def test_keyword_count(spark):
+    """Case is ignored, keywords add up, repeated ones count again, blank ones count nothing."""
+    assert counted(spark, NOTE, ["jars"]) == 4 == counted(spark, NOTE, ["JaRs"])
+    assert counted(spark, NOTE, ["jars", "label"]) == 5
+    assert counted(spark, NOTE, ["jars", "jars"]) == 8
+    assert counted(spark, NOTE, ["by size ("]) == 1
+    for nothing in ([], [""], ["\n", " \t"], ["lids"]):
+        assert counted(spark, NOTE, nothing) == 0
+    assert counted(spark, NOTE, ["lids", "", "wash"], 3) == 3
+
+
+def test_keyword_count_per_row(yard):
+    for weight in (1, 2):
+        rows = yard.withColumn("n", T.keyword_count("text", ["kettle", "it's"], weight))
+        assert values(rows, "n") == [weight * n for n in occurrences("kettle", "it's")]
 
 
 def test_null_text_counts_as_zero(spark):
@@ -89,39 +76,30 @@ def test_tokenize_drops_stop_words(spark):
     assert one.first().t == ["cat_1", "sat", "mat", "été", "42"]
 
 
-@pytest.mark.parametrize(
-    "sets,expected",
-    [
-        ([["test"]], "(test)"),
-        ([["test1", "test2"]], "(test1|test2)"),
-        ([], ""),
-        ([[]], ""),
-        ([["test1", "test2"], []], "(test1|test2)"),
-        ([["test1", "test2"], [""]], "(test1|test2)"),
-        ([["test1", "test2"], ["test3", "test4"]], "(test1|test2|test3|test4)"),
-        ([[""]], ""),
-        ([["test1", ""]], "(test1)"),
-        ([["(test1*)"]], r"(\(test1\*\))"),
-        ([["a-b+[c]|d"]], r"(a\-b\+\[c\]\|d)"),
-    ],
-)
-def test_combined_regex(sets, expected):
-    assert T.combined_regex(sets) == expected
+def test_combined_regex():
+    """Keywords of all sets in one group, escaped; blank ones and empty sets leave nothing behind."""
+    assert T.combined_regex([["oak", "elm"], ["ash"]]) == "(oak|elm|ash)"
+    assert T.combined_regex([["oak", ""], [], ["", "ash"]]) == "(oak|ash)"
+    for empty in ([], [[], []], [["", ""]]):
+        assert T.combined_regex(empty) == ""
+    wild = "a*b+c|d-[e] (f)"
+    assert re.fullmatch(T.combined_regex([[wild, "x"]]), wild)
+
+
+def shown(spark, column):
+    return spark.range(1).select(column.alias("t")).first().t
 
 
 def test_highlight(spark):
-    marked = T.highlight(F.lit("A pie. PIE!"), "(pie|a )")
-    got = spark.range(1).select(marked.alias("t")).first().t
     span = "<span style='background-color: yellow; color: black;'>{}</span>"
-    assert got == span.format("A ") + span.format("pie") + ". " + span.format("PIE") + "!"
+    got = shown(spark, T.highlight(F.lit("Elm, then an elm tree"), "(elm|tree)"))
+    assert got == span.format("Elm") + ", then an " + span.format("elm") + " " + span.format("tree")
     for blank in ("", "()"):
-        same = spark.range(1).select(T.highlight(F.lit("A pie."), blank).alias("t"))
-        assert same.first().t == "A pie."
+        assert shown(spark, T.highlight(F.lit("Elm."), blank)) == "Elm."
 
 
 def test_search_pass_sees_markup(spark):
-    marked = T.highlight_keywords_and_search(F.lit("pie"), "(pie)", "yellow")
-    got = spark.range(1).select(marked.alias("t")).first().t
+    got = shown(spark, T.highlight_keywords_and_search(F.lit("elm"), "(elm)", "yellow"))
     assert "background-color: white" in got and got.count("<span") == 2
 
 

@@ -9,7 +9,7 @@ from siftwork.functions.stopwords import ENGLISH
 from siftwork.operators import references, tfidf
 from siftwork.operators.features import featurize
 from siftwork.specs import TfidfFeature
-from tests.conftest import FUN_TEXTS, values
+from tests.conftest import YARD, values
 
 
 def brute_force(texts, refs, vocabulary_texts=None):
@@ -42,9 +42,9 @@ def feature_values(corpus, *refs, **kwargs):
     return values(featurize(corpus, [spec], **kwargs), "_t")
 
 
-def test_term_counts(fun):
-    rows = tfidf.term_counts(fun).where("doc_id = 4").collect()
-    assert {r.term: r.tf for r in rows} == {"beep": 4, "sheep": 2, "said": 1}
+def test_term_counts(yard):
+    rows = tfidf.term_counts(yard).where("doc_id = 4").collect()
+    assert {r.term: r.tf for r in rows} == {"tick": 4, "clock": 1}
 
 
 def test_empty_texts_have_no_terms(spark):
@@ -52,85 +52,76 @@ def test_empty_texts_have_no_terms(spark):
     assert tfidf.term_counts(rows).count() == 0
 
 
-def test_similarity_to_one_reference(fun):
-    got = feature_values(fun, FUN_TEXTS[0])
-    assert got[0] == pytest.approx(1.0)
-    assert got[2] > 0 and got[4] > 0
-    assert got == pytest.approx(brute_force(FUN_TEXTS, [FUN_TEXTS[0]]))
+@pytest.mark.parametrize("chosen", [(0,), (3,), (8, 9), (0, 4, 10), (12,)])
+def test_similarity_to_references(yard, chosen):
+    refs = [YARD[i] for i in chosen]
+    got = feature_values(yard, *refs)
+    assert got == pytest.approx(brute_force(YARD, refs))
+    assert all(got[i] > 0.3 for i in chosen)
 
 
-def test_similarity_to_two_references(fun):
-    got = feature_values(fun, FUN_TEXTS[0], FUN_TEXTS[8])
-    assert got[0] > 0.5 and got[8] > 0.5
-    assert got[2] > 0 and got[4] > 0 and got[9] > 0
-    assert got == pytest.approx(brute_force(FUN_TEXTS, [FUN_TEXTS[0], FUN_TEXTS[8]]))
+def test_no_or_unknown_references(yard):
+    assert feature_values(yard) == [0.0] * len(YARD)
+    assert feature_values(yard, "brontide quoz") == [0.0] * len(YARD)
 
 
-def test_no_or_unknown_references(fun):
-    assert feature_values(fun) == [0.0] * 12
-    assert feature_values(fun, "xyzzy plugh") == [0.0] * 12
+def test_new_texts_use_the_fitted_idf(yard, gapped):
+    idf = tfidf.fit_idf(yard)
+    assert idf.n_docs == len(YARD)
+    got = feature_values(gapped, YARD[8], idf=idf)
+    assert got == pytest.approx(brute_force(YARD[3:], [YARD[8]], YARD))
 
 
-def test_new_texts_use_the_fitted_idf(fun, gapped):
-    idf = tfidf.fit_idf(fun)
-    assert idf.n_docs == 12
-    got = feature_values(gapped, FUN_TEXTS[8], idf=idf)
-    assert got == pytest.approx(brute_force(FUN_TEXTS[2:], [FUN_TEXTS[8]], FUN_TEXTS))
+def test_idf_from_stored_counts_is_the_same(yard):
+    counts = tfidf.stored_counts(yard)
+    rows = [sorted(t.terms.collect()) for t in (tfidf.fit_idf(yard), tfidf.fit_idf(yard, counts=counts))]
+    assert rows[0] == rows[1]
 
 
-@pytest.mark.parametrize("bounds", [{"max_rows": 0}, {"max_rows": 3}, {"max_bytes": 400}])
-def test_frequent_and_rare_terms_give_the_same_sums(fun, bounds):
-    """The broadcast part may be empty, partial or all."""
-    idf = tfidf.fit_idf(fun)
-    refs = {"one": [FUN_TEXTS[0]], "two": [FUN_TEXTS[8], FUN_TEXTS[9]]}
-    split = tfidf.similarities(fun, idf, refs, **bounds)
-    rows = {r.doc_id: r for r in split.collect()}
-    for name, texts in refs.items():
-        want = brute_force(FUN_TEXTS, texts)
-        got = [rows[i][name] if i in rows else 0.0 for i in range(12)]
-        assert got == pytest.approx(want)
-    whole = tfidf.vectors(fun, idf).collect()
-    split = tfidf.vectors(fun, idf, **bounds).collect()
-    assert {(r.doc_id, r.term): pytest.approx(r.x) for r in whole} == {
-        (r.doc_id, r.term): r.x for r in split
-    }
-
-
-@pytest.mark.parametrize("bounds", [{}, {"max_rows": 1}])
-def test_stored_norms_give_the_same_similarities(fun, bounds):
-    idf = tfidf.fit_idf(fun)
-    norms = tfidf.text_norms(fun, idf)
-    refs = {"one": [FUN_TEXTS[0]], "two": [FUN_TEXTS[4], FUN_TEXTS[9]], "none": ["xyzzy"]}
-    rows = {r.doc_id: r for r in tfidf.similarities(fun, idf, refs, norms=norms, **bounds).collect()}
+def test_vectors_have_length_one(yard):
+    counts = tfidf.stored_counts(yard)
+    length = {}
+    for r in tfidf.vectors(counts, tfidf.fit_idf(yard, counts=counts)).collect():
+        length[r.doc_id] = length.get(r.doc_id, 0.0) + r.x**2
+    assert set(length) == set(range(len(YARD)))
+    assert list(length.values()) == pytest.approx([1.0] * len(length))
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_several_features_in_one_pass(yard, stored):
+    counts = tfidf.stored_counts(yard)
+    idf = tfidf.fit_idf(yard, counts=counts)
+    norms = tfidf.text_norms(counts, idf) if stored else None
+    refs = {"one": [YARD[2]], "two": [YARD[4], YARD[9]], "none": ["brontide"]}
+    rows = {r.doc_id: r for r in tfidf.similarities(counts, idf, refs, norms=norms).collect()}
     for name, texts in refs.items():
-        got = [rows[i][name] if i in rows else 0.0 for i in range(12)]
-        assert got == pytest.approx(brute_force(FUN_TEXTS, texts))
-    spec = TfidfFeature("t", references=(FUN_TEXTS[0],))
-    featured = values(featurize(fun, [spec], idf=idf, norms=norms), "_t")
-    assert featured == pytest.approx(brute_force(FUN_TEXTS, [FUN_TEXTS[0]]))
+        got = [rows[i][name] if i in rows else 0.0 for i in range(len(YARD))]
+        assert got == pytest.approx(brute_force(YARD, texts))
+    spec = TfidfFeature("t", references=(YARD[2],))
+    featured = values(featurize(yard, [spec], idf=idf, norms=norms, counts=counts), "_t")
+    assert featured == pytest.approx(brute_force(YARD, [YARD[2]]))
 
 
-def test_head_threshold_keeps_bounds(fun):
-    idf = tfidf.fit_idf(fun)
-    assert tfidf.head_threshold(idf) == 1
-    assert tfidf.head_threshold(idf, max_rows=3) > 1
-    threshold = tfidf.head_threshold(idf, max_rows=10)
-    assert idf.terms.where(F.col("df") >= threshold).count() <= 10
+def test_short_references(spark, yard):
+    refs = tfidf.text_list(spark, ["QUINCE JAM.", "More letters than a name of a reference can show"])
+    shown = references.short_references(refs, yard).orderBy("ref_id").collect()
+    assert [r.short for r in shown] == ["9", "More letters than a name "]
 
 
-def test_short_references(spark, fun):
-    refs = tfidf.text_list(spark, ["PIE FLAVOR.", "A text that is longer than what is shown"])
-    shown = references.short_references(refs, fun).orderBy("ref_id").collect()
-    assert [r.short for r in shown] == ["9", "A text that is longer tha"]
+def test_short_reference_of_copies_is_the_first(spark, yard):
+    copies = yard.unionByName(yard.withColumn("doc_id", F.col("doc_id") + 100))
+    refs = tfidf.text_list(spark, ["Rain all week."])
+    assert references.short_references(refs, copies).first().short == "1"
 
 
-def test_short_reference_of_copies_is_the_first(spark, fun):
-    copies = fun.unionByName(fun.withColumn("doc_id", F.col("doc_id") + 100))
-    refs = tfidf.text_list(spark, ["PIE FLAVOR."])
-    assert references.short_references(refs, copies).first().short == "9"
+def test_entries(spark, yard):
+    entries = tfidf.text_list(spark, ["11", "a literal text"], "entry")
+    rows = references.resolve_entries(entries, yard).orderBy("ref_id").collect()
+    assert [(r.ref_id, r.text) for r in rows] == [(0, YARD[11]), (1, "a literal text")]
 
 
-def test_entries(spark, fun):
-    entries = tfidf.text_list(spark, ["9", "some text", "999"], "entry")
-    rows = references.resolve_entries(entries, fun).orderBy("ref_id").collect()
-    assert [(r.ref_id, r.text) for r in rows] == [(0, "PIE FLAVOR."), (1, "some text")]
+@pytest.mark.parametrize("entry", ["999", "9" * 25])
+def test_an_entry_that_names_no_row_fails(spark, yard, entry):
+    entries = tfidf.text_list(spark, [entry], "entry")
+    with pytest.raises(Exception, match="no row with id"):
+        references.resolve_entries(entries, yard).collect()
