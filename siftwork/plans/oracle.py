@@ -491,3 +491,4 @@ SQL["stream_score"] = (
 )
 SQL["stream_labels"] = """SELECT doc_id, 'row ' || doc_id AS text, quality::INT AS label,
     doc_id * 2 + 1 AS seq FROM labels WHERE toxic = 0"""
+SQL["stream_labels_compacted"] = SQL["stream_labels"]

@@ -35,7 +35,7 @@ from siftwork.specs import (
     TfidfFeature,
     feature_columns,
 )
-from siftwork.streaming.ledger import read_ledger, write_label_stream
+from siftwork.streaming.ledger import compact_ledger, read_ledger, write_label_stream
 from siftwork.streaming.scoring import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -893,9 +893,8 @@ def stream_score(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(spark.read.parquet(out), PREDICTION)
 
 
-@query
-def stream_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Label events arriving as a stream, then the training state they leave."""
+def _streamed_ledger(spark: SparkSession, folder: str) -> str:
+    """A ledger filled by a stream: labels, and toxic rows unlabelled after."""
     stream = stream_of(spark, folder, "labels")
     steps = F.array(
         F.struct((F.col("doc_id") * 2).alias("seq"), F.col("quality").alias("label")),
@@ -909,4 +908,18 @@ def stream_labels(spark: SparkSession, folder: str) -> DataFrame:
     )
     ledger = new_path(spark, "ledger")
     write_label_stream(events, ledger, new_path(spark, "ledger-state")).awaitTermination()
+    return ledger
+
+
+@query
+def stream_labels_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The same after the streamed ledger was compacted."""
+    ledger = _streamed_ledger(spark, folder)
+    compact_ledger(spark, ledger)
     return labels.training_set(read_ledger(spark, ledger))
+
+
+@query
+def stream_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Label events arriving as a stream, then the training state they leave."""
+    return labels.training_set(read_ledger(spark, _streamed_ledger(spark, folder)))

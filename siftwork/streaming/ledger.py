@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import time
 from hashlib import md5
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from siftwork.operators.labels import compact_events
+
+COMPACTED = "compacted-"
+VERSIONS = "listed_at double, version string, folded array<struct<run: string, last: bigint>>"
+
 
 def write_label_stream(events: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
     """Append event batches (seq, id, text, label) to the ledger until the source is drained.
@@ -28,6 +37,54 @@ def write_label_stream(events: DataFrame, ledger: str, checkpoint: str) -> Strea
     )
 
 
+def latest_version(spark: SparkSession, ledger: str) -> Row | None:
+    """The last listed compaction, if there was one."""
+    try:
+        listed = spark.read.schema(VERSIONS).json(f"{ledger}-versions")
+    except AnalysisException:  # nothing has been listed yet
+        return None
+    return listed.orderBy(F.desc("listed_at")).first()
+
+
+def _events(spark: SparkSession, ledger: str) -> DataFrame:
+    """Events with their run and batch: of the last compaction, and of batches after it."""
+    rows = spark.read.parquet(ledger)
+    version = latest_version(spark, ledger)
+    if version is None:
+        return rows.where(~F.col("run").startswith(COMPACTED))
+    own = F.col("run") == version.version
+    later = ~F.col("run").startswith(COMPACTED)
+    for part in version.folded:  # one per stream, by its last batch
+        later &= (F.col("run") != part.run) | (F.col("batch") > part.last)
+    return rows.where(own | later)
+
+
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
-    """All events of a ledger."""
-    return spark.read.parquet(ledger).drop("run", "batch")
+    """All events of a ledger that its state depends on."""
+    return _events(spark, ledger).drop("run", "batch")
+
+
+def compact_ledger(
+    spark: SparkSession, ledger: str, id_col: str = "doc_id", text_col: str = "text"
+) -> str:
+    """Write the events that still matter as a new version and list it; returns its name.
+
+    Readers see the version once it is listed, and until then what was there before. Batches keep
+    arriving meanwhile; those behind the last batch folded in are read beside the version.
+    """
+    rows = _events(spark, ledger)
+    seen = rows.where(~F.col("run").startswith(COMPACTED)).groupBy("run")
+    folded = {r.run: r.last for r in seen.agg(F.max("batch").alias("last")).collect()}
+    before = latest_version(spark, ledger)
+    for part in before.folded if before else ():
+        folded.setdefault(part.run, part.last)
+    done = F.col("run").startswith(COMPACTED)
+    for run, last in folded.items():
+        done |= (F.col("run") == run) & (F.col("batch") <= last)
+    version = COMPACTED + uuid4().hex
+    kept = compact_events(rows.where(done).drop("run", "batch"), id_col, text_col)
+    kept.write.parquet(f"{ledger}/run={version}/batch=0")
+    entry = [(time.time(), version, [(run, int(last)) for run, last in sorted(folded.items())])]
+    listing = spark.createDataFrame(entry, VERSIONS).coalesce(1)
+    listing.write.mode("append").json(f"{ledger}-versions")
+    return version

@@ -6,7 +6,7 @@ from siftwork.operators.classifier import FittedModel
 from siftwork.plans import triage as plan
 from siftwork.sources import corpus, durable, session
 from siftwork.specs import KeywordFeature, TfidfFeature
-from siftwork.streaming.ledger import read_ledger, write_label_stream
+from siftwork.streaming.ledger import compact_ledger, read_ledger, write_label_stream
 from siftwork.streaming.scoring import score_stream
 from tests.conftest import YARD, values
 
@@ -164,3 +164,12 @@ def test_label_stream(spark, tmp_path):
     assert arrive([(2, 1, "a", 0), (5, 2, "b", 1)]) == {(1, "a"): 0, (2, "b"): 1}
     assert arrive([(3, 1, "a", 1), (4, 2, "b", -1)]) == {(1, "a"): 1, (2, "b"): 1}
     assert arrive([(6, 2, "b", -1)]) == {(1, "a"): 1}
+    before = read_ledger(spark, ledger).count()
+    first = compact_ledger(spark, ledger)
+    assert read_ledger(spark, ledger).count() < before
+    assert arrive([(7, 9, "z", 1)]) == {(1, "a"): 1, (9, "z"): 1}
+    assert compact_ledger(spark, ledger) != first
+    assert arrive([(8, 9, "z", -1)]) == {(1, "a"): 1}
+    spark.createDataFrame([(99, 1, "a", 0)], schema).write.parquet(f"{ledger}/run=compacted-x/batch=0")
+    kept = labels.training_set(read_ledger(spark, ledger)).collect()
+    assert [(r.doc_id, r.label) for r in kept] == [(1, 1)]  # a version that isn't listed is not read
