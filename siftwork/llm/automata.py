@@ -7,8 +7,9 @@ by the anchor; each shard confirms the windows that recur, compiles them into an
 streams its texts through it, which finds every occurrence and with it the first one. Occurrences other than
 the first cover the words that go.
 
-Windows under an anchor with very many occurrences are runs of their own: equal ones collapse before any
-shard sees them, and the others are dealt out by their content, so no shard grows with one passage.
+Windows under an anchor with very many occurrences are runs of their own, one row per text with all places
+in it: equal ones collapse before any shard sees them, and the others are dealt out by their content, so no
+shard grows with one passage.
 
 Null texts have no words. Rows that share a doc_id but not the text are told apart by a hash of the text;
 windows that begin at the same place of such rows both stay. Null doc_ids come first.
@@ -25,14 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.ship import durable, packed, release, ship
+from siftwork.llm.ship import durable, packed, ship
 from siftwork.llm.words import Words, find_words, gram_hashes, joined, mix, slices, word_hashes
 
 WINDOW = 20
 ANCHOR = 8
 HOT = 10_000
 SHARD_WORDS = 100_000
-RUNS = "run binary, doc_id bigint, mark bigint, start int, n_words int, parts int, words binary"
+RUNS = "run binary, doc_id bigint, mark bigint, starts array<int>, n_words int, parts int, words binary"
 SEGMENTS = (
     "shard int, run binary, at int, windows int, n bigint, first_doc bigint, first_start int, words binary"
 )
@@ -122,17 +123,27 @@ def runs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     raw, place = body.tobytes(), np.append(place, len(body))
     low, high = place[begin], place[begin + n_words] - 1
     pieces = [raw[a:b] for a, b in zip(low.tolist(), high.tolist())]
+    owner, parts = text[first], parts[first]
+    begin = begin - words.first[:-1][owner]
+    rows, starts, known_at = [], [], {}
+    for k, (piece, text_of, at, hot) in enumerate(zip(pieces, owner.tolist(), begin.tolist(), (parts > 1).tolist())):
+        row = known_at.setdefault((text_of, piece), len(rows)) if hot else len(rows)
+        if row < len(rows):
+            starts[row].append(at)
+        else:
+            rows.append(k)
+            starts.append([at])
     marks = [signed(xxhash.xxh64_intdigest(t or "", 42)) for t in batch.column(1).to_pylist()]
-    owner = text[first]
+    owner = owner[rows]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([xxhash.xxh3_128_digest(p) for p in pieces], pa.binary()),
-            batch.column(0).take(pa.array(owner)),
+            pa.array([xxhash.xxh3_128_digest(pieces[k]) for k in rows], pa.binary()),
+            batch.column(0).take(pa.array(owner, pa.int64())),
             pa.array(np.array(marks, dtype=np.int64)[owner]),
-            pa.array((begin - words.first[:-1][owner]).astype(np.int32)),
-            pa.array(n_words.astype(np.int32)),
-            pa.array(parts[first].astype(np.int32)),
-            pa.array(pieces, pa.binary()),
+            pa.array(starts, pa.list_(pa.int32())),
+            pa.array(n_words[rows].astype(np.int32)),
+            pa.array(parts[rows].astype(np.int32)),
+            pa.array([pieces[k] for k in rows], pa.binary()),
         ],
         names=[part.split()[0] for part in RUNS.split(", ")],
     )
@@ -184,22 +195,32 @@ def letter(number: int) -> str:
 def locate(shard: pa.Table) -> pa.Table:
     """Rows of COVERS for the segments of one shard.
 
-    Words are letters of the shard's own alphabet, so a window is a string of 20. Windows that occur once
-    are left out of the automaton; what it finds are all occurrences of all others.
+    Words are letters of the shard's own alphabet, so a window is a string of 20. Equal segments are
+    streamed once, at their first place. Windows that occur once are left out of the automaton; what it
+    finds are all occurrences of all others.
     """
     import ahocorasick
 
+    numbers = shard.column("n").to_pylist()
+    docs, runs = shard.column("first_doc").to_pylist(), shard.column("run").to_pylist()
+    starts, ats = shard.column("first_start").to_pylist(), shard.column("at").to_pylist()
+    # the place of each segment's first word; a null document comes before all others
+    places = [(d is not None, d or 0, s + a) for d, s, a in zip(docs, starts, ats)]
+    rows_of: dict[bytes, list[int]] = {}
+    for k, raw in enumerate(shard.column("words").to_pylist()):
+        rows_of.setdefault(raw, []).append(k)
     alphabet: dict[bytes, str] = {}
     texts = []
-    for raw in shard.column("words").to_pylist():
+    for raw in rows_of:
         for word in (found := raw.split(b" ")):
             if word not in alphabet:
                 alphabet[word] = letter(len(alphabet) + 1)
         texts.append("".join([alphabet[word] for word in found]))
     del alphabet
-    numbers = shard.column("n").to_pylist()
+    groups = list(rows_of.values())
     seen: dict[str, int] = {}
-    for text, n in zip(texts, numbers):
+    for text, rows in zip(texts, groups):
+        n = sum([numbers[k] for k in rows])
         for i in range(len(text) - WINDOW + 1):
             window = text[i : i + WINDOW]
             seen[window] = seen.get(window, 0) + n
@@ -210,41 +231,58 @@ def locate(shard: pa.Table) -> pa.Table:
             automaton.add_word(window, total)
             total += 1
     del seen
-    runs, docs = shard.column("run").to_pylist(), shard.column("first_doc").to_pylist()
-    starts, ats = shard.column("first_start").to_pylist(), shard.column("at").to_pylist()
     out: tuple[list, ...] = ([], [], [], [], [], [])
+
+    def cover(k: int, begin: int, stop: int, always: bool) -> None:
+        for column, value in zip(out, (runs[k], docs[k], starts[k], ats[k] + begin, ats[k] + stop, always)):
+            column.append(value)
+
     if total:
         automaton.make_automaton()
-        # the smallest place of each phrase; a null document comes before all others
-        places = [(d is not None, d or 0, s + a - WINDOW + 1) for d, s, a in zip(docs, starts, ats)]
         first: list = [None] * total
         hits = []
-        for text, (has, doc, base) in zip(texts, places):
-            found = list(automaton.iter(text))
+        heads = [min(rows, key=places.__getitem__) for rows in groups]
+        for text, head in zip(texts, heads):
+            found = [(end - WINDOW + 1, phrase) for end, phrase in automaton.iter(text)]
             hits.append(found)
-            for end, phrase in found:
-                own = (has, doc, base + end)
+            has, doc, base = places[head]
+            for begin, phrase in found:
+                own = (has, doc, base + begin)
                 if first[phrase] is None or own < first[phrase]:
                     first[phrase] = own
-        for k, found in enumerate(hits):
-            has, doc, base = places[k]
-            last = None
-            for end, phrase in found:
-                always = first[phrase] != (has, doc, base + end)
-                if not always and numbers[k] < 2:
-                    continue
-                begin = ats[k] + end - WINDOW + 1
-                if last is not None and out[4][last] == begin and out[5][last] == always:
-                    out[4][last] = begin + 1
+        for found, rows, head in zip(hits, groups, heads):
+            if not found:
+                continue
+            has, doc, base = places[head]
+            every = stretches([begin for begin, _ in found])
+            late = {begin for begin, phrase in found if first[phrase] != (has, doc, base + begin)}
+            early = stretches([begin for begin, _ in found if begin not in late])
+            for k in rows:
+                if places[k] != places[head]:  # behind the first place of an equal segment
+                    for begin, stop in every:
+                        cover(k, begin, stop, True)
                     continue
-                last = len(out[0])
-                for column, value in zip(out, (runs[k], docs[k], starts[k], begin, begin + 1, always)):
-                    column.append(value)
+                for begin, stop in stretches(sorted(late)):
+                    cover(k, begin, stop, True)
+                if numbers[k] > 1:
+                    for begin, stop in early:
+                        cover(k, begin, stop, False)
     kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
     names = [part.split()[0] for part in COVERS.split(", ")]
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
 
+def stretches(numbers: list[int]) -> list[tuple[int, int]]:
+    """Ascending numbers as half-open ranges."""
+    out: list[tuple[int, int]] = []
+    for x in numbers:
+        if out and out[-1][1] == x:
+            out[-1] = (out[-1][0], x + 1)
+        else:
+            out.append((x, x + 1))
+    return out
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, spans): word ranges of each text of (doc_id, text) that repeat an earlier passage."""
     spark = docs.sparkSession
@@ -256,28 +294,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     hits = held.join(anchors, "anchor").groupBy("doc_id")
     hits = hits.agg(F.collect_list(F.struct("anchor", "parts")).alias("hit"))
     hits = durable(hits.select("doc_id", F.col("hit.anchor").alias("anchors"), F.col("hit.parts").alias("parts")), "hits")
-    release(spark)
     own = hits.withColumnRenamed("doc_id", "own")
     met = docs.select("doc_id", "text").join(own, F.col("doc_id").eqNullSafe(F.col("own")))
     runs = packed(met.select("doc_id", "text", "anchors", "parts").mapInArrow(run_rows, RUNS), "runs")
-    release(spark)
     total = runs.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).collect()[0].n
     distinct = runs.groupBy("run").agg(
-        F.count("*").alias("n"),
-        F.min(F.struct("doc_id", "start")).alias("first"),
+        F.sum(F.size("starts")).alias("n"),
+        F.min(F.struct("doc_id", F.col("starts")[0].alias("start"))).alias("first"),
         F.max("parts").alias("parts"),
         F.min("words").alias("words"),
     )
     distinct = distinct.select("run", "n", "first.doc_id", "first.start", "parts", "words")
     dealt = distinct.mapInArrow(segment_rows(1 + int(total) // SHARD_WORDS), SEGMENTS)
     covers = durable(dealt.groupBy("shard").applyInArrow(locate, COVERS), "covers")
-    release(spark)
-    found = runs.select("run", "doc_id", "mark", "start").join(covers, "run")
-    moved = ~F.col("doc_id").eqNullSafe(F.col("first_doc")) | (F.col("start") != F.col("first_start"))
-    found = found.where(F.col("always") | moved)
-    begin, stop = F.col("start") + F.col("begin"), F.col("start") + F.col("stop") + WINDOW - 1
-    span = F.struct(begin.alias("begin"), stop.alias("stop"))
-    return durable(found.groupBy("doc_id", "mark").agg(F.collect_list(span).alias("spans")), "repeated-spans")
+    found = runs.select("run", "doc_id", "mark", "starts").join(covers, "run")
+    spans = F.expr(
+        f"""transform(filter(starts, s -> always or not (doc_id <=> first_doc) or s != first_start),
+            s -> struct(s + begin as begin, s + stop + {WINDOW - 1} as stop))"""
+    )
+    found = found.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(spans)).alias("spans"))
+    return durable(found, "repeated-spans")
 
 
 def keep_rest(texts: pa.Array, spans: pa.Array) -> pa.StructArray:
