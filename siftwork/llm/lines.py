@@ -16,11 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm.ship import durable, packed
+
 EDITS = 2
 BYTES_PER_EDIT = 20
 WORD = r"[^\x20\x09-\x0D]"
 #: Longest common ends are found by halving steps from here; longer ends only leave more to verify.
 LONGEST_STEP = 20
+#: Letters whose numbers in a line are carried along, and the largest number that is told apart.
+COUNTED = "aeinorst"
+MOST = 127
 PLACE = "decimal(38,0)"
 
 
@@ -44,13 +49,6 @@ def allowed(length: str) -> str:
     return f"least({EDITS}, {length} div {BYTES_PER_EDIT})"
 
 
-def segment(length: str, count: int, i: int) -> tuple[str, str]:
-    """First byte (from 1) and length of segment i of `count`; the last ones take the remainder."""
-    longer = f"greatest(0, {i} - ({count} - {length} % {count}))"
-    size = f"{length} div {count} + if({i} >= {count} - {length} % {count}, 1, 0)"
-    return f"(1 + {i} * ({length} div {count}) + {longer})", f"({size})"
-
-
 def probes(tau: int, shorter: int) -> list[tuple[int, int]]:
     """(segment, shift) at which a line probes lines `shorter` bytes less, if those allow `tau` edits.
 
@@ -65,31 +63,67 @@ def probes(tau: int, shorter: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys() -> Column:
-    """Hashes of indexed segments (indexed true; they also probe lines as long) and of probed substrings."""
-    out = []
-    for tau in range(1, EDITS + 1):
-        for shorter in range(tau + 1):
-            length = f"(n - {shorter})"
-            for i, shift in probes(tau, shorter):
-                begin, size = segment(length, tau + 1, i)
-                indexed = shorter == 0 and shift == 0
-                inside = f"{begin} + {shift} >= 1 and {begin} + {shift} + {size} - 1 <= n"
-                out.append(
-                    f"if({allowed(length)} = {tau} and {inside}, named_struct("
-                    f"'key', xxhash64({length}, {i}, substring(line, cast({begin} + {shift} as int), "
-                    f"cast({size} as int))), 'indexed', {str(indexed).lower()}), null)"
-                )
-    return F.expr(f"filter(array({', '.join(out)}), x -> x is not null)")
+def letter_numbers(line: str) -> Column:
+    """How often each counted letter occurs, seven bits each. One edit changes the sum of all by two at most."""
+    text = F.col(line).cast("string")
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(COUNTED):
+        n = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(F.least(n, F.lit(MOST)).cast("long"), 7 * i))
+    return out
+
+
+def number_difference(a: str, b: str) -> Column:
+    """Sum of differences of the letter numbers of two lines."""
+    total = F.lit(0).cast("long")
+    for i in range(len(COUNTED)):
+        one, two = (F.shiftright(F.col(c), 7 * i).bitwiseAND(F.lit(MOST).cast("long")) for c in (a, b))
+        total = total + F.abs(one - two)
+    return total
+
+
+def keyed(distinct: DataFrame, indexed: bool) -> DataFrame:
+    """(key, id, letters) of distinct lines (id, line, n, letters): indexed segments, or the other substrings they probe.
+
+    Indexed segments also probe lines as long as their own. Lines are crossed with the list of probes, so
+    one short expression makes all keys. Of tau + 1 segments the last ones take the remainder.
+    """
+    chosen = [
+        F.struct(*[F.lit(x).alias(c) for c, x in zip(("tau", "shorter", "i", "shift"), (tau, shorter, i, shift))])
+        for tau in range(1, EDITS + 1)
+        for shorter in range(tau + 1)
+        for i, shift in probes(tau, shorter)
+        if (shorter == 0 and shift == 0) == indexed
+    ]
+    rows = distinct.select("id", "letters", "line", F.col("n").cast("int").alias("n"), F.explode(F.array(*chosen)).alias("c"))
+    rows = rows.select("id", "letters", "line", "n", "c.tau", "c.i", "c.shift", F.expr("n - c.shorter").alias("length"))
+    rows = rows.where(F.expr(f"{allowed('length')} = tau"))
+    size = "int(length div (tau + 1))"
+    rest = "(tau + 1 - length % (tau + 1))"
+    rows = rows.select(
+        "id", "letters", "line", "n", "i", "length",
+        F.expr(f"1 + i * {size} + greatest(0, i - {rest}) + shift").alias("begin"),
+        F.expr(f"{size} + if(i >= {rest}, 1, 0)").alias("size"),
+    )
+    rows = rows.where("begin >= 1 and begin + size - 1 <= n")
+    return rows.select(F.expr("xxhash64(length, i, substring(line, begin, size))").alias("key"), "id", "letters")
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of line ids that share a segment; `distinct` has id, line and n, its bytes."""
-    rows = distinct.select("id", F.explode(keys()).alias("k")).select("id", "k.key", "k.indexed")
-    index = rows.where("indexed").select("key", F.col("id").alias("a"))
-    probe = rows.select("key", F.col("id").alias("b"), "indexed")
+    """Pairs (a, b) of line ids that share a segment; `distinct` has id, line, n, its bytes, and letters.
+
+    Pairs whose letters differ too much in number are not made: in a group of near copies that share a
+    segment, that leaves few beside the true ones.
+    """
+    index = keyed(distinct, True)
+    probe = index.withColumn("indexed", F.lit(True)).unionByName(
+        keyed(distinct, False).withColumn("indexed", F.lit(False))
+    )
+    a = index.select("key", F.col("id").alias("a"), F.col("letters").alias("letters_a"))
+    b = probe.select("key", F.col("id").alias("b"), F.col("letters").alias("letters_b"), "indexed")
     # lines of equal length meet from both sides under indexed keys; one side is enough
-    met = probe.join(index, "key").where("a != b and (not indexed or a < b)")
+    close = number_difference("letters_a", "letters_b") <= 2 * EDITS
+    met = b.join(a, (b["key"] == a["key"]) & close & F.expr("a != b and (not indexed or a < b)"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -105,7 +139,8 @@ def banded(a: str, b: str, tau: int) -> str:
 
     Bit v of a vector stands for byte i - tau + v of `a` while byte i of `b` is read, so a band of
     2 * tau + 1 cells is one number. Vertical and horizontal differences are kept as bits. The score follows
-    the lower edge of the band to the last row and then that row. Exact up to `tau`, larger beyond.
+    the lower edge of the band to the last row, never falling, and then that row, at most 2 * tau steps, so
+    steps beyond 3 * tau edits are passed over. Exact up to `tau`, larger beyond.
     Equal bytes put ahead of both keep the band off the corner without changing the distance.
     """
     width, full = 2 * tau + 1, (1 << (2 * tau + 1)) - 1
@@ -121,13 +156,13 @@ def banded(a: str, b: str, tau: int) -> str:
                      'b', concat(cast(repeat('=', {tau + 1}) as binary), {b}),
                      'm', cast(length({a}) as int) + {tau + 1}, 'i', 0,
                      'vp', {full & ~((1 << tau) - 1)}, 'vn', 0, 'score', {tau}),
-        (s, step) -> transform(transform(transform(array({same}),
+        (s, step) -> if(s.score > {3 * tau}, s, transform(transform(transform(array({same}),
             eq -> named_struct('d0', ((((eq & s.vp) + s.vp) ^ s.vp) | eq | s.vn) & {full})),
             r -> named_struct('d0', r.d0, 'hp', (s.vn | ~(r.d0 | s.vp)) & {full})),
             r -> named_struct('a', s.a, 'b', s.b, 'm', s.m, 'i', s.i + 1,
                 'vp', ((s.vp & r.d0) | ~(shiftright(r.d0, 1) | r.hp)) & {full},
                 'vn', shiftright(r.d0, 1) & r.hp,
-                'score', s.score + if(s.i < s.m - {tau}, {diagonal}, {last_row})))[0],
+                'score', s.score + if(s.i < s.m - {tau}, {diagonal}, {last_row})))[0]),
         s -> s.score)"""
 
 
@@ -148,21 +183,30 @@ def with_distance(pairs: DataFrame, tau: int = EDITS) -> DataFrame:
     return rows.withColumn("distance", near).drop("short", "long", "head", "tail", "short_back", "long_back")
 
 
-def first_places(lines: DataFrame) -> DataFrame:
-    """(id, first): the earliest place of each distinct line. Only numbers are shuffled."""
-    return lines.groupBy("id").agg(F.min("place").alias("first"))
-
+def links(docs: DataFrame, firsts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, first_a, first_b) of all pairs of distinct lines within their allowed edits.
 
-def links(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(a, b, first_a, first_b) of all pairs of distinct lines within their allowed edits."""
-    known = lines.select("id", "line", "place").join(firsts, "id").where("place = first")
-    distinct = known.select("id", "line", "first", F.length("line").alias("n"))
-    pairs = candidates(distinct.where(f"n >= {BYTES_PER_EDIT}"))
-    a, b = (distinct.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "line", "first")]) for s in "ab")
+    `firsts` has (id, first) of each distinct line. Texts of lines are shuffled twice: when the first of
+    equal lines is taken, by its place so that no line is hot, and when candidates look up their lines.
+    """
+    spark = docs.sparkSession
+    lines = lines_of(docs, key, text).select("id", "place", "line").where(F.length("line") >= BYTES_PER_EDIT)
+    one = firsts.select(F.col("id").alias("own"), "first")
+    lines = lines.join(one, (lines["id"] == one["own"]) & (lines["place"] == one["first"]))
+    distinct = packed(
+        lines.select("id", "first", "line", F.length("line").alias("n"), letter_numbers("line").alias("letters")),
+        "distinct-lines",
+    )
+    pairs = durable(candidates(distinct), "line-candidates")
+    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    told = packed(distinct.join(named, "id").select("id", "first", "line"), "candidate-lines")
+    a, b = (told.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "line", "first")]) for s in "ab")
     found = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
     found = with_distance(found.withColumn("x", F.col("line_a")).withColumn("y", F.col("line_b")))
-    limit = F.expr(allowed("least(length(x), length(y))"))
-    return found.where(F.col("distance") <= limit).select("a", "b", "first_a", "first_b").distinct()
+    limit = F.expr(allowed("least(length(x), length(y))")).alias("limit")
+    # stored ahead of the condition, which would otherwise be pushed down and repeat the whole expression
+    measured = durable(found.select("a", "b", "first_a", "first_b", "distance", limit), "line-distances")
+    return measured.where("distance <= limit").select("a", "b", "first_a", "first_b").distinct()
 
 
 def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,9 +215,9 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     n_exact counts lines that occur earlier, n_near others whose linked line begins earlier, n_links the
     links of a document's lines.
     """
-    lines = lines_of(docs, key, text)
-    firsts = first_places(lines)
-    pairs = links(lines, firsts)
+    lines = durable(lines_of(docs, key, text).drop("line"), "lines")
+    firsts = durable(lines.groupBy("id").agg(F.min("place").alias("first")), "first-lines")
+    pairs = links(docs, firsts, key, text)
     ends = pairs.selectExpr("a as id", "first_a as own", "first_b as other").union(
         pairs.selectExpr("b as id", "first_b as own", "first_a as other")
     )

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.sources.durable import durable, new_path, shared_folder
+from siftwork.sources import durable as tables
+from siftwork.sources.durable import new_path, shared_folder
 
-__all__ = ["durable", "new_path", "packed", "release", "shared_folder", "ship"]
+__all__ = ["durable", "new_path", "packed", "shared_folder", "ship"]
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -33,15 +35,31 @@ def ship(spark: SparkSession) -> None:
     context._siftwork_shipped = True
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Whether Spark deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Have shuffle files of the queries inside deleted when they end; their results are stored tables."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Compute a table once, keep it in the shared folder and read it from there."""
+    with cleaned_up(df.sparkSession):
+        return tables.durable(df, name)
 
 
 def packed(df: DataFrame, name: str) -> DataFrame:
     """Like durable, in a denser format, for tables that carry texts."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with cleaned_up(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
