@@ -23,8 +23,9 @@ BYTES_PER_EDIT = 20
 WORD = r"[^\x20\x09-\x0D]"
 #: Longest common ends are found by halving steps from here; longer ends only leave more to verify.
 LONGEST_STEP = 20
-#: Letters whose numbers in a line are carried along, and the largest number that is told apart.
-COUNTED = "aeinorst"
+#: The nine most frequent letters of English, whose numbers in a line are carried along, and the largest
+#: number that is told apart.
+COUNTED = "aehinorst"
 MOST = 127
 PLACE = "decimal(38,0)"
 
@@ -199,7 +200,8 @@ def links(docs: DataFrame, firsts: DataFrame, key: str = "doc_id", text: str = "
     )
     pairs = durable(candidates(distinct), "line-candidates")
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    told = packed(distinct.join(named, "id").select("id", "first", "line"), "candidate-lines")
+    # the same plan at every size, whether or not so many ids could be broadcast
+    told = packed(distinct.join(named.hint("merge"), "id").select("id", "first", "line"), "candidate-lines")
     a, b = (told.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "line", "first")]) for s in "ab")
     found = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
     found = with_distance(found.withColumn("x", F.col("line_a")).withColumn("y", F.col("line_b")))
