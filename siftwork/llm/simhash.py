@@ -150,7 +150,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: i
 
     Of rows that share a key one stays. Rows without a key can't be named in a component and stay.
     """
-    found = classes(docs, key, text, bits)
+    return without_later(docs, classes(docs, key, text, bits), key)
+
+
+def without_later(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is the component_id of their component; `found` has both."""
     later = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("later")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col(key).alias("own")).join(later, F.col("own") == F.col("later"), "left_anti")
