@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import automata, chat, langid, lines, maxent, mix, pack, quality, simhash, syncmers
+from siftwork.llm import (
+    audit,
+    automata,
+    chat,
+    heaps,
+    langid,
+    lines,
+    maxent,
+    mix,
+    pack,
+    pieces,
+    quality,
+    simhash,
+    syncmers,
+)
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def held_out(spark_key: str, parts: int, rest: int):
@@ -115,6 +130,28 @@ def op10_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pieces.encode(table(spark, folder, "documents"), tokenizer_path(PIECES), decoded=True)
+    return rows.select(
+        F.col("key").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_heaps(spark: SparkSession, folder: str) -> DataFrame:
+    rows = heaps.cluster(table(spark, folder, "embeddings"))
+    return rows.select(
+        F.col("key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"),
+    )
+
+
+def op13_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_mix": op2_mix,
@@ -126,6 +163,9 @@ QUERIES = {
     "op8_pack": op8_pack,
     "op9_quality": op9_quality,
     "op10_syncmers": op10_syncmers,
+    "op11_pieces": op11_pieces,
+    "op12_heaps": op12_heaps,
+    "op13_audit": op13_audit,
 }
 
 OP9 = r"""
@@ -247,4 +287,79 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-SQL = {"op6_chat": OP6, "op2_mix": OP2, "op5_lines": OP5, "op9_quality": OP9}
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+judged AS (
+  SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e
+  FROM d),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+counted AS (
+  SELECT part, a, b, c, d, e, count(*)::BIGINT AS n, sum(coalesce(good, 0))::BIGINT AS good,
+         sum(coalesce(toxic, 0))::BIGINT AS toxic,
+         concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END,
+                CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS fails
+  FROM judged LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT l1.x || l2.x || l3.x || l4.x || l5.x AS filter_order FROM l l1, l l2, l l3, l l4, l l5
+  WHERE l2.x <> l1.x AND l3.x NOT IN (l1.x, l2.x) AND l4.x NOT IN (l1.x, l2.x, l3.x)
+    AND l5.x NOT IN (l1.x, l2.x, l3.x, l4.x)),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS ahead, filter_order[1:step] AS upto
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+met AS (
+  SELECT *, contains(fails, f) AS hit,
+         len(list_filter(string_split(fails, ''), lambda x: x <> '' AND contains(ahead, x))) > 0 AS gone
+  FROM counted, steps),
+found AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN hit AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails = f THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, f)
+SELECT * EXCLUDE (f), sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM found
+"""
+
+OP12 = r"""
+WITH RECURSIVE kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+seeds AS (
+  SELECT v, row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), vec_id, v) - 1 AS cluster
+  FROM kept QUALIFY cluster < 40),
+rounds AS (
+  SELECT 0 AS round, (SELECT list(v ORDER BY cluster) FROM seeds) AS c
+  UNION ALL
+  SELECT round + 1, (
+    SELECT list(coalesce(m.mean, o.v) ORDER BY o.cluster)
+    FROM (SELECT unnest(rounds.c) AS v, unnest(range(0, len(rounds.c))) AS cluster) o
+    LEFT JOIN (
+      SELECT cluster, list(q ORDER BY i) AS mean FROM (
+        SELECT cluster, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS q
+        FROM (SELECT cluster, unnest(v) AS x, unnest(range(0, 64)) AS i FROM (
+          SELECT v, list_position(ds, list_min(ds)) - 1 AS cluster FROM (
+            SELECT v, list_transform(rounds.c, lambda a: list_sum(list_transform(list_zip(a, v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS ds
+            FROM kept)))
+        GROUP BY cluster, i)
+      GROUP BY cluster) m USING (cluster))
+  FROM rounds WHERE round < 5),
+final AS (SELECT c FROM rounds WHERE round = 5),
+placed AS (
+  SELECT vec_id, (list_position(ds, list_min(ds)) - 1)::INT AS cluster, list_min(ds)::BIGINT AS distance, c
+  FROM (SELECT vec_id, c, list_transform(c, lambda a: list_sum(list_transform(list_zip(a, v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS ds
+        FROM kept, final))
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c[cluster + 1], lambda x: x::VARCHAR), ',')) AS centroid_sha256
+FROM placed
+"""
+
+SQL = {"op12_heaps": OP12, "op13_audit": OP13, "op6_chat": OP6, "op2_mix": OP2, "op5_lines": OP5, "op9_quality": OP9}
