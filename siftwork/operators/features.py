@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions.numeric import cosine, row_capped, similarity_activation, vector_literal
 from siftwork.functions.text import keyword_count
+from siftwork.operators.textindex import TextIndex
 from siftwork.operators.tfidf import IdfTable, fit_idf, keys_of, similarities, stored_counts
 from siftwork.specs import (
     CustomFeature,
@@ -48,6 +49,7 @@ def featurize(
     reference: DataFrame | None = None,
     norms: DataFrame | None = None,
     counts: DataFrame | None = None,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """The corpus with one weighted column per spec, in spec order.
 
@@ -55,7 +57,8 @@ def featurize(
     join by id; embedding features join the table of cached embeddings ``(id, embedding)`` by id.
     Select the columns you need afterwards: the text is then pruned before those joins and only ids
     and numbers are shuffled. ``idf`` is the fitted table to use; without it, one is fitted on this
-    corpus; ``counts`` and ``norms`` are its stored term counts and text norms, if any. With
+    corpus; ``counts`` and ``norms`` are its stored term counts and text norms, if any; ``index`` is its
+    stored index, which holds all of these. With
     ``normalize``, columns are divided by their sums over ``reference`` or this corpus.
     """
     check_specs(specs)
@@ -67,7 +70,9 @@ def featurize(
 
     tfidf_specs = [s for s in specs if isinstance(s, TfidfFeature)]
     referenced = {s.column: s.references for s in tfidf_specs if s.references}
-    if referenced:
+    if referenced and index is not None:
+        featured = featured.join(index.similarities(referenced), keys, "left")
+    elif referenced:
         if counts is None:
             stop_words = {"stop_words": idf.stop_words} if idf else {}
             counts = stored_counts(corpus, keys, text_col, **stop_words)

@@ -106,16 +106,21 @@ def stored_counts(
     return durable(term_counts(corpus, id_col, text_col, stop_words), "term-counts")
 
 
+def raw_weights(counts: DataFrame, idf: IdfTable, id_col: str | Sequence[str] = "doc_id") -> DataFrame:
+    """Rows (id, term, raw) of tf x idf; terms that the idf doesn't know are left out."""
+    raw = (F.col("tf") * F.col("idf")).alias("raw")
+    return counts.join(idf.terms.select("term", "idf"), "term").select(*keys_of(id_col), "term", raw)
+
+
 def vectors(
     counts: DataFrame, idf: IdfTable, id_col: str | Sequence[str] = "doc_id"
 ) -> DataFrame:
-    """Rows (id, term, x) of the L2-normalised TF-IDF vectors; unknown terms are left out."""
-    return _unit_length(counts.join(idf.terms.select("term", "idf"), "term"), keys_of(id_col))
+    """Rows (id, term, x) of the L2-normalised TF-IDF vectors of counts that are in no index."""
+    return _unit_length(raw_weights(counts, idf, id_col), keys_of(id_col))
 
 
-def _unit_length(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """tf x idf of each posting, divided by the length of its text's vector."""
-    raw = matched.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("raw"))
+def _unit_length(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The weight of each posting, divided by the length of its text's vector."""
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys)))
     return raw.select(*keys, "term", (F.col("raw") / norm).alias("x"))
 
@@ -138,37 +143,39 @@ def text_list(spark: SparkSession, texts: Sequence[str], name: str = "text") ->
     return spark.createDataFrame(table)
 
 
-def reference_vectors(
+REFERENCE_KEYS = ["_name", "ref_id"]
+
+
+def reference_counts(
     spark: SparkSession,
     references: Mapping[str, DataFrame | Sequence[str]],
-    idf: IdfTable,
+    stop_words: Sequence[str],
     text_col: str = "text",
 ) -> DataFrame:
-    """Rows (term, one column per name): mean TF-IDF vectors of the references, scaled to length 1.
-
-    References are lists of texts or tables (ref_id, text). Scaling makes the division by the number
-    of references superfluous: a cosine does not see it.
-    """
+    """Stored term counts (_name, ref_id, term, tf) of references: lists of texts or tables (ref_id, text)."""
     tables = [
         (texts if isinstance(texts, DataFrame) else text_list(spark, texts, text_col)).select(
             F.lit(name).alias("_name"), "ref_id", text_col
         )
         for name, texts in references.items()
     ]
-    keys = ["_name", "ref_id"]
-    counts = term_counts(_union(tables), keys, text_col, idf.stop_words)
+    return durable(term_counts(_union(tables), REFERENCE_KEYS, text_col, stop_words), "reference-counts")
+
+
+def reference_vectors(counts: DataFrame, idf: IdfTable, names: Sequence[str]) -> DataFrame:
+    """Rows (term, one column per name): mean TF-IDF vectors of the references, scaled to length 1.
+
+    Scaling makes the division by the number of references superfluous: a cosine does not see it.
+    """
     # References are few as a rule; without a hint Spark broadcasts them when their size allows.
-    pulled = _unit_length(counts.join(idf.terms.select("term", "idf"), "term"), keys)
+    pulled = _unit_length(raw_weights(counts, idf, REFERENCE_KEYS), REFERENCE_KEYS)
     summed = durable(
         pulled.groupBy("_name", "term").agg(F.sum("x").alias("x")), "reference-vectors"
     )
     lengths = summed.groupBy("_name").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
     scaled = summed.join(F.broadcast(lengths), "_name")  # one row per reference list
     return scaled.groupBy("term").agg(
-        *[
-            F.max(F.when(F.col("_name") == name, F.col("x") / F.col("length"))).alias(name)
-            for name in references
-        ]
+        *[F.max(F.when(F.col("_name") == name, F.col("x") / F.col("length"))).alias(name) for name in names]
     )
 
 
@@ -180,10 +187,9 @@ def text_norms(
     The one join of all postings with the idf table. Squares are summed per text before they are
     shuffled. Every similarity feature over the same corpus and idf reuses the norms.
     """
-    raw = F.col("tf") * F.col("idf")
-    matched = counts.join(idf.terms.select("term", "idf"), "term")
-    lengths = matched.groupBy(*keys_of(id_col)).agg(F.sqrt(F.sum(raw * raw)).alias("norm"))
-    return durable(lengths, "text-norms")
+    raw = F.col("raw")
+    lengths = raw_weights(counts, idf, id_col).groupBy(*keys_of(id_col))
+    return durable(lengths.agg(F.sqrt(F.sum(raw * raw)).alias("norm")), "text-norms")
 
 
 def similarities(
@@ -201,16 +207,25 @@ def similarities(
     are the ``text_norms`` of these counts and idf, if they are stored.
     """
     keys = keys_of(id_col)
-    columns = {name: f"_ref{position}" for position, name in enumerate(references)}
-    named = {columns[name]: texts for name, texts in references.items()}
-    pulled = reference_vectors(counts.sparkSession, named, idf, text_col)
+    own = reference_counts(counts.sparkSession, references, idf.stop_words, text_col)
+    if norms is None:
+        norms = text_norms(counts, idf, keys)
+    return similarities_of(counts, idf, own, list(references), keys, norms)
+
+
+def similarities_of(
+    counts: DataFrame, idf: IdfTable, references: DataFrame, names: Sequence[str], keys: Sequence[str], norms: DataFrame
+) -> DataFrame:
+    """The same of references that are counted already."""
+    columns = {name: f"_ref{position}" for position, name in enumerate(names)}
+    numbers = F.create_map(*[F.lit(x) for pair in columns.items() for x in pair])
+    own = references.withColumn("_name", numbers[F.col("_name")])
+    pulled = reference_vectors(own, idf, list(columns.values()))
     weights = pulled.join(idf.terms.select("term", "idf"), "term")
     weights = weights.select("term", *[(F.col("idf") * F.col(c)).alias(c) for c in columns.values()])
     products = [F.sum(F.col("tf") * F.col(c)).alias(c) for c in columns.values()]
     totals = counts.join(weights, "term").groupBy(*keys).agg(*products)
-    if norms is None:
-        norms = text_norms(counts, idf, keys)
     found = [
         (F.coalesce(F.col(c), F.lit(0.0)) / F.col("norm")).alias(name) for name, c in columns.items()
     ]
-    return totals.join(norms, keys).select(*keys, *found)
+    return totals.join(norms, list(keys)).select(*keys, *found)

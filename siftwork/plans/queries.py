@@ -10,13 +10,8 @@ from pyspark.sql import functions as F
 from siftwork.functions.text import highlight, keyword_count, tokenize
 from siftwork.operators import classifier, embeddings, explore, features, labels, references, stats
 from siftwork.operators.classifier import FittedModel
-from siftwork.operators.tfidf import (
-    fit_idf,
-    similarities,
-    stored_counts,
-    text_norms,
-    vectors,
-)
+from siftwork.operators.textindex import TextIndex, corpus_index
+from siftwork.operators.tfidf import fit_idf, similarities, stored_counts
 from siftwork.plans.triage import (
     compute_features,
     relabel,
@@ -197,13 +192,11 @@ def load_corpus_query(spark: SparkSession, folder: str) -> DataFrame:
 def session_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Save a session with all its parts, load it, and score its training texts with what was loaded;
     the first event of a row stands for its cached vector."""
-    corpus = texts(spark, folder)
-    counts = stored_counts(corpus)
     path = new_path(spark, "session")
     session = Session(
         specs=SESSION_SPECS,
         model=SESSION_MODEL,
-        idf=fit_idf(corpus, counts=counts),
+        idf=index_of_documents(spark, folder).idf,
         corpus_path=f"{folder}/documents.parquet",
         training=labels.training_set(changing_events(spark, folder)),
         sample=sample(spark, folder),
@@ -655,31 +648,31 @@ def tokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
 # TF-IDF and references
 
 
+def index_of_documents(spark: SparkSession, folder: str) -> TextIndex:
+    """The stored index of the documents: built by the first query that asks for it, read by the others."""
+    return corpus_index(spark, f"{folder}/documents.parquet")
+
+
+def _similarity_rows(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
+    joined = table(spark, folder, "documents").select("doc_id").join(found, "doc_id", "left")
+    return joined.select(
+        "doc_id", F.round(F.coalesce("similarity", F.lit(0.0)), DIGITS).alias("similarity")
+    )
+
+
 @query
 def tfidf_idf(spark: SparkSession, folder: str) -> DataFrame:
-    corpus = texts(spark, folder)
-    return rounded(fit_idf(corpus).terms, "idf")
+    return rounded(index_of_documents(spark, folder).terms, "idf")
 
 
 @query
 def tfidf_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    corpus = texts(spark, folder)
-    counts = stored_counts(corpus)
-    return rounded(vectors(counts, fit_idf(corpus, counts=counts)), "x")
+    return rounded(index_of_documents(spark, folder).vectors(), "x")
 
 
-def _similarity(
-    spark: SparkSession, folder: str, reference: DataFrame | Sequence[str], stored: bool = False
-) -> DataFrame:
-    corpus = texts(spark, folder)
-    counts = stored_counts(corpus)
-    idf = fit_idf(corpus, counts=counts)
-    norms = text_norms(counts, idf) if stored else None
-    found = similarities(counts, idf, {"similarity": reference}, norms=norms)
-    joined = corpus.select("doc_id").join(found, "doc_id", "left")
-    return joined.select(
-        "doc_id", F.round(F.coalesce("similarity", F.lit(0.0)), DIGITS).alias("similarity")
-    )
+def _similarity(spark: SparkSession, folder: str, reference: DataFrame | Sequence[str]) -> DataFrame:
+    found = index_of_documents(spark, folder).similarities({"similarity": reference})
+    return _similarity_rows(spark, folder, found)
 
 
 @query
@@ -689,14 +682,17 @@ def tfidf_sim_single(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def tfidf_sim_multi(spark: SparkSession, folder: str) -> DataFrame:
-    """Similarity to the mean of all benchmark passages."""
-    return _similarity(spark, folder, passages(spark, folder))
+    """Similarity to the mean of all benchmark passages, without an index: counts and idf are made here."""
+    corpus = texts(spark, folder)
+    counts = stored_counts(corpus)
+    idf = fit_idf(corpus, counts=counts)
+    return _similarity_rows(spark, folder, similarities(counts, idf, {"similarity": passages(spark, folder)}))
 
 
 @query
 def tfidf_sim_stored(spark: SparkSession, folder: str) -> DataFrame:
-    """The same, with text norms stored beforehand as for a further feature."""
-    return _similarity(spark, folder, passages(spark, folder), stored=True)
+    """The same by the stored index."""
+    return _similarity(spark, folder, passages(spark, folder))
 
 
 @query
@@ -704,7 +700,7 @@ def tfidf_feature(spark: SparkSession, folder: str) -> DataFrame:
     """TF-IDF and keyword features side by side, the TF-IDF weight applied once."""
     specs = [THE, TfidfFeature("like", weight=2.0, references=(REFERENCE_TEXT,))]
     specs.append(TfidfFeature("nothing", references=()))
-    rows = features.featurize(texts(spark, folder), specs)
+    rows = features.featurize(texts(spark, folder), specs, index=index_of_documents(spark, folder))
     return rounded(rows.select("doc_id", "_the", "_like", "_nothing"), "_like")
 
 
@@ -845,8 +841,7 @@ def score_second_corpus(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def score_second_corpus_tfidf(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations under a model of the documents, with the documents' idf."""
-    corpus = texts(spark, folder)
-    idf = fit_idf(corpus, counts=stored_counts(corpus))
+    idf = index_of_documents(spark, folder).idf
     specs = [THE, TfidfFeature("like", weight=2.0, references=(REFERENCE_TEXT,))]
     model = FittedModel(("_the", "_like"), (0.02, 1.5), -0.5)
     turns = table(spark, folder, "conversations")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftwork.operators.classifier import FittedModel, fit, score
 from siftwork.operators.features import featurize
 from siftwork.operators.labels import UNLABELLED, apply_labels, training_set
+from siftwork.operators.textindex import TextIndex
 from siftwork.operators.tfidf import IdfTable, fit_idf, keys_of, stored_counts
 from siftwork.sources.corpus import LABEL, PREDICTION
 from siftwork.sources.durable import durable
@@ -59,12 +60,13 @@ def compute_features(
     keep: Sequence[str] = (),
     norms: DataFrame | None = None,
     counts: DataFrame | None = None,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """Ids, kept columns and features, without the text, written to the shared folder."""
     wanted = [*keys_of(id_col), *keep]
     source = corpus.select(*dict.fromkeys([*wanted, text_col, *columns_read(specs)]))
     featured = featurize(
-        source, specs, id_col, text_col, idf, embeddings, norms=norms, counts=counts
+        source, specs, id_col, text_col, idf, embeddings, norms=norms, counts=counts, index=index
     )
     return durable(featured.select(*wanted, *feature_columns(specs)), "features")
 
@@ -85,17 +87,21 @@ def triage(
     text_col: str = "text",
     embeddings: DataFrame | None = None,
     keep: Sequence[str] = (),
+    index: TextIndex | None = None,
 ) -> Triage:
     """Featurise, fit on the ledger's training rows, and score the corpus.
 
-    The corpus is tokenised once for the idf table and all TF-IDF features.
+    With the stored index of the corpus its texts are not tokenised; without one they are, once for the
+    idf table and all TF-IDF features.
     """
     counts = idf = None
-    if needs_idf(specs):
+    if needs_idf(specs) and index is not None:
+        idf = index.idf
+    elif needs_idf(specs):
         counts = stored_counts(corpus, id_col, text_col)
         idf = fit_idf(corpus.select(id_col), text_col, counts=counts)
     features = compute_features(
-        corpus, specs, id_col, text_col, idf, embeddings, keep, counts=counts
+        corpus, specs, id_col, text_col, idf, embeddings, keep, counts=counts, index=index
     )
     return relabel(features, specs, labels, id_col, idf, text_col, embeddings)
 
