@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +47,47 @@ def keyword_count(text: ColumnLike, keywords: Iterable[str], weight: float = 1.0
     return F.coalesce(total * F.lit(float(weight)), F.lit(0.0))
 
 
+def keyword_counts(text: ColumnLike, keyword_sets: Sequence[Sequence[str]]) -> Column:
+    """Occurrences of each set's keywords, as an array of one number per set, in one pass over the text.
+
+    The same counts as ``keyword_count``: literal, ignoring case, matches of one keyword don't overlap, blank
+    keywords are skipped, repeated ones count again, a null text counts 0. All keywords of all sets make one
+    automaton, so the time hardly depends on how many there are.
+    """
+    shares: dict[str, dict[int, int]] = {}  # how often each set lists a keyword
+    for number, keywords in enumerate(keyword_sets):
+        for keyword in keywords:
+            if keyword.strip():
+                own = shares.setdefault(keyword.lower(), {})
+                own[number] = own.get(number, 0) + 1
+    entries = [(keyword, tuple(own.items())) for keyword, own in sorted(shares.items())]
+    size = len(keyword_sets)
+
+    @F.arrow_udf("array<double>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for at, (keyword, _) in enumerate(entries):
+            automaton.add_word(keyword, (at, len(keyword)))
+        automaton.make_automaton()
+        for batch in batches:
+            values = []
+            for text in batch.to_pylist():
+                totals = [0.0] * size
+                free: dict[int, int] = {}  # where the next match of a keyword may begin
+                for end, (at, length) in automaton.iter(text) if text and entries else ():
+                    if end - length + 1 >= free.get(at, 0):
+                        free[at] = end + 1
+                        for number, times in entries[at][1]:
+                            totals[number] += times
+                values += totals
+            bounds = pa.array(range(0, size * len(batch) + 1, size), pa.int32())
+            yield pa.ListArray.from_arrays(bounds, pa.array(values, pa.float64()))
+
+    return count(F.lower(_col(text)))
+
+
 def words(text: ColumnLike) -> Column:
     """All lower-case words of at least two word characters, in text order."""
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_PATTERN), F.lit(0))

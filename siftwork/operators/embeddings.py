@@ -64,6 +64,57 @@ def extend_cache(
     return cache.select(id_col, "embedding").unionByName(fresh)
 
 
+# A cache that knows texts: (text_hash, model, embedding), one row per text and model. A text that has changed has
+# another hash and is embedded again; copies of a text, and a text under another id, share one vector.
+
+
+def text_hash(text_col: str = "text") -> Column:
+    """What stands for a text in the cache; null for null, which has no vector."""
+    return F.sha2(F.col(text_col), 256)
+
+
+def missing_texts(
+    df: DataFrame, cache: DataFrame | None, model: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(text_hash, id) of texts without a vector of this model, each text once, by its smallest id.
+
+    Only ids and hashes are shuffled, and copies are reduced ahead of it.
+    """
+    hashed = df.select(id_col, text_hash(text_col).alias("text_hash")).where(F.col("text_hash").isNotNull())
+    firsts = hashed.groupBy("text_hash").agg(F.min(id_col).alias(id_col))
+    if cache is None:
+        return firsts
+    known = cache.where(F.col("model") == model).select("text_hash")
+    return firsts.join(known, "text_hash", "left_anti")
+
+
+def extend_text_cache(
+    df: DataFrame,
+    cache: DataFrame | None,
+    make_embedder: Callable[[], Embedder],
+    model: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    batch_size: int = EMBED_BATCH,
+) -> DataFrame:
+    """The cache with vectors of this model for all texts of the table; those it has are not embedded again."""
+    missing = missing_texts(df, cache, model, id_col, text_col)
+    hashed = df.select(id_col, text_col, text_hash(text_col).alias("text_hash"))
+    wanted = hashed.join(missing, ["text_hash", id_col], "left_semi")
+    fresh = embed_texts(wanted.dropDuplicates(["text_hash"]), make_embedder, "text_hash", text_col, batch_size)
+    fresh = fresh.select("text_hash", F.lit(model).alias("model"), "embedding")
+    return fresh if cache is None else cache.select("text_hash", "model", "embedding").unionByName(fresh)
+
+
+def cached_embeddings(
+    df: DataFrame, cache: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, embedding) of the rows whose text has a vector of this model."""
+    hashed = df.select(id_col, text_hash(text_col).alias("text_hash"))
+    own = cache.where(F.col("model") == model).select("text_hash", "embedding")
+    return hashed.join(own, "text_hash").select(id_col, "embedding")
+
+
 def embedding_similarity(
     embeddings: DataFrame, reference: Column, floor: float = 0.25, id_col: str = "doc_id"
 ) -> DataFrame:

@@ -15,18 +15,24 @@ from siftwork.functions.text import (
     label_badge,
     prediction_span,
 )
-from siftwork.operators.ordering import first_rows, take_slice
+from siftwork.operators.ordering import Order, Ranks, take_slice
 from siftwork.sources.corpus import LABEL, PREDICTION
 from siftwork.specs import Feature, KeywordFeature
 
 # Fixed values.
 DEFAULT_SAMPLE = 100
+POSITIONS = 2**60
 DEFAULT_PAGE = 10
 LARGEST_ID = 2**63 - 1
 INTERESTING_COLOR = "#FB8C00"
 UNINTERESTING_COLOR = "#2196F3"
 UNTRAINED_COLOR = "white"
 ID_SEARCH = "ID:"
+
+# The bound of a sample lets through its size plus so many times its square root.
+SLACK = 6
+# Samples up to this size are listed by the driver.
+LISTED_SAMPLE = 10_000
 TABS = ("Sample", "Labeled", "Interesting", "Selected")
 
 
@@ -71,11 +77,34 @@ def random_sample(
     seed: int = 0,
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """Exactly n rows without replacement as (pos, id); all rows by id when there are no more."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    position = F.when(total <= n, F.col(id_col)).otherwise(sample_order(id_col, seed))
-    placed = df.select(position.cast("bigint").alias("pos"), id_col)
-    return first_rows(placed, [("pos", False), (id_col, False)], n)
+    """Exactly n rows without replacement as (pos, id); all rows by id when there are no more.
+
+    The rows are those with the smallest positions. Nearly all have one above a bound that n and the number of
+    rows give, and are left out where they are read; a bound that proves too low is raised. Nothing is stored.
+    """
+    total = df.count()
+    if total <= n:
+        return df.select(F.col(id_col).cast("bigint").alias("pos"), id_col).orderBy("pos", id_col)
+    placed = df.select(sample_order(id_col, seed).alias("pos"), id_col)
+    share = max(1, n + SLACK * (n**0.5 + 1)) / total
+    while True:
+        bound = POSITIONS if share >= 1 else int(POSITIONS * share)
+        below = placed.where(F.col("pos") < bound)
+        first = below.orderBy("pos", id_col).limit(n)
+        if n <= LISTED_SAMPLE:  # n narrow rows, listed on the way
+            rows = first.collect()
+            if len(rows) == n or bound == POSITIONS:
+                return _as_list(df.sparkSession, [(r.pos, r[id_col]) for r in rows], first)
+        elif bound == POSITIONS or below.count() >= n:
+            return first
+        share *= 4
+
+
+def _as_list(spark: SparkSession, rows: Sequence[tuple], like: DataFrame) -> DataFrame:
+    """Rows of the driver as a local table, whose size Spark knows when it plans a join."""
+    kinds = [spark.createDataFrame([], like.schema).toArrow().schema.field(i).type for i in range(2)]
+    columns = [pa.array([row[i] for row in rows], kinds[i]) for i in range(2)]
+    return spark.createDataFrame(pa.table(dict(zip(like.columns, columns))))
 
 
 def append_to_sample(sample: DataFrame, row_id: int, id_col: str = "doc_id") -> DataFrame:
@@ -185,6 +214,22 @@ def co_activation(df: DataFrame, features: Sequence[str]) -> DataFrame:
 # Pages
 
 
+def page_order(
+    columns: Sequence[str], sort_by: str | None = None, descending: bool = False, id_col: str = "doc_id"
+) -> Order:
+    """The order of pages: by id or by one column, nulls last either way and ties by id.
+
+    Rows of an id list are in list order unless sorted otherwise.
+    """
+    listed = "pos" in columns
+    if sort_by is None or sort_by == id_col:
+        order = [(id_col, descending)]
+        if listed:
+            order = [("pos", False)] if sort_by is None else [*order, ("pos", False)]
+        return order
+    return [(sort_by, descending), (id_col, False)] + ([("pos", False)] if listed else [])
+
+
 def page(
     df: DataFrame,
     number: int = 1,
@@ -192,21 +237,16 @@ def page(
     sort_by: str | None = None,
     descending: bool = False,
     id_col: str = "doc_id",
+    ranks: Ranks | None = None,
 ) -> DataFrame:
     """Page ``number``, counted from 1, of the sorted rows; all rows when size is None.
 
-    Sorted by id or by one column, nulls last either way and ties by id. Rows of an id list are in
-    list order unless sorted otherwise.
+    ``ranks`` are the stored ranks of the table in this ``page_order``; with them any page reads one or two
+    files of keys.
     """
-    listed = "pos" in df.columns
-    if sort_by is None or sort_by == id_col:
-        order = [(id_col, descending)]
-        if listed:
-            order = [("pos", False)] if sort_by is None else [*order, ("pos", False)]
-    else:
-        order = [(sort_by, descending), (id_col, False)] + ([("pos", False)] if listed else [])
+    order = page_order(df.columns, sort_by, descending, id_col)
     offset = 0 if size is None else (number - 1) * size
-    return take_slice(df, order, offset, size)
+    return take_slice(df, order, offset, size, ranks=ranks)
 
 
 def with_texts(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions.numeric import cosine, row_capped, similarity_activation, vector_literal
-from siftwork.functions.text import keyword_count
+from siftwork.functions.text import keyword_count, keyword_counts
 from siftwork.operators.textindex import TextIndex
 from siftwork.operators.tfidf import IdfTable, fit_idf, keys_of, similarities, stored_counts
 from siftwork.specs import (
@@ -21,6 +21,9 @@ from siftwork.specs import (
     feature_columns,
 )
 
+#: Features with more keywords than this, taken together, are counted in one pass by an automaton.
+SINGLE_KEYWORDS = 64
+
 
 def keyword_feature(spec: KeywordFeature, text_col: str = "text") -> Column:
     """The keyword feature on its own: count x weight."""
@@ -38,6 +41,22 @@ def _row_feature(spec: Feature, text_col: str) -> Column:
     return spec.build(text_col).cast("double") * F.lit(float(spec.weight))
 
 
+def _with_row_features(
+    corpus: DataFrame, kept: Sequence[Column], specs: Sequence[Feature], text_col: str
+) -> DataFrame:
+    """The kept columns and the row features, keyword features of many keywords by one automaton."""
+    listed = [s for s in specs if isinstance(s, KeywordFeature)]
+    if sum(len(s.keywords) for s in listed) <= SINGLE_KEYWORDS:
+        return corpus.select(*kept, *[_row_feature(s, text_col).alias(s.column) for s in specs])
+    others = [_row_feature(s, text_col).alias(s.column) for s in specs if s not in listed]
+    counts = keyword_counts(text_col, [s.keywords for s in listed]).alias("_counts")
+    counted = corpus.select(*kept, *others, counts)
+    weighted = [
+        (F.get("_counts", F.lit(i)) * F.lit(float(s.weight) ** 2)).alias(s.column) for i, s in enumerate(listed)
+    ]
+    return counted.select("*", *weighted).drop("_counts")
+
+
 def featurize(
     corpus: DataFrame,
     specs: Sequence[Feature],
@@ -66,7 +85,7 @@ def featurize(
     clashing = set(feature_columns(specs)) & set(corpus.columns)
     kept = [F.col(c) for c in corpus.columns if c not in clashing]
     row_specs = [s for s in specs if isinstance(s, (KeywordFeature, CustomFeature))]
-    featured = corpus.select(*kept, *[_row_feature(s, text_col).alias(s.column) for s in row_specs])
+    featured = _with_row_features(corpus, kept, row_specs, text_col)
 
     tfidf_specs = [s for s in specs if isinstance(s, TfidfFeature)]
     referenced = {s.column: s.references for s in tfidf_specs if s.references}

@@ -1,24 +1,26 @@
-"""Exact slices of a total order without collecting the rows before them.
+"""Slices of a total order: first pages by their top rows, deeper ones by stored ranks.
 
-Nulls sort last in both directions. The order must end in a unique key. The key at a slice's beginning
-or end is found by narrowing stored keys: splitters taken from the data divide the rows, one pass counts
-the rows between splitters, and only the part that holds the wanted rank is looked at again, until it
-has a page's worth of rows. What lies before or behind a key is then a plain filter, spread over all
-tasks.
+Nulls sort last in both directions. The order must end in a unique key.
+
+The first rows are what every task's own first rows merge to; nothing is stored. For any other slice the keys
+of the order are stored once, range-partitioned and sorted. A file then holds consecutive ranks, and the row
+counts of the files, summed up, say which one or two files a page lies in, whatever its number.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.sources.durable import durable
+from siftwork.sources.durable import new_path, shared_folder
+from siftwork.sources.manifest import files_digest, files_of, remembered
 
-SPLITTERS = 64
-# Narrowing ends with so many rows or fewer, which are sorted.
-LAST_ROWS = 1_000
+#: Slices that end within so many rows are taken from the top of the order, by all tasks at once.
+FIRST_ROWS = 1_000
 
 # (column name, descending)
 Order = Sequence[tuple[str, bool]]
@@ -31,74 +33,104 @@ def sort_columns(order: Order) -> list[Column]:
     ]
 
 
-def _before(order: Order, key: str) -> str:
-    """SQL condition that a row comes strictly before the key, a struct of the order's columns."""
-    cases = []
-    tied = ""
-    for name, descending in order:
-        column, value = f"`{name}`", f"{key}.`{name}`"
-        ahead = f"coalesce({column} {'>' if descending else '<'} {value}, false)"
-        ahead = f"if({value} IS NULL, {column} IS NOT NULL, {ahead})"
-        cases.append(f"({tied}{ahead})")
-        tied += f"{column} <=> {value} AND "
-    return f"({' OR '.join(cases)})"
-
-
-def _where_key(df: DataFrame, order: Order, key: Row, before: bool) -> DataFrame:
-    """Rows strictly before the key, or all others."""
-    types = {field.name: field.dataType for field in df.schema}
-    values = F.struct(*[F.lit(key[name]).cast(types[name]).alias(name) for name, _ in order])
-    condition = _before(order, "_key") if before else f"NOT {_before(order, '_key')}"
-    return df.withColumn("_key", values).where(condition).drop("_key")
-
-
-def key_at_rank(
-    df: DataFrame, order: Order, rank: int, last_rows: int = LAST_ROWS
-) -> Row | None:
-    """The key of the row with this 0-based rank, or None past the end. Equal keys are refused."""
-    names = [name for name, _ in order]
-    pool = durable(df.select(*names), "order-keys")
-    size = pool.count()
-    if rank >= size:
-        return None
-    while size > last_rows:
-        chosen = pool.orderBy(F.xxhash64(*names), *sort_columns(order)).limit(SPLITTERS)
-        splitters = chosen.distinct().orderBy(*sort_columns(order)).collect()
-        listed = df.sparkSession.createDataFrame(splitters, pool.schema)
-        passed_keys = listed.agg(F.collect_list(F.struct(*names))).scalar()
-        part = F.expr(f"size(filter(_keys, key -> NOT {_before(order, 'key')}))").alias("part")
-        parts = pool.select(*names, passed_keys.alias("_keys")).select(part)
-        counts = dict(parts.groupBy("part").agg(F.count(F.lit(1))).collect())
-        wanted, passed = 0, 0
-        while passed + counts.get(wanted, 0) <= rank:
-            passed += counts.get(wanted, 0)
-            wanted += 1
-        if counts[wanted] == size:
-            raise ValueError(f"the order by {names} doesn't end in a unique key")
-        if wanted > 0:
-            pool = _where_key(pool, order, splitters[wanted - 1], before=False)
-        if wanted < len(splitters):
-            pool = _where_key(pool, order, splitters[wanted], before=True)
-        rank, size = rank - passed, counts[wanted]
-    return pool.orderBy(*sort_columns(order)).offset(rank).limit(1).first()
-
-
-def first_rows(df: DataFrame, order: Order, count: int, last_rows: int = LAST_ROWS) -> DataFrame:
-    """The first rows of the order, any number of them: all rows before the key that follows."""
-    end = key_at_rank(df, order, count, last_rows)
-    kept = df if end is None else _where_key(df, order, end, before=True)
-    return kept.orderBy(*sort_columns(order))
+def _number(file: str) -> tuple[int, str]:
+    """Spark's part files by the partition they were written by."""
+    return int(file.split("-")[1]), file
+
+
+@dataclass(frozen=True)
+class Ranks:
+    """The stored keys of an order: files in the order of their rows, and how many rows each holds."""
+
+    spark: SparkSession
+    path: str
+    order: tuple[tuple[str, bool], ...]
+    files: tuple[tuple[str, int], ...]
+
+    @property
+    def names(self) -> list[str]:
+        return [name for name, _ in self.order]
+
+    def slice(self, offset: int, count: int | None) -> DataFrame:
+        """Keys with their 0-based rank, `count` of them or all that follow; only their files are read."""
+        end = sum(rows for _, rows in self.files) if count is None else offset + count
+        begins, passed = {}, 0
+        for file, rows in self.files:
+            if passed < end and passed + rows > offset:
+                begins[file] = passed
+            passed += rows
+        if not begins:
+            return self.spark.read.parquet(self.path).select(F.lit(0).cast("bigint").alias("rank"), *self.names).limit(0)
+        found = self.spark.read.parquet(*[f"{self.path}/{file}" for file in begins])
+        begin = F.create_map(*[F.lit(x) for pair in begins.items() for x in pair])[F.col("_metadata.file_name")]
+        ranked = found.select((begin + F.col("_metadata.row_index")).cast("bigint").alias("rank"), *self.names)
+        return ranked.where((F.col("rank") >= offset) & (F.col("rank") < end))
+
+    def rows(self, df: DataFrame, offset: int, count: int | None) -> DataFrame:
+        """The rows of a slice in their order."""
+        self._check(offset, count)
+        keys = self.slice(offset, count).toDF("_rank", *[f"_key{i}" for i in range(len(self.order))])
+        same = [F.col(name).eqNullSafe(F.col(f"_key{i}")) for i, name in enumerate(self.names)]
+        matched = same[0]
+        for condition in same[1:]:
+            matched &= condition
+        return df.join(keys, matched).orderBy("_rank").select(*df.columns)
+
+    def _check(self, offset: int, count: int | None) -> None:
+        """Refuse a slice at whose begin or end two rows have the same key."""
+        edges = [offset] if count is None else [offset, offset + count]
+        around = self.slice(max(0, offset - 1), None if count is None else count + 2)
+        wanted = sorted({rank for edge in edges for rank in (edge - 1, edge)})
+        keys = {rank: tuple(key) for rank, *key in around.where(F.col("rank").isin(wanted)).collect()}
+        if any(edge - 1 in keys and keys[edge - 1] == keys.get(edge) for edge in edges):
+            raise ValueError(f"the order by {self.names} doesn't end in a unique key")
+
+
+def _written(df: DataFrame, order: Order, path: str) -> list[tuple[str, int]]:
+    columns = sort_columns(order)
+    keys = df.select(*[name for name, _ in order])
+    keys.repartitionByRange(*columns).sortWithinPartitions(*columns).write.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    counts = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    found: list[Row] = counts.collect()  # one row per file
+    return sorted(((r.file, r.rows) for r in found), key=lambda entry: _number(entry[0]))
+
+
+def store_ranks(df: DataFrame, order: Order, path: str | None = None) -> Ranks:
+    """Store the keys of an order once, for any number of slices."""
+    spark = df.sparkSession
+    path = path or new_path(spark, "ranks")
+    return Ranks(spark, path, tuple(order), tuple(_written(df, order, path)))
+
+
+def corpus_ranks(spark: SparkSession, corpus_path: str, order: Order, folder: str | None = None) -> Ranks:
+    """The ranks of a stored Parquet table, kept in the shared folder while its files stay the same."""
+    key = files_digest([*files_of(spark, corpus_path), *[(name, int(descending), "") for name, descending in order]])
+    place = f"{folder or shared_folder(spark)}/ranks-{key[:24]}"
+
+    def make() -> str:
+        path = f"{place}/{new_path(spark, 'keys').rsplit('/', 1)[1]}"
+        return json.dumps([path, _written(spark.read.parquet(corpus_path), order, path)])
+
+    path, files = json.loads(remembered(spark, place, make))
+    return Ranks(spark, path, tuple(order), tuple((file, rows) for file, rows in files))
 
 
 def take_slice(
-    df: DataFrame, order: Order, offset: int, count: int | None, last_rows: int = LAST_ROWS
+    df: DataFrame,
+    order: Order,
+    offset: int,
+    count: int | None,
+    first_rows: int = FIRST_ROWS,
+    ranks: Ranks | None = None,
 ) -> DataFrame:
-    """Rows offset .. offset + count of the order, a page; all that follow when count is None."""
-    kept = df
-    if offset:
-        first = key_at_rank(df, order, offset, last_rows)
-        if first is None:
-            return df.limit(0)
-        kept = _where_key(kept, order, first, before=False)
-    ordered = kept.orderBy(*sort_columns(order))
-    return ordered if count is None else ordered.limit(count)
+    """Rows offset .. offset + count of the order, a page; all that follow when count is None.
+
+    `ranks` are the stored ranks of this table and order, if there are any.
+    """
+    ordered = df.orderBy(*sort_columns(order))
+    if count is None and not offset:
+        return ordered
+    if ranks is None and count is not None and offset + count <= first_rows:
+        return ordered.offset(offset).limit(count)
+    return (ranks or store_ranks(df, order)).rows(df, offset, count)

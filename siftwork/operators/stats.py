@@ -79,9 +79,13 @@ def histogram(df: DataFrame, value_col: str = PREDICTION) -> DataFrame:
     """Rows per score bin: 50 right-closed bins over (0, 1], empty ones included.
 
     Each bin enters once with a count of 0, and rows outside the range count 0 as well; so there is
-    one aggregation, and neither a join nor a filter that would compute the score again.
+    one aggregation, and neither a join nor a filter that would compute the score again. A table without
+    scores has empty bins.
     """
-    number = bin_number(F.col(value_col))
+    scored = value_col in df.columns
+    number = bin_number(F.col(value_col) if scored else F.lit(None).cast("double"))
+    if not scored:
+        df = df.limit(0)
     placed = df.select(
         F.coalesce(number, F.lit(0)).cast("bigint").alias("_bin"),
         number.isNotNull().cast("bigint").alias("n"),

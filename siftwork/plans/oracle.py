@@ -227,6 +227,15 @@ WHERE _pred BETWEEN 0.2 AND 0.95"""
 SQL["keyword_count"] = f"""SELECT doc_id, {count_of(["the"])} AS one,
     {count_of(["ion", "tion", "ion"])} * 2 AS repeated, {count_of([" of "])} AS blank,
     {count_of(["ción", "é", "ñ"])} AS accented FROM documents"""
+SQL["keyword_many"] = f"""WITH known AS (
+    SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS word FROM benchmark),
+counted AS (
+    SELECT doc_id, word, (length(lower(text)) - length(replace(lower(text), word, ''))) / length(word)::DOUBLE AS n
+    FROM documents, known),
+sums AS (
+    SELECT doc_id, coalesce(sum(n) FILTER (word < 'm'), 0) AS _early, coalesce(sum(n) FILTER (word >= 'm'), 0) AS _late
+    FROM counted GROUP BY doc_id)
+SELECT doc_id, _early, {count_of(THE.keywords)} AS _the, _late FROM sums JOIN documents USING (doc_id)"""
 SQL["featurize_wide"] = (
     f"WITH {FEATURED} SELECT doc_id, lang, -1 AS _label, {', '.join(COLUMNS)} FROM featured"
 )
@@ -334,6 +343,8 @@ SQL["hist_local"] = (
     f"WITH {SCORED}, {SAMPLE}, local AS (SELECT * FROM scored JOIN sample USING (doc_id))"
     f" {histogram('local')}"
 )
+SQL["hist_unscored"] = """SELECT 0::BIGINT AS count, round(k * 0.02::DOUBLE, 2) AS bin,
+    round(k * 0.02::DOUBLE + 0.02::DOUBLE, 2) AS bin_end FROM (SELECT unnest(range(50)) AS k)"""
 SQL["pred_by_category"] = (
     f"WITH {SCORED} SELECT lang, count(*) AS n FROM scored WHERE _pred >= 0.5 GROUP BY lang"
 )
@@ -435,6 +446,10 @@ SQL["embed_incremental"] = f"""SELECT vec_id AS doc_id, unnest(range(len(embeddi
     round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings
 UNION ALL SELECT doc_id, unnest(range(5)), unnest([{each("aeiou", LETTERS)}]) FROM documents
 WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"""
+SQL["embed_changed"] = f"""WITH kept AS (
+    SELECT DISTINCT d.text FROM documents d JOIN labels USING (doc_id) WHERE toxic = 0)
+SELECT doc_id, {each("aeiou", LETTERS + " + CASE WHEN text IN (SELECT text FROM kept) THEN 1 ELSE 0 END AS n_{0}")}
+FROM documents"""
 SQL["mean_pool"] = """SELECT label, dim, round(avg(value), 6) AS value
 FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS value
       FROM embeddings) GROUP BY label, dim"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftwork.functions.text import highlight, keyword_count, tokenize
 from siftwork.operators import classifier, embeddings, explore, features, labels, references, stats
 from siftwork.operators.classifier import FittedModel
+from siftwork.operators.ordering import corpus_ranks
 from siftwork.operators.textindex import TextIndex, corpus_index
 from siftwork.operators.tfidf import fit_idf, similarities, stored_counts
 from siftwork.plans.triage import (
@@ -21,7 +22,7 @@ from siftwork.plans.triage import (
     triage,
 )
 from siftwork.sources.corpus import LABEL, PREDICTION, load_corpus
-from siftwork.sources.durable import new_path
+from siftwork.sources.durable import durable, new_path
 from siftwork.sources.session import Session, load_session, save_session
 from siftwork.specs import (
     CustomFeature,
@@ -214,9 +215,10 @@ def session_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def export_points(spark: SparkSession, folder: str) -> DataFrame:
-    predicted = classifier.score(sampled_features(spark, folder).drop("pos"), FIXED_MODEL)
+    rows = sampled_features(spark, folder)
+    predicted = classifier.score(rows.drop("pos"), FIXED_MODEL)
     labelled = labels.apply_labels(predicted, quality_events(spark, folder))
-    points = explore.export_points(labelled, sample(spark, folder), COLUMNS, 0.2, 0.95)
+    points = explore.export_points(labelled, rows.select("pos", "doc_id"), COLUMNS, 0.2, 0.95)
     weights = [
         F.round(F.col("weights")[c.removeprefix("_")], DIGITS).alias(f"w{c}") for c in COLUMNS
     ]
@@ -237,6 +239,16 @@ def keyword_count_query(spark: SparkSession, folder: str) -> DataFrame:
     return texts(spark, folder).select("doc_id", *counted)
 
 
+@query
+def keyword_many(spark: SparkSession, folder: str) -> DataFrame:
+    """Two features of several hundred keywords, all words of the passages, counted in one pass."""
+    found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))))
+    known = [r.word for r in table(spark, folder, "benchmark").select(found.alias("word")).distinct().collect()]
+    early = KeywordFeature("early", keywords=tuple(sorted(w for w in known if w < "m")))
+    late = KeywordFeature("late", keywords=tuple(sorted(w for w in known if w >= "m")))
+    return features.featurize(texts(spark, folder), [early, THE, late]).drop("text", LABEL)
+
+
 @query
 def featurize_wide(spark: SparkSession, folder: str) -> DataFrame:
     return featured(spark, folder).select("doc_id", "lang", LABEL, *COLUMNS)
@@ -525,6 +537,12 @@ def hist_local(spark: SparkSession, folder: str) -> DataFrame:
     return stats.histogram(classifier.score(sampled_features(spark, folder), FIXED_MODEL))
 
 
+@query
+def hist_unscored(spark: SparkSession, folder: str) -> DataFrame:
+    """Without scores all bins are empty."""
+    return stats.histogram(stored_features(spark, folder))
+
+
 @query
 def pred_by_category(spark: SparkSession, folder: str) -> DataFrame:
     return stats.predicted_by_category(scored(spark, folder), "lang")
@@ -575,11 +593,11 @@ def page_sorted_col(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def page_deep(spark: SparkSession, folder: str) -> DataFrame:
-    """A page down an order with many ties."""
-    rows = explore.page(
-        table(spark, folder, "documents"), 9, 20, sort_by="source"
-    )
-    return rows.select("doc_id", "source")
+    """A page down an order with many ties, by stored ranks: one or two files of keys are read."""
+    rows = table(spark, folder, "documents").select("doc_id", "source")
+    order = explore.page_order(rows.columns, "source")
+    ranks = corpus_ranks(spark, f"{folder}/documents.parquet", order)
+    return explore.page(rows, 9, 20, sort_by="source", ranks=ranks)
 
 
 @query
@@ -752,15 +770,15 @@ def embed_missing(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.missing_from_cache(rows, _cache(spark, folder))
 
 
-def letter_embedder() -> Callable:
-    """A loader of a stand-in for a user's model: it counts five letters.
+def letter_embedder(more: float = 0.0) -> Callable:
+    """A loader of a stand-in for a user's model: it counts five letters, and adds a number to each count.
 
     The loader is a local function, which travels to the workers by value.
     """
 
     def load() -> Callable:
         def embed(batch):
-            return [[float(text.count(letter)) for letter in "aeiou"] for text in batch]
+            return [[text.count(letter) + more for letter in "aeiou"] for text in batch]
 
         return embed
 
@@ -786,6 +804,26 @@ def embed_incremental(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def embed_changed(spark: SparkSession, folder: str) -> DataFrame:
+    """A cache of an earlier state of the documents, extended to what they are now.
+
+    Toxic rows had another text then and are embedded again; the other labelled rows keep the vector that the
+    cache has, here one letter more than a fresh one.
+    """
+    corpus = texts(spark, folder)
+    marks = table(spark, folder, "labels").select("doc_id", "toxic")
+    before = corpus.join(marks, "doc_id").select(
+        "doc_id", F.when(F.col("toxic") == 1, F.concat("text", F.lit(" once"))).otherwise(F.col("text")).alias("text")
+    )
+    early = embeddings.extend_text_cache(before, None, letter_embedder(1.0), "letters")
+    other = embeddings.extend_text_cache(corpus, early, letter_embedder(7.0), "another model")
+    cache = embeddings.extend_text_cache(corpus, durable(other, "cache"), letter_embedder(), "letters")
+    found = embeddings.cached_embeddings(corpus, cache, "letters")
+    letters = [F.get("embedding", i).cast("double").alias(f"n_{c}") for i, c in enumerate("aeiou")]
+    return found.select("doc_id", *letters)
+
+
 @query
 def mean_pool(spark: SparkSession, folder: str) -> DataFrame:
     pooled = embeddings.mean_pool(table(spark, folder, "embeddings"), "label")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from hashlib import sha256
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +31,19 @@ def rows_digest(df: DataFrame, columns: Sequence[str]) -> str:
     """
     hashes = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")) for seed in (1, 2)]
     return ":".join(str(value or 0) for value in df.agg(F.count(F.lit(1)), *hashes).first())
+
+
+def remembered(spark: SparkSession, place: str, make: Callable[[], str]) -> str:
+    """What was made under a place, made now if nothing is listed there yet.
+
+    It is listed once it is complete; of two that make it at once both are right, and the first listed is used.
+    """
+    schema = "made string"
+    try:
+        found = spark.read.schema(schema).json(f"{place}/made").agg(F.min("made")).first()[0]
+    except AnalysisException:  # nothing has been listed yet
+        found = None
+    if found is None:
+        found = make()
+        spark.createDataFrame([(found,)], schema).coalesce(1).write.mode("append").json(f"{place}/made")
+    return found

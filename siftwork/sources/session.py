@@ -13,7 +13,7 @@ from datetime import datetime, timezone
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 import siftwork
@@ -21,6 +21,7 @@ from siftwork.functions.stopwords import ENGLISH
 from siftwork.operators.classifier import FittedModel
 from siftwork.operators.explore import DEFAULT_SAMPLE
 from siftwork.operators.tfidf import IdfTable
+from siftwork.sources.manifest import files_digest, files_of, rows_digest
 from siftwork.specs import Feature, spec_from_json, spec_to_json
 
 # Fixed values.
@@ -29,7 +30,7 @@ OLDEST_MINOR_OF_MAJOR_0 = 7
 SAVES_SCHEMA = (
     "save string, saved_at string, version string, text_col string, id_cols array<string>, "
     "sample_size int, intercept double, n_docs bigint, stop_words array<string>, "
-    "tables array<string>, corpus_path string, corpus_rows bigint, corpus_ids bigint"
+    "tables array<string>, corpus_path string, corpus_files string, corpus_rows string"
 )
 
 
@@ -38,8 +39,9 @@ class Session:
     """What a session consists of; tables that do not exist are None.
 
     A corpus that is stored already is named by ``corpus_path``, a Parquet table, and not copied: the
-    session keeps its place, its number of rows and a digest of its ids, and loading refuses another
-    table there. A corpus given as ``corpus`` alone is copied.
+    session keeps its place, a list of its files with sizes and times, and a digest of its ids and texts.
+    Loading reads neither where the files are the same; where they are not, the ids and texts have to be.
+    A corpus given as ``corpus`` alone is copied.
     """
 
     specs: tuple[Feature, ...]
@@ -66,12 +68,6 @@ def check_version(saved: str, current: str = siftwork.__version__) -> None:
         raise ValueError(f"session of version {saved} does not load in version {current}")
 
 
-def fingerprint(corpus: DataFrame, id_cols: Sequence[str]) -> tuple[int, int]:
-    """Number of rows and a digest of their ids, whatever their order; reads the ids only."""
-    row = corpus.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*id_cols)).alias("ids")).first()
-    return row.n, row.ids or 0
-
-
 def save_session(spark: SparkSession, session: Session, path: str) -> str:
     """Write the session under the path and return the name of this save."""
     save = uuid4().hex
@@ -95,9 +91,11 @@ def save_session(spark: SparkSession, session: Session, path: str) -> str:
     written = {name: table for name, table in tables.items() if table is not None}
     for name, table in written.items():
         table.write.parquet(f"{path}/{save}/{name}")
-    rows = ids = None
+    files = rows = None
     if session.corpus_path:
-        rows, ids = fingerprint(spark.read.parquet(session.corpus_path), session.id_cols)
+        files = files_digest(files_of(spark, session.corpus_path))
+        stored = spark.read.parquet(session.corpus_path)
+        rows = rows_digest(stored, [*session.id_cols, session.text_col])
     entry = (
         save,
         datetime.now(timezone.utc).isoformat(),
@@ -110,8 +108,8 @@ def save_session(spark: SparkSession, session: Session, path: str) -> str:
         list(idf.stop_words if idf else ENGLISH),
         list(written),
         session.corpus_path,
+        files,
         rows,
-        ids,
     )
     listed = spark.createDataFrame([entry], SAVES_SCHEMA).coalesce(1)
     listed.write.mode("append").json(f"{path}/saves")
@@ -143,7 +141,7 @@ def load_session(spark: SparkSession, path: str, save: str | None = None) -> Ses
     corpus = read("corpus")
     if meta.corpus_path:
         corpus = spark.read.parquet(meta.corpus_path)
-        if fingerprint(corpus, meta.id_cols) != (meta.corpus_rows, meta.corpus_ids):
+        if not _same_corpus(spark, meta, corpus):
             raise ValueError(f"{meta.corpus_path} is not the corpus that was saved")
     idf = None
     if "idf" in meta.tables:
@@ -165,6 +163,14 @@ def load_session(spark: SparkSession, path: str, save: str | None = None) -> Ses
     )
 
 
+def _same_corpus(spark: SparkSession, meta: Row, corpus: DataFrame) -> bool:
+    """Whether the files are those that were saved, or else their ids and texts."""
+    if files_digest(files_of(spark, meta.corpus_path)) == meta.corpus_files:
+        return True
+    columns = [*meta.id_cols, meta.text_col]
+    return set(columns) <= set(corpus.columns) and rows_digest(corpus, columns) == meta.corpus_rows
+
+
 def _numbered(
     spark: SparkSession, columns: Mapping[str, tuple[Sequence, pa.DataType]]
 ) -> DataFrame:

@@ -98,6 +98,17 @@ def test_large_sample_is_exact(spark):
     assert sample == sorted(place, key=lambda i: (place[i], i))[:1700]
 
 
+@pytest.mark.parametrize("n", [1, 40, 1700])
+@pytest.mark.parametrize(("slack", "listed"), [(6, 10_000), (6, 10), (-0.9, 10_000), (-0.9, 10)])
+def test_a_bound_that_is_too_low_is_raised(spark, monkeypatch, n, slack, listed):
+    monkeypatch.setattr(explore, "SLACK", slack)
+    monkeypatch.setattr(explore, "LISTED_SAMPLE", listed)
+    df = spark.range(3000).withColumnRenamed("id", "doc_id")
+    place = {r.doc_id: r.p for r in df.select("doc_id", explore.sample_order(seed=3).alias("p")).collect()}
+    sample = [r.doc_id for r in explore.random_sample(df, n, seed=3).collect()]
+    assert sample == sorted(place, key=lambda i: (place[i], i))[:n]
+
+
 def test_append_to_sample(spark, yard):
     sample = explore.id_list(spark, [4, 2])
     longer = explore.append_to_sample(explore.append_to_sample(sample, 9), 9)
@@ -114,8 +125,8 @@ def brute_order(rows, order):
 
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("hot", [False, True])
-def test_deep_slices(spark, descending, hot):
-    """Slices found by narrowing equal the sorted list, also when one value fills most rows."""
+def test_slices(spark, descending, hot):
+    """Slices by stored ranks and from the top equal the sorted list, also when one value fills most rows."""
     chance = random.Random(5)
     rows = [
         (i, "same" if hot and chance.random() < 0.7 else chance.choice([None, "a", "b", "zz"]))
@@ -124,20 +135,47 @@ def test_deep_slices(spark, descending, hot):
     df = spark.createDataFrame(rows, "doc_id bigint, name string").repartition(4)
     order = [("name", descending), ("doc_id", False)]
     want = [r.doc_id for r in brute_order(sorted(df.collect()), order)]
-    for offset, count in [(0, 30), (95, 10), (300, 250), (595, 10), (700, 5)]:
-        got = ordering.take_slice(df, order, offset, count, last_rows=7).collect()
-        assert [r.doc_id for r in got] == want[offset : offset + count]
-    tail = ordering.take_slice(df, order, 590, None, last_rows=7).collect()
-    assert [r.doc_id for r in tail] == want[590:]
-    for count in (0, 1, 333, 600, 900):
-        got = ordering.first_rows(df, order, count, last_rows=7).collect()
-        assert [r.doc_id for r in got] == want[:count]
+    ranks = ordering.store_ranks(df, order)
+    for offset, count in [(0, 30), (95, 10), (300, 250), (595, 10), (700, 5), (590, None)]:
+        end = None if count is None else offset + count
+        got = ordering.take_slice(df, order, offset, count, ranks=ranks).collect()
+        assert [r.doc_id for r in got] == want[offset:end]
+        if count is not None:
+            got = ordering.take_slice(df, order, offset, count).collect()
+            assert [r.doc_id for r in got] == want[offset:end]
+    got = ordering.take_slice(df, order, 95, 10, first_rows=7).collect()
+    assert [r.doc_id for r in got] == want[95:105]
+
+
+def test_a_deep_page_reads_one_or_two_files(spark):
+    df = spark.range(0, 4000, 1, 5).selectExpr("id AS doc_id", "id % 17 AS name")
+    with_aqe = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranks = ordering.store_ranks(df, [("name", True), ("doc_id", False)])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_aqe)
+    assert len(ranks.files) > 4 and sum(rows for _, rows in ranks.files) == 4000
+    for offset in (0, 1234, 3990):
+        assert len(ranks.slice(offset, 10).inputFiles()) <= 2
+        assert [r.rank for r in ranks.slice(offset, 10).orderBy("rank").collect()] == list(range(offset, offset + 10))
+
+
+def test_ranks_of_a_stored_table_are_kept(spark, tmp_path, monkeypatch):
+    place, folder = str(tmp_path / "table"), str(tmp_path / "shared")
+    spark.range(50).withColumnRenamed("id", "doc_id").write.parquet(place)
+    order = [("doc_id", True)]
+    first = ordering.corpus_ranks(spark, place, order, folder)
+    assert ordering.corpus_ranks(spark, place, order, folder) == first
+    spark.range(50, 60).withColumnRenamed("id", "doc_id").write.mode("append").parquet(place)
+    more = ordering.corpus_ranks(spark, place, order, folder)
+    assert [r.doc_id for r in more.slice(0, 2).orderBy("rank").collect()] == [59, 58]
 
 
 def test_an_order_without_a_unique_key_is_refused(spark):
     df = spark.range(50).selectExpr("1 as doc_id")
     with pytest.raises(ValueError, match="unique"):
-        ordering.take_slice(df, [("doc_id", False)], 20, 5, last_rows=7)
+        ordering.take_slice(df, [("doc_id", False)], 20, 5, first_rows=7)
 
 
 def test_pages(yard):
@@ -227,6 +265,11 @@ def test_histogram(spark, predicted):
     assert stats.histogram(local).agg(F.sum("count")).first()[0] == 3
 
 
+def test_histogram_without_scores(yard):
+    bins = stats.histogram(yard).collect()
+    assert len(bins) == 50 and sum(b["count"] for b in bins) == 0
+
+
 def test_bins_at_every_edge(spark):
     """Right-closed bins at each edge and at its neighbours among the doubles."""
     import bisect

@@ -189,3 +189,18 @@ def test_null_and_empty_texts_have_no_features(spark):
     assert [tuple(r)[2:4] for r in got[:2]] == [(0.0, 0.0)] * 2
     assert got[0]._near == 0.0
     assert got[2][2:] == (1.0, pytest.approx(1.0), pytest.approx(1.0))
+
+
+def test_many_keywords_in_one_pass_equal_single_counts(spark, yard, monkeypatch):
+    odd = spark.createDataFrame([(50, None), (51, ""), (52, "aaaaa ÉÉ aa\naaa"), (53, "Straße STRASSE")], "doc_id int, text string")
+    rows = yard.unionByName(odd)
+    specs = [
+        KeywordFeature("a", weight=2.0, keywords=("aa", "a", "AA", "", "  ", "é")),
+        CustomFeature("size", builder=text_length),
+        KeywordFeature("b", weight=0.5, keywords=("it's", "kettle", "aaa", "ss", "lantern and", "n")),
+        KeywordFeature("none"),
+    ]
+    want = sorted(features.featurize(rows, specs).collect(), key=lambda r: r.doc_id)
+    monkeypatch.setattr(features, "SINGLE_KEYWORDS", 0)
+    got = sorted(features.featurize(rows, specs).collect(), key=lambda r: r.doc_id)
+    assert got == want

@@ -6,7 +6,13 @@ from siftwork.operators.classifier import FittedModel
 from siftwork.plans import triage as plan
 from siftwork.sources import corpus, durable, session
 from siftwork.specs import KeywordFeature, TfidfFeature
-from siftwork.streaming.ledger import compact_ledger, read_ledger, write_label_stream
+from siftwork.streaming.ledger import (
+    append_batch,
+    compact_ledger,
+    read_ledger,
+    remove_folded,
+    write_label_stream,
+)
 from siftwork.streaming.scoring import score_stream
 from tests.conftest import YARD, values
 
@@ -81,6 +87,35 @@ def test_a_stored_corpus_is_named_not_copied(spark, yard, tmp_path):
         session.load_session(spark, path)
 
 
+@pytest.mark.parametrize(("change", "ok"), [
+    (lambda df: df.repartition(2), True),  # other files, the same rows
+    (lambda df: df.withColumn("text", F.concat("text", F.lit("!"))), False),
+    (lambda df: df.unionByName(df.limit(1)).unionByName(df.limit(1)), False),  # cancels in an exclusive or
+    (lambda df: df.where("doc_id > 0"), False),
+    (lambda df: df.withColumn("text", F.reverse("text")), False),  # the same lengths
+    (lambda df: df.drop("text"), False),
+])
+def test_a_changed_corpus_is_refused(spark, yard, tmp_path, change, ok):
+    place, path = str(tmp_path / "yard"), str(tmp_path / "session")
+    yard.write.parquet(place)
+    session.save_session(spark, session.Session(specs=SPECS, corpus_path=place), path)
+    changed = durable.durable(change(yard), "changed")
+    changed.write.mode("overwrite").parquet(place)
+    if ok:
+        assert session.load_session(spark, path).corpus.count() == len(YARD)
+    else:
+        with pytest.raises(ValueError, match="not the corpus"):
+            session.load_session(spark, path)
+
+
+def test_an_unchanged_corpus_is_not_read_again(spark, yard, tmp_path, monkeypatch):
+    place, path = str(tmp_path / "yard"), str(tmp_path / "session")
+    yard.write.parquet(place)
+    session.save_session(spark, session.Session(specs=SPECS, corpus_path=place), path)
+    monkeypatch.setattr(session, "rows_digest", None)
+    assert session.load_session(spark, path).corpus_path == place
+
+
 @pytest.mark.parametrize(
     "version,ok", [("0.8.0", True), ("0.7.2", True), ("0.6.9", False), ("1.0.0", False)]
 )
@@ -170,6 +205,55 @@ def test_label_stream(spark, tmp_path):
     assert arrive([(7, 9, "z", 1)]) == {(1, "a"): 1, (9, "z"): 1}
     assert compact_ledger(spark, ledger) != first
     assert arrive([(8, 9, "z", -1)]) == {(1, "a"): 1}
-    spark.createDataFrame([(99, 1, "a", 0)], schema).write.parquet(f"{ledger}/run=compacted-x/batch=0")
+    spark.createDataFrame([(99, 1, "a", 0)], schema).write.parquet(f"{ledger}/events/compacted-x")
     kept = labels.training_set(read_ledger(spark, ledger)).collect()
     assert [(r.doc_id, r.label) for r in kept] == [(1, 1)]  # a version that isn't listed is not read
+
+
+def test_a_reader_during_a_retry_sees_the_old_or_the_new_batch(spark, tmp_path):
+    schema, ledger = "seq bigint, doc_id bigint, text string, label int", str(tmp_path / "ledger")
+
+    def batch(label):
+        return spark.createDataFrame([(i, i, "t", label) for i in range(50)], schema).repartition(3)
+
+    def seen(df):
+        return sorted({(r.label, r.n) for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()})
+
+    with pytest.raises(ValueError, match="nothing"):
+        read_ledger(spark, ledger)
+    first = append_batch(batch(0), ledger, "r", 0)
+    reader = read_ledger(spark, ledger)
+    batch(1).limit(7).write.parquet(f"{ledger}/events/r-0-half")  # a retry that has not come to its end
+    assert seen(read_ledger(spark, ledger)) == [(0, 50)]
+    append_batch(batch(1), ledger, "r", 0)
+    assert seen(read_ledger(spark, ledger)) == [(1, 50)]
+    assert seen(reader) == [(0, 50)]  # who was reading goes on
+    append_batch(batch(-1), ledger, "r", 1)
+    assert seen(read_ledger(spark, ledger)) == [(-1, 50), (1, 50)]
+    assert remove_folded(spark, ledger) == [first]
+    version = compact_ledger(spark, ledger)
+    append_batch(batch(1), ledger, "r", 1)  # a retry of what is folded in already
+    append_batch(batch(0).limit(1), ledger, "r", 2)
+    before = sorted(read_ledger(spark, ledger).collect())
+    assert len(remove_folded(spark, ledger)) == 3 and sorted(read_ledger(spark, ledger).collect()) == before
+    assert compact_ledger(spark, ledger) != version and version in remove_folded(spark, ledger)
+    assert labels.training_set(read_ledger(spark, ledger)).collect() == labels.training_set(
+        spark.createDataFrame(before, schema)
+    ).collect()
+
+
+def test_a_text_cache_knows_changed_texts_and_models(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "bb"), (4, None), (5, "")], "doc_id int, text string")
+    log = str(tmp_path / "first")
+    cache = durable.durable(embeddings.extend_text_cache(rows, None, loader(log), "m"), "cache")
+    with open(log) as sizes:
+        assert sum(int(s) for s in sizes) == 3  # copies are embedded once
+    changed = spark.createDataFrame([(1, "aa"), (2, "bb"), (9, "a")], "doc_id int, text string")
+    log = str(tmp_path / "second")
+    more = durable.durable(embeddings.extend_text_cache(changed, cache, loader(log), "m"), "cache")
+    with open(log) as sizes:
+        assert sum(int(s) for s in sizes) == 1
+    found = embeddings.cached_embeddings(changed, more, "m")
+    assert values(found, "embedding") == [[2.0, 2.0], [2.0, 0.0], [1.0, 1.0]]
+    assert embeddings.cached_embeddings(rows, more, "m").count() == 4
+    assert embeddings.missing_texts(changed, more, "other").count() == 3
