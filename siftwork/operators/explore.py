@@ -16,6 +16,7 @@ from siftwork.functions.text import (
     prediction_span,
 )
 from siftwork.operators.ordering import Order, Ranks, take_slice
+from siftwork.operators.searchindex import SearchIndex
 from siftwork.sources.corpus import LABEL, PREDICTION
 from siftwork.specs import Feature, KeywordFeature
 
@@ -151,11 +152,13 @@ def search(
     text_col: str = "text",
     id_col: str = "doc_id",
     texts: DataFrame | None = None,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
     """Rows whose text matches a regular expression, ignoring case; "ID:n" finds a row by id.
 
     With ``texts``, a table (id, text), the rows need no text of their own: matching ids are found
-    there, and only ids are joined. A number that no id can be finds nothing.
+    there, and only ids are joined. A number that no id can be finds nothing. With the ``index`` of the
+    texts only those that hold the literals of the pattern are searched.
     """
     if not pattern:
         return df
@@ -163,9 +166,9 @@ def search(
     if pattern.startswith(ID_SEARCH) and tail.isdecimal():
         return df.where(F.col(id_col) == int(tail)) if int(tail) <= LARGEST_ID else df.limit(0)
     matches = F.col(text_col).rlike(ignore_case(pattern))
-    if texts is None:
-        return df.where(matches)
-    return df.join(texts.where(matches).select(id_col), id_col, "left_semi")
+    searched = df if texts is None else texts
+    found = searched.where(matches) if index is None else index.search(searched, pattern, lambda t: t.where(matches))
+    return found if texts is None else df.join(found.select(id_col), id_col, "left_semi")
 
 
 def prediction_range(df: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -186,6 +189,7 @@ def filter_chain(
     text_col: str = "text",
     id_col: str = "doc_id",
     texts: DataFrame | None = None,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
     """Tab, score range and search; the search, which is the costly one, comes last.
 
@@ -195,7 +199,7 @@ def filter_chain(
     narrowed = tab_name in TABS or (PREDICTION in df.columns and (low, high) != (0.0, 1.0))
     if texts is not None and pattern and narrowed:
         texts = texts.join(kept.select(id_col), id_col, "left_semi")
-    return search(kept, pattern, text_col, id_col, texts)
+    return search(kept, pattern, text_col, id_col, texts, index)
 
 
 def feature_active(df: DataFrame, *features: str) -> DataFrame:

@@ -109,7 +109,7 @@ class TextIndex:
         return similarities_of(postings, idf, own, list(references), self.keys, self.norms)
 
 
-def in_ranges(column: str, values: Sequence[str], ranges: int = RANGES) -> Column:
+def in_ranges(column: str, values: Sequence, ranges: int = RANGES) -> Column:
     """Whether a column lies in one of some ranges that hold all of the sorted values.
 
     Ranges reach the scan, which skips what lies between them; a list of more than ten values would reach it

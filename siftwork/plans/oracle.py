@@ -11,6 +11,7 @@ from siftwork.plans.queries import (
     FIXED_MODEL,
     ION,
     NEAR,
+    RARE_SEARCH,
     REFERENCE_TEXT,
     SAMPLE_EXTRA_ID,
     SAMPLE_SEED,
@@ -282,6 +283,8 @@ SQL["tab_selected"] = """WITH chosen AS (
     UNION ALL SELECT doc_id * 2 + 1, doc_id FROM labels WHERE quality = 0)
 SELECT pos, doc_id, lang, source FROM chosen JOIN documents USING (doc_id)"""
 SQL["search_regex"] = f"SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '{SEARCH}', 'i')"
+SQL["search_rare"] = f"SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '{RARE_SEARCH}', 'i')"
+SQL["search_without_literals"] = "SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '[aeiou]{4}', 'i')"
 SQL["search_markup"] = (
     "SELECT page_id, url FROM pages WHERE regexp_matches(html, '<title>[^<]*ion', 'i')"
 )

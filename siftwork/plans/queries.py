@@ -11,6 +11,7 @@ from siftwork.functions.text import highlight, keyword_count, tokenize
 from siftwork.operators import classifier, embeddings, explore, features, labels, references, stats
 from siftwork.operators.classifier import FittedModel
 from siftwork.operators.ordering import corpus_ranks
+from siftwork.operators.searchindex import corpus_search_index
 from siftwork.operators.textindex import TextIndex, corpus_index
 from siftwork.operators.tfidf import fit_idf, similarities, stored_counts
 from siftwork.plans.triage import (
@@ -64,6 +65,7 @@ SESSION_SPECS = (
 SESSION_MODEL = FittedModel(("_the", "_like", "_near"), (0.02, 1.5, 0.75), -0.5)
 
 SEARCH = "th(e|in)"
+RARE_SEARCH = "(copy|all) ?right[^.]*reserved|licen[cs]e"
 REFERENCE_TEXT = LIKE_TEXT
 SAMPLE_SEED = 7
 EXAMPLE_ID = 3
@@ -367,7 +369,23 @@ def tab_selected(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def search_regex(spark: SparkSession, folder: str) -> DataFrame:
-    return explore.search(table(spark, folder, "documents"), SEARCH).select("doc_id", "lang")
+    """By the stored search index: of all texts those that hold the literals of the pattern are read."""
+    index = corpus_search_index(spark, f"{folder}/documents.parquet")
+    return explore.search(table(spark, folder, "documents"), SEARCH, index=index).select("doc_id", "lang")
+
+
+@query
+def search_rare(spark: SparkSession, folder: str) -> DataFrame:
+    """Several literals with something between them; most texts lack one of them."""
+    index = corpus_search_index(spark, f"{folder}/documents.parquet")
+    return explore.search(table(spark, folder, "documents"), RARE_SEARCH, index=index).select("doc_id", "lang")
+
+
+@query
+def search_without_literals(spark: SparkSession, folder: str) -> DataFrame:
+    """A pattern that needs no literal is looked for in every text."""
+    index = corpus_search_index(spark, f"{folder}/documents.parquet")
+    return explore.search(table(spark, folder, "documents"), "[aeiou]{4}", index=index).select("doc_id", "lang")
 
 
 @query
