@@ -2,9 +2,10 @@
 
 Words have classes: the most frequent ones and the end of a text a class each, all others one by the hash of
 their last two bytes. The probability of a token is that of its class times that of the word in its class.
-Classes come from a log-linear model over hashed features of the words before: each of the last three alone
-(skips) and the last two together. Words within a class are smoothed relative frequencies, with one share
-for all words never seen, so the probabilities of a class add up to one.
+Classes are factored once more, into groups and their members: two small log-linear models over the same hashed
+features of the words before (each of the last three alone, as skips, and the last two together) give the group
+and the member of the group. Words within a class are smoothed relative frequencies, with one share for all words
+never seen, so the probabilities of a class add up to one.
 
 Counts of all training words are gathered by Spark. Training goes in rounds over disjoint halves of the
 training texts: each task starts from the shared weights and makes gradient updates over its texts, and the
@@ -27,16 +28,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.ship import durable, ship
+from siftwork.llm.ship import cleaned_up, durable, ship
 from siftwork.llm.words import BASE, Words, find_words, mix, slices, word_hashes
 
 HEAD_WORDS = 200_000
 SINGLES = 24
 SUFFIXES = 24
 CLASSES = SINGLES + SUFFIXES
-BUCKET_BITS = 15
-BATCH = 8192
+GROUPS = 8
+MEMBERS = CLASSES // GROUPS
+#: Weights of a bucket: one per group, then one per class, those of a group side by side.
+WEIGHTS = GROUPS + CLASSES
+BUCKET_BITS = 16
+BATCH = 4096
 RATE = 0.1
+#: Texts that are learned from at once, in bytes.
+TRAINING_BYTES = 2 << 20
 ROUNDS = 2
 FEATURES = 4
 END = np.uint64(0x5EED0E4D)
@@ -106,7 +113,7 @@ class Counts:
     ends: int
     hashes: np.ndarray  # of frequent words, sorted
     counts: np.ndarray
-    single: np.ndarray  # their class, or -1 where it goes by the suffix
+    single: np.ndarray  # their class, or -1 where it goes by the suffix (the first of them have one)
     class_tokens: np.ndarray
     class_words: np.ndarray
 
@@ -120,8 +127,8 @@ class Counts:
 @dataclass
 class Model:
     counts: Counts
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((1 << BUCKET_BITS, CLASSES), dtype=np.float32))
-    bias: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES, dtype=np.float32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((1 << BUCKET_BITS, WEIGHTS), dtype=np.float32))
+    bias: np.ndarray = field(default_factory=lambda: np.zeros(WEIGHTS, dtype=np.float32))
 
 
 @dataclass
@@ -137,7 +144,10 @@ class Tokens:
     features: np.ndarray  # one row of buckets per token
 
 
-def tokens_of(texts: pa.Array, counts: Counts) -> Tokens:
+def tokens_of(texts: pa.Array, counts: Counts, singles_only: bool = False) -> Tokens:
+    """Tokens with classes and features; `singles_only` looks up no words but those with a class of their own."""
+    known = counts.single >= 0 if singles_only else slice(None)
+    frequent, own_class = counts.hashes[known], counts.single[known]
     words = find_words(texts, lower=True)
     n = len(words.first) - 1
     stops = words.first[1:]
@@ -146,13 +156,13 @@ def tokens_of(texts: pa.Array, counts: Counts) -> Tokens:
     is_end = np.zeros(len(hashes), dtype=bool)
     is_end[stops + np.arange(n)] = True
     head = np.full(len(hashes), -1, dtype=np.int64)
-    if len(counts.hashes):
-        place = np.minimum(np.searchsorted(counts.hashes, hashes), len(counts.hashes) - 1)
-        head = np.where((counts.hashes[place] == hashes) & ~is_end, place, -1)
+    if len(frequent):
+        place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        head = np.where((frequent[place] == hashes) & ~is_end, place, -1)
     classes = np.zeros(len(hashes), dtype=np.int64)
     classes[~is_end] = suffix_class(words.data, words.start, words.end)
-    if len(counts.hashes):
-        single = np.where(head >= 0, counts.single[head], -1)
+    if len(frequent):
+        single = np.where(head >= 0, own_class[head], -1)
         classes = np.where(single >= 0, single, classes)
     place = np.arange(len(hashes)) - (words.first[:-1] + np.arange(n))[text]
     before = []
@@ -165,74 +175,142 @@ def tokens_of(texts: pa.Array, counts: Counts) -> Tokens:
     return Tokens(words, hashes, text, is_end, head, classes, features)
 
 
+def log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Natural log probabilities, one row per outcome and one column per token; `weights` has a row per outcome."""
+    out = np.empty((len(weights), len(features)), dtype=np.float32)
+    for outcome, own in enumerate(weights):
+        total = own[features[:, 0]]
+        for k in range(1, FEATURES):
+            total = total + own[features[:, k]]
+        out[outcome] = total + bias[outcome]
+    out -= out.max(axis=0)
+    out -= np.log(np.exp(out).sum(axis=0))
+    return out
+
+
+@dataclass
+class Layers:
+    """The weights by outcome: of the groups, and of the members of each group."""
+
+    groups: np.ndarray  # groups x buckets
+    group_bias: np.ndarray
+    members: np.ndarray  # groups x members x buckets
+    member_bias: np.ndarray
+
+    @staticmethod
+    def of(weights: np.ndarray, bias: np.ndarray) -> Layers:
+        by_outcome = np.ascontiguousarray(weights.T)
+        members = by_outcome[GROUPS:].reshape(GROUPS, MEMBERS, -1)
+        return Layers(by_outcome[:GROUPS].copy(), bias[:GROUPS].copy(), members, bias[GROUPS:].reshape(GROUPS, MEMBERS).copy())
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        weights = np.concatenate([self.groups, self.members.reshape(CLASSES, -1)]).T
+        return np.ascontiguousarray(weights), np.concatenate([self.group_bias, self.member_bias.ravel()])
+
+    def log_of(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Log probability of the class of each token."""
+        group, member = classes // MEMBERS, classes % MEMBERS
+        out = log_softmax(self.groups, self.group_bias, features)[group, np.arange(len(classes))]
+        for g in np.unique(group).tolist():
+            at = np.flatnonzero(group == g)
+            inside = log_softmax(self.members[g], self.member_bias[g], features[at])
+            out[at] += inside[member[at], np.arange(len(at))]
+        return out
+
+
 def log_classes(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Natural log probabilities of all classes, one row per token."""
-    out = weights[features[:, 0]]
-    for k in range(1, FEATURES):
-        out += weights[features[:, k]]
-    out += bias
-    out -= out.max(axis=1)[:, None]
-    out -= np.log(np.exp(out).sum(axis=1))[:, None]
-    return out
+    layers = Layers.of(weights, bias)
+    groups = log_softmax(layers.groups, layers.group_bias, features)
+    inside = [log_softmax(layers.members[g], layers.member_bias[g], features) + groups[g] for g in range(GROUPS)]
+    return np.concatenate(inside).T
 
 
-class Learner:
-    """Gradient updates over the texts of one task, from shared weights."""
+class Softmax:
+    """Gradient updates of one small model, outcomes by buckets, in place.
 
-    def __init__(self, model: Model):
-        self.weights, self.bias = model.weights.copy(), model.bias.copy()
-        self.scale = np.full(len(self.weights), 1e-3, dtype=np.float32)
+    Slopes are summed per bucket by counting, over all buckets at once, so a batch needs no sorting and its
+    arrays fit a core's cache.
+    """
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray):
+        self.weights, self.bias = weights, bias
+        self.scale = np.full(weights.shape[1], 1e-3, dtype=np.float32)
         self.bias_scale = np.float32(1e-3)
-        self.met = np.zeros(len(self.weights), dtype=np.int64)
+        self.met = np.zeros(weights.shape[1], dtype=np.int64)
         self.tokens = 0
 
-    def learn(self, features: np.ndarray, classes: np.ndarray) -> None:
-        wrong = np.exp(log_classes(self.weights, self.bias, features))
-        wrong[np.arange(len(classes)), classes] -= 1
+    def learn(self, features: np.ndarray, outcomes: np.ndarray) -> None:
+        wrong = np.exp(log_softmax(self.weights, self.bias, features)).astype(np.float64)
+        wrong[outcomes, np.arange(len(outcomes))] -= 1
         keys = features.T.ravel()
-        order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
-        first = np.flatnonzero(np.diff(ranked, prepend=-1))
-        rows, n = ranked[first], np.diff(np.append(first, len(ranked)))
-        slope = np.add.reduceat(wrong[order % len(classes)], first, axis=0)
-        self.scale[rows] += (slope * slope).mean(axis=1)
-        self.weights[rows] -= np.float32(RATE) * slope / np.sqrt(self.scale[rows])[:, None]
-        total = wrong.sum(axis=0)
+        buckets = self.weights.shape[1]
+        slope = np.empty(self.weights.shape, dtype=np.float32)
+        for outcome, own in enumerate(wrong):
+            slope[outcome] = np.bincount(keys, weights=np.tile(own, FEATURES), minlength=buckets)
+        self.scale += (slope * slope).mean(axis=0)
+        self.weights -= np.float32(RATE) * slope / np.sqrt(self.scale)
+        total = wrong.sum(axis=1).astype(np.float32)
         self.bias_scale += (total * total).mean()
         self.bias -= np.float32(RATE) * total / np.sqrt(self.bias_scale)
-        self.met[rows] += n
-        self.tokens += len(classes)
+        self.met += np.bincount(keys, minlength=buckets)
+        self.tokens += len(outcomes)
+
+
+class Learner:
+    """Gradient updates over the texts of one task, from shared weights."""
+
+    def __init__(self, model: Model):
+        self.layers = layers = Layers.of(model.weights, model.bias)
+        self.groups = Softmax(layers.groups, layers.group_bias)
+        self.members = [Softmax(layers.members[g], layers.member_bias[g]) for g in range(GROUPS)]
+
+    def learn(self, features: np.ndarray, classes: np.ndarray) -> None:
+        """Batches of all tokens for the groups, then of each group's tokens for its members."""
+        group, member = classes // MEMBERS, classes % MEMBERS
+        for a in range(0, len(classes), BATCH):
+            self.groups.learn(features[a : a + BATCH], group[a : a + BATCH])
+        for g, model in enumerate(self.members):
+            at = np.flatnonzero(group == g)
+            for a in range(0, len(at), BATCH):
+                some = at[a : a + BATCH]
+                model.learn(features[some], member[some])
+
+    def learned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets that were met (the bias is -1), how often by each model, and the weights times that."""
+        some = np.flatnonzero(self.groups.met)
+        models = [self.groups, *self.members]
+        met = np.stack([np.append(m.met[some], m.tokens) for m in models], axis=1)
+        weights, bias = self.layers.joined()
+        values = np.vstack([weights[some], bias])
+        times = np.repeat(met, [GROUPS] + [MEMBERS] * GROUPS, axis=1)
+        return np.append(some, -1), met, (values * times).astype(np.float32)
 
 
 def learner_rows(model: Callable[[], Model]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(bucket, met, w): weights after the texts of a task, times how often each was met; the bias is -1."""
+    """(bucket, met, w): weights after the texts of a task, times how often each model met them; the bias is -1."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = model()
         task = Learner(shared)
         for batch in batches:
-            for i, j in slices(batch.column(0)):
-                tokens = tokens_of(batch.column(0).slice(i, j - i), shared.counts)
-                for a in range(0, len(tokens.classes), BATCH):
-                    task.learn(tokens.features[a : a + BATCH], tokens.classes[a : a + BATCH])
-        if task.tokens:
-            some = np.flatnonzero(task.met)
-            met = np.append(task.met[some], task.tokens)
-            values = np.vstack([task.weights[some], task.bias]) * met[:, None].astype(np.float32)
-            flat = pa.array(values.ravel().astype(np.float32))
-            bounds = pa.array(np.arange(len(met) + 1, dtype=np.int32) * CLASSES)
+            for i, j in slices(batch.column(0), TRAINING_BYTES):
+                tokens = tokens_of(batch.column(0).slice(i, j - i), shared.counts, singles_only=True)
+                task.learn(tokens.features, tokens.classes)
+        if task.groups.tokens:
+            bucket, met, values = task.learned()
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.append(some, -1).astype(np.int32)),
-                    pa.array(met),
-                    pa.ListArray.from_arrays(bounds, flat),
-                ],
-                names=["bucket", "met", "w"],
+                [pa.array(bucket.astype(np.int32)), lists(met), lists(values)], names=["bucket", "met", "w"]
             )
 
     return rows
 
 
+def lists(values: np.ndarray) -> pa.Array:
+    bounds = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+    return pa.ListArray.from_arrays(bounds, pa.array(values.ravel()))
+
+
 def train(texts: DataFrame, counts: Counts, key: str = "key", rounds: int = ROUNDS) -> Model:
     """Weights from all texts (key, text): each round takes its share, by a hash of the key."""
     spark = texts.sparkSession
@@ -241,18 +319,24 @@ def train(texts: DataFrame, counts: Counts, key: str = "key", rounds: int = ROUN
         sent = spark.sparkContext.broadcast(model)  # bounded by buckets, classes and frequent words
         share = F.pmod(F.coalesce(F.xxhash64(key), F.lit(0)), F.lit(rounds)) == turn
         learned = texts.where(share).select("text").mapInArrow(
-            learner_rows(lambda: sent.value), "bucket int, met bigint, w array<float>"
+            learner_rows(lambda: sent.value), "bucket int, met array<bigint>, w array<float>"
         )
-        sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(CLASSES)]
-        found = learned.groupBy("bucket").agg(F.sum("met").alias("met"), *sums)
-        means = [(F.col(f"w{i}") / F.col("met")).cast("float") for i in range(CLASSES)]
-        rows = found.select("bucket", F.array(*means).alias("w")).toArrow()
+        part = [0] * GROUPS + [1 + i // MEMBERS for i in range(CLASSES)]  # the model that a weight belongs to
+        met = [F.sum(F.col("met")[i]).alias(f"met{i}") for i in range(1 + GROUPS)]
+        sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(WEIGHTS)]
+        found = learned.groupBy("bucket").agg(*met, *sums)
+        means = [
+            F.when(F.col(f"met{part[i]}") > 0, F.col(f"w{i}") / F.col(f"met{part[i]}")).otherwise(F.lit(float("nan")))
+            for i in range(WEIGHTS)
+        ]
+        with cleaned_up(spark):
+            rows = found.select("bucket", F.array(*[m.cast("float") for m in means]).alias("w")).toArrow()
         bucket = rows.column("bucket").to_numpy()
-        values = rows.column("w").combine_chunks().flatten().to_numpy().reshape(len(bucket), CLASSES)
-        weights, bias = model.weights.copy(), model.bias
-        weights[bucket[bucket >= 0]] = values[bucket >= 0]
-        if (bucket < 0).any():
-            bias = values[bucket < 0][0]
+        values = rows.column("w").combine_chunks().flatten().to_numpy().reshape(len(bucket), WEIGHTS)
+        weights, bias = model.weights.copy(), model.bias.copy()
+        for own, value in ((weights, values[bucket >= 0]), (bias[None, :], values[bucket < 0])):
+            at = bucket[bucket >= 0] if own is weights else np.zeros(len(value), dtype=np.int64)
+            own[at] = np.where(np.isnan(value), own[at], value)
         model = Model(counts, weights, bias)
     return model
 
@@ -328,7 +412,7 @@ def score_rows(model: Callable[[], Model]) -> Callable[[Iterator[pa.RecordBatch]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model()
-        counts = own.counts
+        counts, layers = own.counts, Layers.of(own.weights, own.bias)
         base_share, class_share = counts.base_share(), counts.class_share()
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -337,9 +421,7 @@ def score_rows(model: Callable[[], Model]) -> Callable[[Iterator[pa.RecordBatch]
                 n = j - i
                 chosen = np.empty(len(tokens.classes))
                 for a in range(0, len(chosen), BATCH):
-                    logs = log_classes(own.weights, own.bias, tokens.features[a : a + BATCH])
-                    part = tokens.classes[a : a + BATCH]
-                    chosen[a : a + BATCH] = logs[np.arange(len(part)), part]
+                    chosen[a : a + BATCH] = layers.log_of(tokens.features[a : a + BATCH], tokens.classes[a : a + BATCH])
                 known = tokens.head >= 0
                 count = np.where(known, counts.counts[tokens.head] if len(counts.counts) else 0, 0)
                 count = np.where(tokens.is_end, counts.ends, count)
