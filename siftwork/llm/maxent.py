@@ -42,8 +42,8 @@ WEIGHTS = GROUPS + CLASSES
 BUCKET_BITS = 16
 BATCH = 4096
 RATE = 0.1
-#: Texts that are learned from at once, in bytes.
-TRAINING_BYTES = 2 << 20
+#: Texts that are learned from or scored at once, in bytes; a longer one is taken by itself.
+SLICE_BYTES = 1 << 20
 ROUNDS = 2
 FEATURES = 4
 END = np.uint64(0x5EED0E4D)
@@ -294,7 +294,7 @@ def learner_rows(model: Callable[[], Model]) -> Callable[[Iterator[pa.RecordBatc
         shared = model()
         task = Learner(shared)
         for batch in batches:
-            for i, j in slices(batch.column(0), TRAINING_BYTES):
+            for i, j in slices(batch.column(0), SLICE_BYTES):
                 tokens = tokens_of(batch.column(0).slice(i, j - i), shared.counts, singles_only=True)
                 task.learn(tokens.features, tokens.classes)
         if task.groups.tokens:
@@ -331,6 +331,7 @@ def train(texts: DataFrame, counts: Counts, key: str = "key", rounds: int = ROUN
         ]
         with cleaned_up(spark):
             rows = found.select("bucket", F.array(*[m.cast("float") for m in means]).alias("w")).toArrow()
+        sent.unpersist()  # workers hold what they were sent until then
         bucket = rows.column("bucket").to_numpy()
         values = rows.column("w").combine_chunks().flatten().to_numpy().reshape(len(bucket), WEIGHTS)
         weights, bias = model.weights.copy(), model.bias.copy()
@@ -416,7 +417,7 @@ def score_rows(model: Callable[[], Model]) -> Callable[[Iterator[pa.RecordBatch]
         base_share, class_share = counts.base_share(), counts.class_share()
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for i, j in slices(batch.column(2)):
+            for i, j in slices(batch.column(2), SLICE_BYTES):
                 tokens = tokens_of(batch.column(2).slice(i, j - i), counts)
                 n = j - i
                 chosen = np.empty(len(tokens.classes))
