@@ -44,6 +44,7 @@ BATCH = 4096
 RATE = 0.1
 #: Texts that are learned from or scored at once, in bytes; a longer one is taken by itself.
 SLICE_BYTES = 1 << 20
+SCORED_TOKENS = 1 << 17
 ROUNDS = 2
 FEATURES = 4
 END = np.uint64(0x5EED0E4D)
@@ -421,8 +422,9 @@ def score_rows(model: Callable[[], Model]) -> Callable[[Iterator[pa.RecordBatch]
                 tokens = tokens_of(batch.column(2).slice(i, j - i), counts)
                 n = j - i
                 chosen = np.empty(len(tokens.classes))
-                for a in range(0, len(chosen), BATCH):
-                    chosen[a : a + BATCH] = layers.log_of(tokens.features[a : a + BATCH], tokens.classes[a : a + BATCH])
+                for a in range(0, len(chosen), SCORED_TOKENS):
+                    b = a + SCORED_TOKENS
+                    chosen[a:b] = layers.log_of(tokens.features[a:b], tokens.classes[a:b])
                 known = tokens.head >= 0
                 count = np.where(known, counts.counts[tokens.head] if len(counts.counts) else 0, 0)
                 count = np.where(tokens.is_end, counts.ends, count)

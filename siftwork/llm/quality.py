@@ -68,10 +68,13 @@ RULES = (
 BASE_RULES = ("short", "repeated")
 #: A policy lists the rules that reject a document. Versions stay, so that old decisions can be repeated.
 POLICIES = {
+    0: ("short",),
     1: ("short", "repeated"),
     2: ("short", "repeated", "symbols", "duplicate_lines", "word_length", "letters"),
 }
 CURRENT = 2
+#: For texts that were cut after the current policy had kept them.
+LENGTH = 0
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -9,9 +9,9 @@ import corpus_pipeline
 from siftwork.llm import mix, quality
 from siftwork.llm.catalog import tokenizer_path
 from tests.llm.conftest import SCHEMA, odd_texts
+from tests.llm.test_jaccard import firsts
 from tests.llm.test_lines import by_hand as lines_by_hand
 from tests.llm.test_quality import by_hand as measured
-from tests.llm.test_simhash import groups, print_of
 
 
 def corpus():
@@ -45,13 +45,13 @@ def without_lines(rows):
         if gone.get(d):
             t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
             n = len(t)
-        if re.search(r"[^\x20\x09-\x0D]", t):
+        if re.search(r"[^\x20\x09-\x0D]", t) and measured(t)["n_words"] >= 50:  # the length rule holds for what is left
             out.append((d, t, lang, source, n))
     return out
 
 
 def first_of_groups(rows):
-    label = groups({r[0]: print_of(r[1]) for r in rows})
+    label, _ = firsts({r[0]: r[1] for r in rows})
     return [r for r in rows if label[r[0]] == r[0]]
 
 
