@@ -53,7 +53,9 @@ def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
 def op2_mix(spark: SparkSession, folder: str) -> DataFrame:
     uses = mix.schedule(table(spark, folder, "documents"))
     source = F.when(F.col("source_key") != "", F.expr("substring(source_key, 2)")).alias("source")
-    return uses.select(F.col("key").alias("doc_id"), source, "epoch", "turn", "slot", "release", "deadline", "begin")
+    return uses.select(
+        F.col("key").alias("doc_id"), source, "epoch", "turn", "slot", "release", "deadline", "clock", "begin"
+    )
 
 
 def op3_maxent(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,19 +207,37 @@ placed AS (
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begin
   FROM sums),
 totals AS (
-  SELECT source, sum(cost)::BIGINT AS total, max(begin) // 16384 AS last,
-         floor(sqrt(sum(cost)::DOUBLE * sqrt(sum(cost)::DOUBLE)) * 1000)::BIGINT AS power
-  FROM placed GROUP BY source),
-scaled AS (
-  SELECT *, (1000 - count(*) OVER ()) * power AS s, sum(power) OVER ()::BIGINT AS everything, count(*) OVER () AS n_sources
+  SELECT source, coalesce('=' || source, '') AS k, sum(cost)::BIGINT AS total,
+         floor(sqrt(sum(cost)::DOUBLE * sqrt(sum(cost)::DOUBLE)) * 1000)::HUGEINT AS free
+  FROM sums GROUP BY source),
+powers AS (
+  SELECT source, k, total,
+         greatest(least(free, 4 * total::HUGEINT * (max(free) OVER ()) // (max(total) OVER ())), 1) AS power
   FROM totals),
+weighed AS (SELECT *, sum(power) OVER ()::HUGEINT AS everything FROM powers),
+light AS (
+  SELECT coalesce(sum(power) FILTER (power * 200 < everything), 0)::HUGEINT AS together,
+         min({'power': power, 'k': k}) FILTER (power * 200 >= everything) AS next
+  FROM weighed),
+named AS (
+  SELECT weighed.*, CASE WHEN power * 200 < everything OR (together > 0 AND together * 200 < everything AND k = next.k)
+                         THEN '*' ELSE k END AS entity
+  FROM weighed, light),
+sources AS (
+  SELECT *, sum(power) OVER (PARTITION BY entity)::HUGEINT AS pool,
+         CASE WHEN entity = '*' THEN ('0x' || substr(md5('mix' || k), 1, 8))::BIGINT % least(total, 16384) ELSE 0 END AS phase
+  FROM named),
+pools AS (
+  SELECT entity, any_value(pool) AS pool, any_value(everything) AS everything,
+         max(((total - 1 + phase)::HUGEINT * pool // power) // 16384)::BIGINT AS last
+  FROM sources GROUP BY entity),
 parts AS (
-  SELECT *, s // everything AS part,
-         row_number() OVER (ORDER BY s % everything DESC, coalesce('=' || source, '')) AS place
-  FROM scaled),
+  SELECT *, pool * 1000 // everything AS part,
+         row_number() OVER (ORDER BY pool * 1000 % everything DESC, entity) AS place
+  FROM pools),
 shares AS (
-  SELECT *, (1 + part + (place <= 1000 - n_sources - sum(part) OVER ())::INT)::BIGINT AS share,
-         row_number() OVER (ORDER BY coalesce('=' || source, '')) AS number
+  SELECT *, (part + (place <= 1000 - sum(part) OVER ())::INT)::BIGINT AS share,
+         row_number() OVER (ORDER BY entity) AS number
   FROM parts),
 b AS (SELECT list(share ORDER BY number) AS b FROM shares),
 steps AS (
@@ -232,15 +252,19 @@ one AS (SELECT slot, number, row_number() OVER (PARTITION BY number ORDER BY slo
 finish AS (SELECT max((last // share) * 1000 + slot) AS finish FROM shares JOIN one
            ON one.number = shares.number AND one.turn = last % share),
 used AS (SELECT number, sum((finish - slot + 1000) // 1000)::BIGINT AS used FROM one, finish GROUP BY number),
+facts AS (
+  SELECT sources.*, share, s.number, (used::HUGEINT * 16384 * power - 1) // sources.pool - phase AS upto
+  FROM sources JOIN shares s ON s.entity = sources.entity JOIN used ON used.number = s.number),
 uses AS (
-  SELECT doc_id, placed.source, begin, share, s.number, last + 1 AS n, begin // 16384 AS block,
-         unnest(range(0, (used - 1 - begin // 16384) // (last + 1) + 1)) AS epoch
-  FROM placed JOIN shares s ON placed.source IS NOT DISTINCT FROM s.source JOIN used ON used.number = s.number)
-SELECT doc_id, source, epoch, block + epoch * n AS turn,
-       ((block + epoch * n) // share) * 1000 + slot AS slot,
-       ((block + epoch * n) // share) * 1000 + (one.turn * 1000) // share AS release,
-       ((block + epoch * n) // share) * 1000 + ((one.turn + 1) * 1000 + share - 1) // share AS deadline, begin
-FROM uses JOIN one ON one.number = uses.number AND one.turn = (block + epoch * n) % share
+  SELECT doc_id, f.*, begin, unnest(range(0, ((upto - begin) // total)::BIGINT + 1)) AS epoch
+  FROM placed JOIN facts f ON placed.source IS NOT DISTINCT FROM f.source),
+clocks AS (
+  SELECT *, ((begin + epoch * total + phase)::HUGEINT * pool // power)::BIGINT AS clock, clock // 16384 AS w FROM uses)
+SELECT doc_id, source, epoch, w AS turn,
+       (w // share) * 1000 + slot AS slot,
+       (w // share) * 1000 + (one.turn * 1000) // share AS release,
+       (w // share) * 1000 + ((one.turn + 1) * 1000 + share - 1) // share AS deadline, clock, begin
+FROM clocks JOIN one ON one.number = clocks.number AND one.turn = w % share
 """
 
 OP5 = r"""

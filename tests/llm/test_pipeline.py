@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 from collections import Counter
@@ -6,11 +5,12 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from siftwork.llm import mix, quality
+from siftwork.llm import quality
 from siftwork.llm.catalog import tokenizer_path
 from tests.llm.conftest import SCHEMA, odd_texts
 from tests.llm.test_jaccard import firsts
 from tests.llm.test_lines import by_hand as lines_by_hand
+from tests.llm.test_mix import by_hand as mixed_by_hand
 from tests.llm.test_quality import by_hand as measured
 
 
@@ -56,34 +56,8 @@ def first_of_groups(rows):
 
 
 def in_mixed_order(rows):
-    """Ids in the order of the mix, by running the schedule slot after slot."""
-    queues, power = {}, {}
-    for source in {r[3] for r in rows}:
-        key = "=" + source if source is not None else ""
-        mine = sorted(
-            ((hashlib.md5(f"{mix.SEED}{r[0]}".encode()).hexdigest(), r[0], max(1, r[4])) for r in rows if r[3] == source)
-        )
-        total, blocks = 0, {}
-        for _, d, cost in mine:
-            blocks.setdefault(total // mix.BLOCK, []).append(d)
-            total += cost
-        queues[key] = (max(blocks) + 1, blocks)
-        power[key] = int((float(total) * float(total) ** 0.5) ** 0.5 * 1000)
-    free, everything = mix.SLOTS - len(power), sum(power.values())
-    share = {k: 1 + free * p // everything for k, p in power.items()}
-    left = mix.SLOTS - sum(share.values())
-    for k in sorted(power, key=lambda k: (-(free * power[k] % everything), k))[:left]:
-        share[k] += 1
-    out, used, t, need = [], Counter(), 0, dict.fromkeys(queues, False)
-    while not all(need.values()):
-        ready = [k for k in queues if used[k] * mix.SLOTS // share[k] <= t]
-        k = min(ready, key=lambda k: (-(-(used[k] + 1) * mix.SLOTS // share[k]), k))
-        n, blocks = queues[k]
-        out += blocks.get(used[k] % n, [])
-        used[k] += 1
-        need[k] = need[k] or used[k] >= n
-        t += 1
-    return out
+    """Ids in the order of the mix."""
+    return [r[2] for r in mixed_by_hand([(r[0], r[3], r[4]) for r in rows])]
 
 
 @pytest.fixture(scope="module")
