@@ -112,12 +112,15 @@ def op8_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
-    rows = quality.ledger(table(spark, folder, "documents"))
+    rows = quality.stored_ledger(table(spark, folder, "documents"))
+    report = quality.ablation_report(rows)
     base = F.col("failures").bitwiseAND(F.lit(quality.mask(quality.BASE_RULES))) != 0
-    return rows.select(
+    earlier = [quality.passes(v).alias(f"kept_v{v}") for v in quality.POLICIES if v != quality.CURRENT]
+    return rows.join(F.broadcast(report)).select(  # one row
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "n_lines", "alpha_words", "failures",
         base.alias("base_failed"), quality.passes().alias("kept"),
+        *earlier, quality.only_rule().alias("only_rule"), "ablation",
     )
 
 
@@ -194,8 +197,19 @@ judged AS (
     + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
     + 16 * (word_chars < 2 * n_words OR word_chars > 25 * n_words)::BIGINT
     + 32 * (100 * alpha_words < 60 * n_words)::BIGINT AS failures
-  FROM measured)
-SELECT *, failures & 3 <> 0 AS base_failed, failures = 0 AS kept FROM judged
+  FROM measured),
+rules AS (SELECT unnest(['short', 'repeated', 'symbols', 'duplicate_lines', 'word_length', 'letters']) AS rule,
+                 unnest([1, 2, 4, 8, 16, 32]) AS bit),
+patterns AS (SELECT failures, count(*) AS n FROM judged GROUP BY failures),
+ablated AS (
+  SELECT rule, coalesce(sum(n) FILTER (failures & bit <> 0), 0)::BIGINT AS rejects,
+         coalesce(sum(n) FILTER (failures = bit), 0)::BIGINT AS alone,
+         coalesce(sum(n) FILTER (failures & ~bit = 0), 0)::BIGINT AS without
+  FROM patterns, rules GROUP BY rule)
+SELECT judged.*, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures & 1 = 0 AS kept_v0,
+       failures & 3 = 0 AS kept_v1, (SELECT rule FROM rules WHERE bit = failures) AS only_rule,
+       (SELECT string_agg(rule || ':' || rejects || ':' || alone || ':' || without, ',' ORDER BY rule) FROM ablated) AS ablation
+FROM judged
 """
 
 OP2 = """

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.ship import ship
+from siftwork.llm.ship import durable, ship
 from siftwork.llm.words import (
     Words,
     find_words,
@@ -175,6 +175,11 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return rows.withColumn("failures", failure_bits())
 
 
+def stored_ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger, written once: policies and ablations read it and never a text."""
+    return durable(ledger(docs, key, text), "quality-ledger")
+
+
 def passes(policy: int = CURRENT) -> Column:
     """Whether the failure bits satisfy a version of the policy."""
     return F.col("failures").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
@@ -198,6 +203,19 @@ def ablations(rows: DataFrame, policy: int = CURRENT) -> DataFrame:
     )
 
 
+def only_rule(policy: int = CURRENT) -> Column:
+    """The rule that alone rejects a document under a policy; null if none or several do."""
+    failed = F.col("failures").bitwiseAND(F.lit(mask(POLICIES[policy])))
+    return F.coalesce(*[F.when(failed == mask((name,)), F.lit(name)) for name in POLICIES[policy]])
+
+
+def ablation_report(rows: DataFrame, policy: int = CURRENT) -> DataFrame:
+    """One row, `ablation`: rule:rejects:rejects_alone:kept_without by rule, in the order of names; "" for no rows."""
+    line = F.concat_ws(":", "rule", "rejects", "rejects_alone", "kept_without")
+    found = ablations(rows, policy).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    return found.select(F.array_join("lines", ",").alias("ablation"))
+
+
 def filter_documents(docs: DataFrame, policy: int = CURRENT, text: str = "text") -> DataFrame:
     """The documents that a policy keeps, with the columns they came with.
 

@@ -55,3 +55,18 @@ def test_filter_keeps_rows_whole(odd, empty):
     assert quality.ledger(empty).count() == 0
     twice = odd.union(odd)
     assert quality.filter_documents(twice).count() == 2 * len(good)
+
+
+def test_only_rule_and_report_from_the_stored_ledger(odd, empty):
+    rows = quality.stored_ledger(odd)
+    names = {quality.mask((r.name,)): r.name for r in quality.RULES}
+    got = rows.select("failures", quality.only_rule().alias("only")).collect()
+    assert all(r.only == names.get(r.failures) for r in got) and any(r.only for r in got)
+    lines = []
+    for bit, name in names.items():
+        bits = [r.failures for r in got]
+        counts = sum(bool(b & bit) for b in bits), sum(b == bit for b in bits), sum(b & ~bit == 0 for b in bits)
+        lines.append(":".join(map(str, (name, *counts))))
+    assert quality.ablation_report(rows).first().ablation == ",".join(sorted(lines))
+    nothing = quality.stored_ledger(empty)
+    assert nothing.count() == 0 and quality.ablation_report(nothing).first().ablation == ""
