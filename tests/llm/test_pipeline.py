@@ -8,7 +8,7 @@ import corpus_pipeline
 from siftwork.llm import quality
 from siftwork.llm.catalog import tokenizer_path
 from tests.llm.conftest import SCHEMA, odd_texts
-from tests.llm.test_jaccard import firsts
+from tests.llm.test_jaccard import likeness, set_of
 from tests.llm.test_lines import by_hand as lines_by_hand
 from tests.llm.test_mix import by_hand as mixed_by_hand
 from tests.llm.test_quality import by_hand as measured
@@ -50,9 +50,19 @@ def without_lines(rows):
     return out
 
 
-def first_of_groups(rows):
-    label, _ = firsts({r[0]: r[1] for r in rows})
-    return [r for r in rows if label[r[0]] == r[0]]
+def first_of_groups(rows, before):
+    """Rows that are the first of all groups that they are in, by their texts and those of before."""
+    was = {r[0]: r[1] for r in before}
+    texts = [(r[0], set_of(t)) for r in rows for t in {r[1], was[r[0]]}]
+    group = list(range(len(texts)))
+    for i, (_, a) in enumerate(texts):
+        for j in range(i):
+            if likeness(a, texts[j][1]) >= 0.8:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    low = {g: min(k for (k, _), h in zip(texts, group) if h == g) for g in set(group)}
+    later = {k for (k, _), g in zip(texts, group) if low[g] != k}
+    return [r for r in rows if r[0] not in later]
 
 
 def in_mixed_order(rows):
@@ -76,7 +86,8 @@ def stages(spark, tmp_path_factory):
 def test_filters_by_hand(stages):
     _, rows, out = stages
     want = kept_by_rules(rows)
-    for name, step in (("quality rules", list), ("line dedup", without_lines), ("near dedup", first_of_groups)):
+    near = lambda found: first_of_groups(found, rows)
+    for name, step in (("quality rules", list), ("line dedup", without_lines), ("near dedup", near)):
         want = step(want)
         assert out[name].columns == SCHEMA.replace(",", "").split()[::2]
         assert sorted(tuple(r) for r in out[name].collect()) == sorted(want)
@@ -87,7 +98,7 @@ def test_mix_and_packing_by_hand(stages):
     tokenizers = pytest.importorskip("tokenizers")
     encode = tokenizers.Tokenizer.from_file(tokenizer_path()).encode
     _, rows, out = stages
-    docs = first_of_groups(without_lines(kept_by_rules(rows)))
+    docs = first_of_groups(without_lines(kept_by_rules(rows)), rows)
     order = in_mixed_order(docs)
     assert Counter(r.doc_id for r in out["mix sources"].collect()) == Counter(order)
     assert set(order) == {r[0] for r in docs}
