@@ -4,14 +4,17 @@ The first pass writes each document's ids with its offset inside its partition.
 partitions' token totals then give every document a global offset, and the second pass cuts it wherever a
 window ends. Only partition totals, one row per partition, are gathered; texts are never shuffled.
 
-Documents follow each other as they are scanned, or, where the caller names a file column and a row column,
-in the order of file names and of rows in each file.
+Documents follow each other as they are scanned, or, where the caller names columns of file, split and row,
+in the order of file names and of rows in each file. A task may hold splits of a file that do not touch.
 
-A null or empty text is one end token. Repeated rows are packed once each. The input may have any columns.
+A null or empty text is one end token. Repeated rows are packed once each. An empty table gives no pieces. A
+text with its ids is handled whole in one task. The input may have any columns; those of `order` hold no nulls.
+Tokenizers that do not look at each word alone get whole texts, so ids are those of the given file.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.ship import packed, ship
+from siftwork.llm.ship import durable, packed, ship
 from siftwork.llm.words import LOWER, buffer, find_words, slices, span_hashes
 
 LENGTH = 4096
@@ -36,6 +39,31 @@ PIECES = (
 #: Words of lower-case letters that one normaliser pass leaves as they are and one split keeps whole.
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 SPECIAL = b"<|"
+#: Totals of stretches up to this number of rows are sent to all executors, more are joined by shuffle.
+STRETCHES = 100_000
+#: The settings of a tokenizer under which ids can be looked up word by word.
+WORD_BY_WORD = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 def byte_alphabet() -> dict[int, int]:
@@ -44,10 +72,20 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
+def word_by_word(path: str) -> bool:
+    """Whether a tokenizer is known to look at each white-space separated word alone."""
+    with open(path, encoding="utf-8") as file:
+        settings = json.load(file)
+    plain = settings["model"].get("type") == "BPE" and not settings["model"].get("dropout")
+    marked = all(token["content"].startswith(SPECIAL.decode()) for token in settings.get("added_tokens", []))
+    return plain and marked and all(settings.get(name) == value for name, value in WORD_BY_WORD.items())
+
+
 class Encoder:
-    """Ids of texts by a tokenizer that looks at each white-space separated word alone.
+    """Ids of texts by a tokenizer file.
 
-    Words that were seen before are looked up. The cache is bounded and only saves time.
+    Where it looks at each white-space separated word alone, words that were seen before are looked up. The cache is
+    bounded and only saves time. Other tokenizers are given whole texts.
     """
 
     def __init__(self, path: str):
@@ -55,6 +93,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_word = word_by_word(path)
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -71,8 +112,8 @@ class Encoder:
 
     def texts(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each text."""
-        words = find_words(array)
-        if SPECIAL in words.data.tobytes():  # strings of special tokens: as the tokenizer sees them
+        words = find_words(array) if self.by_word else None
+        if words is None or SPECIAL in words.data.tobytes():  # strings of special tokens: as the tokenizer sees them
             parts = [self.tokenizer.encode(t or "", add_special_tokens=False).ids for t in array.to_pylist()]
             flat = [i for part in parts for i in part]
             return np.array(flat, dtype=self.kind), np.array([len(p) for p in parts], dtype=np.int64)
@@ -124,13 +165,13 @@ def encoder(path: str) -> Encoder:
 
 
 def token_rows(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of STORED for the (doc_id, text, file, row) of a partition.
+    """Rows of STORED for the (doc_id, text, file, split, row) of a partition.
 
-    `at` counts the ids ahead in the same partition and file; `lead` is the first row of that stretch.
+    `at` counts the ids ahead in the same split of a file; `lead` is the first row of that stretch.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, file, lead, total = encoder(path), None, 0, 0
+        work, stretch, lead, total = encoder(path), None, 0, 0
         for batch in batches:
             for i, j in slices(batch.column(1)):
                 ids, counts = work.texts(batch.column(1).slice(i, j - i))
@@ -142,10 +183,10 @@ def token_rows(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     pa.large_binary(), len(counts), [None, bounds, pa.py_buffer(ids.tobytes())]
                 )
                 leads, ats = [], []
-                places = zip(batch.column(2).slice(i, j - i).to_pylist(), batch.column(3).slice(i, j - i).to_pylist())
-                for (name, row), n in zip(places, counts.tolist()):
-                    if name != file:
-                        file, lead, total = name, row, 0
+                places = zip(*[batch.column(c).slice(i, j - i).to_pylist() for c in (2, 3, 4)])
+                for (file, split, row), n in zip(places, counts.tolist()):
+                    if (file, split) != stretch:
+                        stretch, lead, total = (file, split), row, 0
                     leads.append(lead)
                     ats.append(total)
                     total += n
@@ -207,16 +248,23 @@ def token_table(
     end: int = END,
     key: str = "doc_id",
     text: str = "text",
-    order: tuple[str, str] | None = None,
+    order: tuple[str, str, str] | None = None,
 ) -> DataFrame:
     """Ids of each document, written once, with offsets inside each stretch of rows.
 
-    `order` names a file column and a row column. Without it each scanned partition is a stretch.
+    `order` names columns of the file, the start of the split in it, and the row. Without it each scanned partition
+    is a stretch.
     """
     ship(docs.sparkSession)
-    place = [F.lit("").alias("file"), F.spark_partition_id().cast("long").alias("row")]
+    part = F.spark_partition_id().cast("long")
+    place = [F.lit("").alias("file"), F.lit(0).cast("long").alias("split"), part.alias("row")]
     if order:
-        place = [F.col(order[0]).cast("string").alias("file"), F.col(order[1]).cast("long").alias("row")]
+        file, split, row = order
+        place = [
+            F.col(file).cast("string").alias("file"),
+            F.col(split).cast("long").alias("split"),
+            F.col(row).cast("long").alias("row"),
+        ]
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *place)
     return packed(rows.mapInArrow(token_rows(tokenizer, end), STORED), "tokens")
 
@@ -224,13 +272,14 @@ def token_table(
 def pieces(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     """Pieces of the stored documents in windows of `length`; the last window may be shorter.
 
-    The broadcast table has one row per partition and file of the first pass, which the driver schedules
-    anyway.
+    Totals have one row per split of the first pass, which the driver schedules anyway. Up to STRETCHES of them are
+    sent to all executors, so that ids stay where they are; beyond, they meet by shuffle.
     """
     totals = tokens.groupBy("file", "lead").agg(F.sum("n").alias("total"))
     ahead = Window.orderBy("file", "lead").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("file", "lead", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base"))
-    placed = tokens.join(F.broadcast(base), ["file", "lead"])
+    base = durable(base, "stretches")
+    placed = tokens.join(F.broadcast(base) if base.count() <= STRETCHES else base, ["file", "lead"])
     placed = placed.select((F.col("base") + F.col("at")).alias("offset"), "doc_id", "n", "ids")
     return placed.mapInArrow(cut_rows(length), PIECES)
 
@@ -246,7 +295,7 @@ def padded(cut: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, length: int = LENGTH, order: tuple[str, str] | None = None
+    docs: DataFrame, tokenizer: str, length: int = LENGTH, order: tuple[str, str, str] | None = None
 ) -> DataFrame:
     """All documents as pieces of windows."""
     return pieces(token_table(docs, tokenizer, order=order), length)

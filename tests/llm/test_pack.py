@@ -59,3 +59,40 @@ def test_cached_words_equal_the_tokenizer(tokenizer):
     ids, counts = pack.Encoder(tokenizer_path()).texts(pa.array(texts))
     want = tokenizer.encode(texts[0], add_special_tokens=False).ids
     assert ids.tolist() == want * 2 and counts.tolist() == [len(want)] * 2
+
+
+def test_other_tokenizers_get_whole_texts(odd_rows):
+    tokenizers = pytest.importorskip("tokenizers")
+    import pyarrow as pa
+
+    other = tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k")
+    encode = tokenizers.Tokenizer.from_file(other).encode
+    texts = [t for _, t, *_ in odd_rows]
+    ids, counts = pack.Encoder(other).texts(pa.array(texts))
+    want = [encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert pack.word_by_word(tokenizer_path()) and not pack.word_by_word(other)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_order_over_splits_of_a_file_that_do_not_touch(spark, monkeypatch, most):
+    """One task holds the first and the third split of a file, another the second; rows keep the file's order."""
+    monkeypatch.setattr(pack, "STRETCHES", most)
+    rows = [(i, f"word {i}", f, s, r) for i, (f, s, r) in enumerate((f, s, 3 * s + k) for f in "ab" for s in range(3) for k in range(3))]
+    one = [r for r in rows if (r[2], r[3]) != ("a", 1)]
+    schema = "doc_id bigint, text string, file string, split bigint, row bigint"
+    docs = spark.createDataFrame(one, schema).coalesce(1).union(spark.createDataFrame(rows[3:6], schema).coalesce(1))
+    found = pack.pack(docs, tokenizer_path(), 16, order=("file", "split", "row")).collect()
+    found.sort(key=lambda r: (r.sequence_id, r.offset))
+    assert list(dict.fromkeys(r.doc_id for r in found)) == list(range(18))
+
+
+def test_a_text_over_four_megabytes(spark, tokenizer):
+    text = "tide lamp quay " * 300_000
+    docs = spark.createDataFrame([(1, text), (2, "end")], "doc_id bigint, text string")
+    found = sorted(pack.pack(docs, tokenizer_path()).collect(), key=lambda r: (r.doc_id, r.start))
+    want = tokenizer.encode("tide lamp quay", add_special_tokens=False).ids * 300_000 + [2]
+    assert len(want) == found[0].doc_tokens and sum(r.length for r in found if r.doc_id == 1) == len(want)
+    for r in found:
+        if r.doc_id == 1:
+            assert r.ids_crc32 == crc(want[r.start : r.start + r.length])
