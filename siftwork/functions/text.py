@@ -22,6 +22,7 @@ NEGATIVE_CLASS = "blue"
 
 # Two or more letters, digits or underscores of any script.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+BETWEEN_TOKENS = r"[^\p{L}\p{N}_]+"
 
 
 def _col(value: ColumnLike) -> Column:
@@ -93,6 +94,11 @@ def words(text: ColumnLike) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def spaced_words(text: ColumnLike) -> Column:
+    """The lower-case text with one space for all that is no word character; words of one character stay."""
+    return F.regexp_replace(F.lower(_col(text)), F.lit(BETWEEN_TOKENS), F.lit(" "))
+
+
 def tokenize(text: ColumnLike, stop_words: Sequence[str] = ENGLISH) -> Column:
     """The words of the text without stop words, in text order."""
     found = words(text)

@@ -2,12 +2,12 @@
 
 The corpus is tokenised when it is indexed and never again. The index keeps
 
-- postings (id, term, tf) in the order of terms, so that a similarity reads only those of its references'
-  terms: files, row groups and pages of other terms are skipped by their statistics;
+- postings in blocks (term, ids and tf) in the order of terms, so that a similarity reads only those of its
+  references' terms: files, row groups and pages of other terms are skipped by their statistics;
 - the document frequency of each term, by part, and the idf over all parts;
 - the length of each text's vector.
 
-Postings are dealt out by ranges of (term, hash of the id), so a term that a third of all texts hold fills
+Blocks are dealt out by ranges of (term, hash of the first id), so a term that a third of all texts hold fills
 several files instead of one task.
 
 A corpus grows by parts. Indexing more rows tokenises only these and adds their document frequencies to those
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions.stopwords import ENGLISH
 from siftwork.operators.tfidf import (
+    HELD,
     IdfTable,
     document_frequencies,
     keys_of,
@@ -37,6 +38,7 @@ from siftwork.operators.tfidf import (
     similarities_of,
     smooth_idf,
     stored_counts,
+    taken_apart,
 )
 from siftwork.sources.durable import shared_folder
 from siftwork.sources.manifest import File, files_digest, files_of
@@ -74,10 +76,15 @@ class TextIndex:
     def idf(self) -> IdfTable:
         return IdfTable(self.terms, self.n_docs, self.stop_words)
 
+    @property
+    def blocks(self) -> DataFrame:
+        """(term, ids and tf) of all parts."""
+        return self.spark.read.parquet(*[f"{self.path}/postings-{part}" for part in self.parts])
+
     @property
     def postings(self) -> DataFrame:
         """(id, term, tf) of all parts."""
-        return self.spark.read.parquet(*[f"{self.path}/postings-{part}" for part in self.parts])
+        return taken_apart(self.blocks).select(*self.keys, "term", "tf")
 
     @property
     def norms(self) -> DataFrame:
@@ -89,7 +96,7 @@ class TextIndex:
 
         Postings meet the idf by term and the stored lengths by id; nothing is summed again.
         """
-        weights = raw_weights(self.postings, self.idf, self.keys)
+        weights = raw_weights(self.blocks, self.idf, self.keys)
         return weights.join(self.norms, list(self.keys)).select(
             *self.keys, "term", (F.col("raw") / F.col("norm")).alias("x")
         )
@@ -101,12 +108,12 @@ class TextIndex:
         """
         own = reference_counts(self.spark, references, self.stop_words, self.text_col)
         found = own.select("term").distinct().limit(LOOKUP_TERMS + 1).collect()
-        terms, postings = self.terms, self.postings
+        terms, blocks = self.terms, self.blocks
         if len(found) <= LOOKUP_TERMS:
             wanted = in_ranges("term", sorted(r.term for r in found))
-            terms, postings = terms.where(wanted), postings.where(wanted)
+            terms, blocks = terms.where(wanted), blocks.where(wanted)
         idf = IdfTable(terms, self.n_docs, self.stop_words)
-        return similarities_of(postings, idf, own, list(references), self.keys, self.norms)
+        return similarities_of(blocks, idf, own, list(references), self.keys, self.norms)
 
 
 def in_ranges(column: str, values: Sequence, ranges: int = RANGES) -> Column:
@@ -142,9 +149,11 @@ def extend_index(index: TextIndex, corpus: DataFrame, files: Sequence[File] = ()
     """A further version that covers more rows, whose ids are not in the index yet."""
     spark, part, version = index.spark, uuid4().hex, uuid4().hex
     counts = stored_counts(corpus, index.keys, index.text_col, index.stop_words)
-    ordered = counts.repartitionByRange("term", F.xxhash64(*index.keys)).sortWithinPartitions("term")
+    ordered = counts.repartitionByRange("term", F.xxhash64(F.get(HELD, F.lit(0)))).sortWithinPartitions("term")
     ordered.write.parquet(f"{index.path}/postings-{part}")
-    document_frequencies(counts).write.parquet(f"{index.path}/df-{part}")
+    # a term lies in few of the ordered files, so few partial sums are shuffled
+    ordered = spark.read.parquet(f"{index.path}/postings-{part}")
+    document_frequencies(ordered).write.parquet(f"{index.path}/df-{part}")
     parts = (*index.parts, part)
     n_docs = index.n_docs + corpus.count()
     grown = TextIndex(
@@ -155,7 +164,7 @@ def extend_index(index: TextIndex, corpus: DataFrame, files: Sequence[File] = ()
     summed = summed.withColumn("idf", smooth_idf(F.col("df"), F.lit(float(n_docs))))
     summed.sortWithinPartitions("term").write.parquet(f"{index.path}/terms-{version}")
     raw = F.col("raw")
-    lengths = raw_weights(grown.postings, grown.idf, grown.keys).groupBy(*grown.keys)
+    lengths = raw_weights(grown.blocks, grown.idf, grown.keys).groupBy(*grown.keys)
     lengths.agg(F.sqrt(F.sum(raw * raw)).alias("norm")).write.parquet(f"{index.path}/norms-{version}")
     entry = (
         time.time(), version, list(grown.keys), grown.text_col, list(grown.stop_words), n_docs, list(parts), list(files)

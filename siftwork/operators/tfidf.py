@@ -1,22 +1,27 @@
 """TF-IDF: stored term counts, fitted idf tables, vectors, and cosine similarity to reference texts.
 
-A corpus is tokenised once: its term counts are made inside each row, without a shuffle, and stored as
-a narrow table (id, term, tf). Document frequencies, text norms, vectors and every similarity read that
-table. Joins by term have one row per term on the other side and carry no hint: Spark broadcasts a side
-that turns out small and splits the postings of a frequent term otherwise.
+A corpus is tokenised once: the terms of some rows at a time are counted without a shuffle and stored in
+blocks, one row per term with the ids and counts of the texts that hold it. Document frequencies, text norms,
+vectors and every similarity read these. Blocks meet other tables by term and are taken apart behind the join,
+so a term is shuffled once per block and not once per text. Joins by term have one row per term on the other
+side and carry no hint: Spark broadcasts a side that turns out small and splits a frequent term otherwise.
+Every function takes blocks or rows (id, term, tf).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from siftwork.functions.stopwords import ENGLISH
-from siftwork.functions.text import words
+from siftwork.functions.text import spaced_words
 from siftwork.sources.durable import durable
 
 
@@ -33,13 +38,22 @@ def keys_of(id_col: str | Sequence[str]) -> list[str]:
     return [id_col] if isinstance(id_col, str) else list(id_col)
 
 
-def _without_stop_words(rows: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    return rows.where(~F.col("term").isin(list(stop_words))) if stop_words else rows
+#: The column of blocks that has the ids and counts of a term, and the bytes of text that make blocks at a time.
+HELD = "_held"
+BLOCK_BYTES = 1 << 24
+
+
+def taken_apart(counts: DataFrame) -> DataFrame:
+    """Blocks as rows (id, tf, and the columns beside them); rows stay as they are."""
+    if HELD not in counts.columns:
+        return counts
+    return counts.select(*[c for c in counts.columns if c != HELD], F.inline(HELD))
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
     """Rows (term, df): in how many texts each term occurs, counted on the map side first."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    texts = F.size(HELD).cast("long") if HELD in counts.columns else F.lit(1).cast("long")
+    return counts.groupBy("term").agg(F.sum(texts).alias("df"))
 
 
 def smooth_idf(df: Column, n_docs: Column) -> Column:
@@ -57,43 +71,71 @@ def fit_idf(
     ``counts`` are the stored term counts of this corpus, if there are any.
     """
     if counts is None:
-        counts = term_counts(corpus.select(F.lit(0).alias("_row"), text_col), "_row", text_col, stop_words)
+        counts = term_blocks(corpus.select(F.lit(0).alias("_row"), text_col), "_row", text_col, stop_words)
     n_docs = corpus.count()
     idf = smooth_idf(F.col("df"), F.lit(float(n_docs)))
     terms = durable(document_frequencies(counts).withColumn("idf", idf), "idf")
     return IdfTable(terms, n_docs, tuple(stop_words))
 
 
-def term_counts(
+def _blocks(stop_words: Sequence[str], size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(term, ids and counts) of (ids, words of a text with spaces between them)."""
+    stopped, held = list(stop_words), HELD
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stops = pa.array(stopped, pa.string())
+        for batch in batches:
+            *keys, texts = batch.columns
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(texts):
+                done = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+                split = pc.split_pattern(texts.slice(at, to - at), " ")
+                coded = split.flatten().dictionary_encode()
+                terms, codes = coded.dictionary, coded.indices.to_numpy()
+                fine = pc.and_(pc.greater_equal(pc.utf8_length(terms), 2), pc.invert(pc.is_in(terms, value_set=stops)))
+                fine = fine.to_numpy(zero_copy_only=False)[codes]
+                owner = pc.list_parent_indices(split).to_numpy()[fine].astype(np.int64)
+                entries, tf = np.unique(codes[fine].astype(np.int64) * (to - at) + owner, return_counts=True)
+                code, owner = np.divmod(entries, to - at)
+                first = np.flatnonzero(np.diff(code, prepend=-1))
+                places = pa.array(owner + at)
+                parts = [*[k.take(places) for k in keys], pa.array(tf.astype(np.int32))]
+                texts_of = pa.StructArray.from_arrays(parts, names=[*batch.schema.names[:-1], "tf"])
+                bounds = pa.array(np.append(first, len(code)).astype(np.int32))
+                columns = [terms.take(pa.array(code[first])), pa.ListArray.from_arrays(bounds, texts_of)]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", held])
+                at = to
+
+    return rows
+
+
+def term_blocks(
     corpus: DataFrame,
     id_col: str | Sequence[str] = "doc_id",
     text_col: str = "text",
     stop_words: Sequence[str] = ENGLISH,
 ) -> DataFrame:
-    """Rows (id, term, tf), one per distinct term of a text, made within the row.
+    """Rows (term, ids and tf of texts that hold it), one per distinct term of some rows of the corpus.
 
-    The sorted words of a text form one run per term; the run lengths are the counts.
+    Blocks are made of texts of some BLOCK_BYTES, cut between rows.
     """
-    keys = keys_of(id_col)
-    ordered = corpus.select(*keys, F.sort_array(words(text_col)).alias("_words"))
-    size = F.size("_words")
-    positions = F.when(size > 0, F.sequence(F.lit(0), size - 1))
-    runs = ordered.select(
-        *keys,
-        "_words",
-        F.filter(
-            positions,
-            lambda i: (i == 0) | (F.get("_words", i) != F.get("_words", i - 1)),
-        ).alias("_starts"),
-    )
-    entries = F.transform(
-        "_starts",
-        lambda start, i: F.struct(
-            F.get("_words", start).alias("term"),
-            (F.coalesce(F.get("_starts", i + 1), size) - start).alias("tf"),
-        ),
-    )
-    return _without_stop_words(runs.select(*keys, F.inline(entries)), stop_words)
+    given = corpus.select(*keys_of(id_col), spaced_words(text_col).alias("_words"))
+    entry = StructType([*given.schema.fields[:-1], StructField("tf", IntegerType())])
+    schema = StructType([StructField("term", StringType()), StructField(HELD, ArrayType(entry))])
+    return given.mapInArrow(_blocks(stop_words, BLOCK_BYTES), schema)
+
+
+def term_counts(
+    corpus: DataFrame,
+    id_col: str | Sequence[str] = "doc_id",
+    text_col: str = "text",
+    stop_words: Sequence[str] = ENGLISH,
+) -> DataFrame:
+    """Rows (id, term, tf), one per distinct term of a text."""
+    blocks = term_blocks(corpus, id_col, text_col, stop_words)
+    return taken_apart(blocks).select(*keys_of(id_col), "term", "tf")
 
 
 def stored_counts(
@@ -102,14 +144,15 @@ def stored_counts(
     text_col: str = "text",
     stop_words: Sequence[str] = ENGLISH,
 ) -> DataFrame:
-    """The term counts of a corpus as a stored table: the only time its texts are tokenised."""
-    return durable(term_counts(corpus, id_col, text_col, stop_words), "term-counts")
+    """The term counts of a corpus as stored blocks: the only time its texts are tokenised."""
+    return durable(term_blocks(corpus, id_col, text_col, stop_words), "term-counts")
 
 
 def raw_weights(counts: DataFrame, idf: IdfTable, id_col: str | Sequence[str] = "doc_id") -> DataFrame:
     """Rows (id, term, raw) of tf x idf; terms that the idf doesn't know are left out."""
     raw = (F.col("tf") * F.col("idf")).alias("raw")
-    return counts.join(idf.terms.select("term", "idf"), "term").select(*keys_of(id_col), "term", raw)
+    met = taken_apart(counts.join(idf.terms.select("term", "idf"), "term"))
+    return met.select(*keys_of(id_col), "term", raw)
 
 
 def vectors(
@@ -184,7 +227,7 @@ def text_norms(
 ) -> DataFrame:
     """Rows (id, norm): the length of each text's vector, stored.
 
-    The one join of all postings with the idf table. Squares are summed per text before they are
+    The one join of all counts with the idf table. Squares are summed per text before they are
     shuffled. Every similarity feature over the same corpus and idf reuses the norms.
     """
     raw = F.col("raw")
@@ -224,7 +267,7 @@ def similarities_of(
     weights = pulled.join(idf.terms.select("term", "idf"), "term")
     weights = weights.select("term", *[(F.col("idf") * F.col(c)).alias(c) for c in columns.values()])
     products = [F.sum(F.col("tf") * F.col(c)).alias(c) for c in columns.values()]
-    totals = counts.join(weights, "term").groupBy(*keys).agg(*products)
+    totals = taken_apart(counts.join(weights, "term")).groupBy(*keys).agg(*products)
     found = [
         (F.coalesce(F.col(c), F.lit(0.0)) / F.col("norm")).alias(name) for name, c in columns.items()
     ]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork.functions.stopwords import ENGLISH
+from siftwork.functions.text import words
 from siftwork.operators import references, tfidf
 from siftwork.operators.features import featurize
 from siftwork.specs import TfidfFeature
@@ -125,3 +126,24 @@ def test_an_entry_that_names_no_row_fails(spark, yard, entry):
     entries = tfidf.text_list(spark, [entry], "entry")
     with pytest.raises(Exception, match="no row with id"):
         references.resolve_entries(entries, yard).collect()
+
+
+def test_a_stored_term_is_one_row_for_many_texts(yard):
+    """Blocks meet other tables by term, so a frequent term is not shuffled once per text."""
+    counts = tfidf.stored_counts(yard)
+    terms = [r.term for r in counts.collect()]
+    assert len(terms) == len(set(terms)) and "ladder" in terms
+    assert {r.term for r in tfidf.term_counts(yard).collect()} == set(terms)
+
+
+@pytest.mark.parametrize("size", [1, 1 << 24])
+def test_blocks_count_the_words_of_odd_texts(spark, monkeypatch, size):
+    monkeypatch.setattr(tfidf, "BLOCK_BYTES", size)
+    odd = ["été \U0001d4d0\U0001d4d1 \U0001d4d0 x_ _ 12 1", "", None, "İI ßß ΣΣ", "a\tbb\n\nbb", "a bb"]
+    texts = [(i % 5, t) for i, t in enumerate(odd)] + [(None, "bb")]
+    rows = spark.createDataFrame(texts, "doc_id int, text string").coalesce(1)
+    want = Counter()
+    for r in rows.select("doc_id", words("text").alias("w")).collect():
+        want.update([(r.doc_id, w, n) for w, n in Counter(r.w or []).items()])
+    got = Counter((r.doc_id, r.term, r.tf) for r in tfidf.term_counts(rows, stop_words=()).collect())
+    assert got == want and (0, "bb", 1) in got and (4, "bb", 2) in got
