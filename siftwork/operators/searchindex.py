@@ -22,6 +22,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,9 @@ from siftwork.operators.textindex import in_ranges
 from siftwork.sources.durable import new_path, shared_folder
 from siftwork.sources.manifest import files_digest, files_of, remembered
 
-#: Rows of a segment; places within it fit 16 bits.
+#: Rows of a segment, whose places fit 16 bits, and the bytes of text in it: a worker holds one segment at a time.
 SEGMENT_ROWS = 1 << 14
+SEGMENT_BYTES = 1 << 23
 #: Alternatives that the literals of a pattern may have before it counts as one that needs none.
 ALTERNATIVES = 32
 #: Up to so many candidates their ids are given to the scan of the texts as ranges.
@@ -199,7 +201,7 @@ def needed(pattern: str) -> list[list[int]] | None:
 # Building
 
 
-def segment_rows(build: str, rows_each: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def segment_rows(build: str, rows_each: int, bytes_each: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(segment, trigram, places, ids) of (id, text): one row per segment and trigram, and one with the ids."""
     marker = IDS
 
@@ -207,23 +209,27 @@ def segment_rows(build: str, rows_each: int) -> Callable[[Iterator[pa.RecordBatc
         same = str.maketrans("İıſK", "iisk")
         number, part = 0, TaskContext.get().partitionId()
         for whole in batches:
-            for at in range(0, whole.num_rows, rows_each):
-                batch = whole.slice(at, rows_each)
-                held, places = [], []
-                for place, text in enumerate(batch.column(1).to_pylist()):
-                    raw = np.frombuffer((text or "").translate(same).lower().encode("utf-8", "replace"), dtype=np.uint8)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = to = 0
+            while to < whole.num_rows:
+                at, full = to, (ends[to - 1] if to else 0) + bytes_each
+                to = min(at + rows_each, max(at + 1, int(np.searchsorted(ends, full, side="right"))))
+                batch = whole.slice(at, to - at)
+                held = [np.empty(0, np.int64)]  # trigram and place in one number
+                for place, text in enumerate(batch.column(1)):
+                    raw = (text.as_py() or "").translate(same).lower().encode("utf-8", "replace")
+                    raw = np.frombuffer(raw, dtype=np.uint8)
                     if len(raw) < 3:
                         continue
                     plain = (raw >= 32) & (raw < 127)
                     codes = raw.astype(np.int32)
                     codes = (codes[:-2] << 16 | codes[1:-1] << 8 | codes[2:])[plain[:-2] & plain[1:-1] & plain[2:]]
-                    codes = np.unique(codes)
-                    held.append(codes)
-                    places.append(np.full(len(codes), place, dtype=np.int32))
-                codes = np.concatenate([np.empty(0, np.int32), *held])
-                place = np.concatenate([np.empty(0, np.int32), *places])
-                order = np.argsort(codes, kind="stable")
-                codes, place = codes[order], place[order].astype("<u2")
+                    held.append(np.unique(codes).astype(np.int64) << 16 | place)
+                both = np.concatenate(held)
+                del held
+                both.sort()
+                codes, place = (both >> 16).astype(np.int32), (both & 0xFFFF).astype("<u2")
+                del both
                 first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, int)
                 packed = []
                 width = (batch.num_rows + 7) // 8
@@ -332,7 +338,7 @@ def build_search_index(
     rows = corpus.select(id_col, F.col(text_col).cast("string").alias("text"))
     kind = rows.schema[id_col].dataType.simpleString()
     schema = f"segment string, trigram int, places binary, ids array<{kind}>"
-    made = rows.mapInArrow(segment_rows(uuid4().hex[:12], SEGMENT_ROWS), schema)
+    made = rows.mapInArrow(segment_rows(uuid4().hex[:12], SEGMENT_ROWS, SEGMENT_BYTES), schema)
     made.write.parquet(f"{path}/parts")
     parts = spark.read.parquet(f"{path}/parts")
     postings = parts.where(F.col("trigram") != IDS).select("segment", "trigram", "places")

@@ -2,7 +2,9 @@
 
 import random
 import re
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from siftwork.operators import explore, searchindex
@@ -107,3 +109,15 @@ def test_the_index_of_a_stored_table_is_kept(spark, rows, tmp_path):
     assert searchindex.corpus_search_index(spark, place, folder=folder) == first
     rows.limit(1).write.mode("append").parquet(place)
     assert searchindex.corpus_search_index(spark, place, folder=folder) != first
+
+
+def test_segments_end_by_the_bytes_of_their_texts(monkeypatch):
+    """A worker holds the trigrams of so much text, however long the texts are."""
+    texts = ["ab" * n + f" rare{n}" for n in (40, 3, 60, 200, 1)] + [None, "", "tail"]
+    monkeypatch.setattr(searchindex, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["id", "text"])
+    rows = list(searchindex.segment_rows("b", 3, 100)(iter([batch])))
+    segments = [r.column(3)[-1].as_py() for r in rows]
+    assert segments == [[0, 1], [2], [3], [4, 5, 6], [7]]
+    rare = {code for row in rows for code in row.column(1).to_pylist()}
+    assert searchindex.trigrams("rare200") <= rare
