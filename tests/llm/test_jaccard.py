@@ -128,3 +128,20 @@ def test_empty_and_keyless(spark, empty, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = corpus_pipeline.near_dedup(spark, docs, folder_of(docs, tmp_path))
     assert [r.doc_id for r in kept.collect()].count(None) == 2
+
+
+def test_fingerprints_name_the_first_pairs(spark, monkeypatch):
+    """Near copies meet by their fingerprints; likenesses decide, and the rest is found by shingles."""
+    texts = varied()
+    want, links = firsts(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    named, original = [], jaccard.verified
+
+    def noticed(pairs, *more):
+        found = original(pairs, *more)
+        named.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "verified", noticed)
+    assert {r.doc_id: r.component_id for r in jaccard.classes(docs).collect()} == want
+    assert len(named) == 3 and named[0] > 20
