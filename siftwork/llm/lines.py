@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.ship import durable, packed
+from siftwork.llm.ship import drop, durable, packed
 
 EDITS = 2
 BYTES_PER_EDIT = 20
@@ -208,6 +208,7 @@ def links(docs: DataFrame, firsts: DataFrame, key: str = "doc_id", text: str = "
     limit = F.expr(allowed("least(length(x), length(y))")).alias("limit")
     # stored ahead of the condition, which would otherwise be pushed down and repeat the whole expression
     measured = durable(found.select("a", "b", "first_a", "first_b", "distance", limit), "line-distances")
+    drop(distinct, pairs, told)
     return measured.where("distance <= limit").select("a", "b", "first_a", "first_b").distinct()
 
 

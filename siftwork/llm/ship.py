@@ -7,13 +7,13 @@ import tempfile
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.sources import durable as tables
 from siftwork.sources.durable import new_path, shared_folder
 
-__all__ = ["durable", "new_path", "packed", "shared_folder", "ship"]
+__all__ = ["drop", "durable", "new_path", "packed", "shared_folder", "ship"]
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -50,16 +50,29 @@ def cleaned_up(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Compute a table once, keep it in the shared folder and read it from there."""
-    with cleaned_up(df.sparkSession):
-        return tables.durable(df, name)
+#: The folders of tables that were stored here, as long as their DataFrames live.
+_stored: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def packed(df: DataFrame, name: str) -> DataFrame:
-    """Like durable, in a denser format, for tables that carry texts."""
+def durable(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Compute a table once, keep it in the shared folder and read it from there."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with cleaned_up(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[out] = path
+    return out
+
+
+def packed(df: DataFrame, name: str) -> DataFrame:
+    """Like durable, in a denser format, for tables that carry texts."""
+    return durable(df, name, compression="zstd")
+
+
+def drop(*stored: DataFrame) -> None:
+    """Delete tables that durable or packed returned, once all that was made of them is stored itself."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop(df))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

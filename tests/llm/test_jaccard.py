@@ -1,9 +1,11 @@
+import os
 import random
 
 import numpy as np
 
 import corpus_pipeline
-from siftwork.llm import jaccard
+from siftwork.llm import jaccard, lines
+from siftwork.llm.ship import drop, durable, shared_folder
 from tests.llm.conftest import SCHEMA
 
 
@@ -145,3 +147,41 @@ def test_fingerprints_name_the_first_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "verified", noticed)
     assert {r.doc_id: r.component_id for r in jaccard.classes(docs).collect()} == want
     assert len(named) == 3 and named[0] > 20
+
+
+def stored(spark):
+    """Folders of tables in the shared folder."""
+    return set(os.listdir(shared_folder(spark).removeprefix("file://")))
+
+
+def test_tables_go_once_they_are_used(spark, tmp_path, monkeypatch):
+    """Texts and sets do not stay behind either stage, nor the first shingles beside those that are shared."""
+    passage = " ".join(f"w{i}" for i in range(80))
+    texts = [passage + "\n" + " ".join(f"u{i}x{j}" for j in range(9 + i)) for i in range(9)] + [passage + " end", passage]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    folder, beside = folder_of(docs, tmp_path), {}
+    before = stored(spark)
+
+    def noticed(df, name):
+        beside.setdefault(name, []).append({x[:-33] for x in stored(spark) - before})
+        return durable(df, name)
+
+    monkeypatch.setattr(jaccard, "durable", noticed)
+    kept = corpus_pipeline.near_dedup(spark, docs, folder)
+    left = {x[:-33] for x in stored(spark) - before}
+    assert left <= {"cut-keys", "shingle-fingerprints", "shingle-groups", "labels"}
+    assert len(beside["shingle-links"]) == 3
+    assert all(not x & {"shingle-prints", "shingle-sets", "shingles-met"} for x in beside["shingle-links"][1:])
+    label, _ = firsts(dict(enumerate(texts)))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.values()))
+    before = stored(spark)
+    cut = lines.dedup_lines(docs)
+    assert {x[:-33] for x in stored(spark) - before} == {"lines", "first-lines", "line-distances"}
+    assert cut.count() == 10  # line by line the last text is a copy
+
+
+def test_drop_deletes_the_table_alone(spark):
+    one, two = (durable(spark.range(5), name) for name in ("one", "two"))
+    was = stored(spark)
+    drop(one)
+    assert {x[:-33] for x in was - stored(spark)} == {"one"} and two.count() == 5
