@@ -26,12 +26,13 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), SEPARATORS, -1), lambda w: w != "")
 
 
+def short(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(2147483647)).cast("int").alias("hash")
+
+
 def anchors(words: Column) -> Column:
     """array<struct<at, hash>> of a column of word lists: place of the first word, 31-bit hash."""
 
-    def short(h: Column) -> Column:
-        return h.bitwiseAND(F.lit(2147483647)).cast("int").alias("hash")
-
     def pick(s: Column, i: Column) -> Column:
         edge = F.least(s[i], s[i + 3]) < F.least(s[i + 1], s[i + 2])
         return F.when(edge, F.struct(i.alias("at"), short(F.xxhash64(s[i], s[i + 2], s[i + 3]))))
@@ -54,14 +55,33 @@ def anchors(words: Column) -> Column:
     return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), found)[0]
 
 
-def sketch(found: Column, size: int = SKETCH) -> Column:
-    """The smallest distinct hashes of anchors."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, size)
+def with_sketches(rows: DataFrame, names: dict[str, str], size: int = SKETCH) -> DataFrame:
+    """Sketches of text columns in place of them: the smallest distinct hashes of their anchors.
+
+    The same hashes as those of `anchors`, without their places. Each step is a column of its own, which Spark hands on as
+    a packed array of numbers; as one nested expression, all steps of a text are lists of objects at the same time.
+    """
+    texts, others = list(names), [c for c in rows.columns if c not in names]
 
+    def step(frame: DataFrame, *made: Column) -> DataFrame:
+        return frame.select(*others, *made)
+
+    def chosen(s: str) -> Column:
+        p, at = F.col(s), F.sequence(F.lit(0), F.size(s) - 4)
+        edge = lambda i: F.least(p[i], p[i + 3]) < F.least(p[i + 1], p[i + 2])
+        found = F.transform(F.filter(at, edge), lambda i: short(F.xxhash64(p[i], p[i + 2], p[i + 3])))
+        return F.when(F.size(s) >= 4, F.sort_array(F.array_distinct(found)))
+
+    def neighbours(h: str) -> Column:
+        ahead = F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0)))
+        return F.zip_with(ahead, F.slice(h, F.lit(2), F.size(h)), lambda a, b: F.xxhash64(a, b))
 
-def fingerprint(text: Column) -> Column:
-    """The sketch of a text. The word list is named once inside the expression, and never leaves it."""
-    return F.transform(F.array(word_list(text)), lambda w: sketch(anchors(w)))[0]
+    out = step(rows, *[F.transform(word_list(F.col(t)), lambda w: F.xxhash64(w)).alias(t) for t in texts])
+    whole = [short(F.xxhash64(t)).alias(f"{t} whole") for t in texts]
+    out = step(out, *whole, *[neighbours(t).alias(t) for t in texts])
+    out = step(out, *[F.col(f"`{t} whole`") for t in texts], *[chosen(t).alias(t) for t in texts])
+    lowest = [F.when(F.size(t) > 0, F.slice(t, 1, size)).otherwise(F.array(F.col(f"`{t} whole`"))) for t in texts]
+    return step(out, *[c.alias(names[t]) for c, t in zip(lowest, texts)])
 
 
 def as_text(sketched: str) -> Column:
@@ -129,14 +149,14 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     quarter = F.floor(F.length("text") / 4).cast("int")
     kept = F.substring("text", F.lit(1), F.length("text") - quarter)
     both = both.withColumn("edited", F.concat(kept, F.substring("lead", F.lit(1), quarter)))
-    sketched = both.select(
+    both = both.select(
         "key",
         "next",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("sketch"),
-        fingerprint(F.col("edited")).alias("edited_sketch"),
+        "text",
+        "edited",
     )
-    sketched = durable(sketched, "sketches")
+    sketched = durable(with_sketches(both, {"text": "sketch", "edited": "edited_sketch"}), "sketches")
     after = sketched.groupBy(F.col("key").alias("next")).agg(F.min("sketch").alias("next_sketch"))
     return sketched.join(after, "next")

@@ -88,3 +88,13 @@ def test_one_row_empty_table_and_equal_ids(spark, empty):
     assert syncmers.edited_pairs(empty).count() == 0
     same = one.union(one).union(spark.createDataFrame([(None, "x")], "doc_id bigint, text string"))
     assert syncmers.edited_pairs(same).count() == 2
+
+
+def test_sketches_are_the_smallest_hashes_of_the_anchors(spark, odd_rows):
+    texts = [r[1] for r in odd_rows] + ["a b c d e", "a a a a a a a a", "a b c d"]
+    want = {r.i: sorted({x["hash"] for x in r.a})[:64] for r in with_anchors(spark, texts).collect()}
+    frame = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "i int, text string, `b` string")
+    rows = syncmers.with_sketches(frame, {"text": "s", "b": "z"})
+    assert {r.i: list(r.s) for r in rows.collect()} == want == {r.i: list(r.z) for r in rows.collect()}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project") >= 4  # the steps stay apart; as one expression they are lists of objects at once
