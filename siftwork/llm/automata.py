@@ -33,6 +33,7 @@ WINDOW = 20
 ANCHOR = 8
 HOT = 10_000
 SHARD_WORDS = 100_000
+SECOND_LETTERS = 256
 RUNS = "run binary, doc_id bigint, mark bigint, starts array<int>, n_words int, parts int, words binary"
 SEGMENTS = (
     "shard int, run binary, at int, windows int, n bigint, first_doc bigint, first_start int, words binary"
@@ -46,12 +47,12 @@ def segments(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n <= 0:
         return (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0, dtype=np.int64),)
     grams = gram_hashes(word_hashes(words), ANCHOR)
-    best, place = grams[:n].copy(), np.arange(n)
-    for j in range(1, WINDOW - ANCHOR + 1):
-        other = grams[j : j + n]
-        lower = other < best
-        best[lower] = other[lower]
-        place[lower] = np.flatnonzero(lower) + j
+    best, place, width = grams, np.arange(len(grams)), 1  # the first smallest gram of `width` neighbours
+    while width < WINDOW - ANCHOR + 1:
+        step = min(width, WINDOW - ANCHOR + 1 - width)
+        lower = best[step:] < best[:-step]
+        place = np.where(lower, place[step:], place[:-step])
+        best, width = np.minimum(best[step:], best[:-step]), width + step
     text = words.text_of_word()
     at = np.flatnonzero(text[:n] == text[WINDOW - 1 :])
     if not len(at):
@@ -192,84 +193,98 @@ def letter(number: int) -> str:
     return chr(number if number < 0xD800 else number + 0x800)
 
 
+class Letters(dict):
+    """Two letters for each word of a shard, given when it is first asked for.
+
+    A node of an automaton looks through its children one by one, so an alphabet of all words would make the
+    root slow. First and second letters differ, so no match begins or ends inside a word.
+    """
+
+    def __missing__(self, word: bytes) -> str:
+        high, low = divmod(len(self), SECOND_LETTERS)
+        self[word] = out = letter(1 + SECOND_LETTERS + high) + letter(1 + low)
+        return out
+
+
 def locate(shard: pa.Table) -> pa.Table:
     """Rows of COVERS for the segments of one shard.
 
-    Words are letters of the shard's own alphabet, so a window is a string of 20. Equal segments are
+    Words are pairs of letters of the shard's own alphabet, so a window is a string of 40. Equal segments are
     streamed once, at their first place. Windows that occur once are left out of the automaton; what it
     finds are all occurrences of all others.
     """
     import ahocorasick
 
     numbers = shard.column("n").to_pylist()
-    docs, runs = shard.column("first_doc").to_pylist(), shard.column("run").to_pylist()
-    starts, ats = shard.column("first_start").to_pylist(), shard.column("at").to_pylist()
-    # the place of each segment's first word; a null document comes before all others
-    places = [(d is not None, d or 0, s + a) for d, s, a in zip(docs, starts, ats)]
+    docs = shard.column("first_doc").to_pylist()
+    starts = pc.add(shard.column("first_start").cast(pa.int64()), shard.column("at").cast(pa.int64())).to_pylist()
+    # the place of each segment's first word as one number; a null document comes before all others
+    places = [s if d is None else ((d + (1 << 63) + 1) << 32) + s for d, s in zip(docs, starts)]
     rows_of: dict[bytes, list[int]] = {}
     for k, raw in enumerate(shard.column("words").to_pylist()):
-        rows_of.setdefault(raw, []).append(k)
-    alphabet: dict[bytes, str] = {}
-    texts = []
-    for raw in rows_of:
-        for word in (found := raw.split(b" ")):
-            if word not in alphabet:
-                alphabet[word] = letter(len(alphabet) + 1)
-        texts.append("".join([alphabet[word] for word in found]))
+        if raw in rows_of:
+            rows_of[raw].append(k)
+        else:
+            rows_of[raw] = [k]
+    alphabet = Letters()
+    texts = ["".join([alphabet[word] for word in raw.split(b" ")]) for raw in rows_of]
     del alphabet
     groups = list(rows_of.values())
-    seen: dict[str, int] = {}
+    seen: dict[str, bool] = {}  # whether a window occurs twice or more
     for text, rows in zip(texts, groups):
-        n = sum([numbers[k] for k in rows])
-        for i in range(len(text) - WINDOW + 1):
-            window = text[i : i + WINDOW]
-            seen[window] = seen.get(window, 0) + n
+        again = len(rows) > 1 or numbers[rows[0]] > 1
+        for end in range(2 * WINDOW, len(text) + 1, 2):
+            window = text[end - 2 * WINDOW : end]
+            seen[window] = again or window in seen
     automaton = ahocorasick.Automaton()
     total = 0
-    for window, n in seen.items():
-        if n > 1:
+    for window, again in seen.items():
+        if again:
             automaton.add_word(window, total)
             total += 1
     del seen
-    out: tuple[list, ...] = ([], [], [], [], [], [])
+    taken, begins, stops, kinds = [], [], [], []
 
-    def cover(k: int, begin: int, stop: int, always: bool) -> None:
-        for column, value in zip(out, (runs[k], docs[k], starts[k], ats[k] + begin, ats[k] + stop, always)):
-            column.append(value)
+    def cover(k: int, ranges: list[tuple[int, int]], always: bool) -> None:
+        for begin, stop in ranges:
+            taken.append(k)
+            begins.append(begin)
+            stops.append(stop)
+            kinds.append(always)
 
     if total:
         automaton.make_automaton()
         first: list = [None] * total
         hits = []
-        heads = [min(rows, key=places.__getitem__) for rows in groups]
+        heads = [rows[0] if len(rows) == 1 else min(rows, key=places.__getitem__) for rows in groups]
         for text, head in zip(texts, heads):
-            found = [(end - WINDOW + 1, phrase) for end, phrase in automaton.iter(text)]
-            hits.append(found)
-            has, doc, base = places[head]
-            for begin, phrase in found:
-                own = (has, doc, base + begin)
-                if first[phrase] is None or own < first[phrase]:
-                    first[phrase] = own
+            hits.append(found := [(end >> 1, phrase) for end, phrase in automaton.iter(text)])
+            base = places[head] - WINDOW + 1
+            for end, phrase in found:
+                if (now := first[phrase]) is None or base + end < now:
+                    first[phrase] = base + end
         for found, rows, head in zip(hits, groups, heads):
             if not found:
                 continue
-            has, doc, base = places[head]
-            every = stretches([begin for begin, _ in found])
-            late = {begin for begin, phrase in found if first[phrase] != (has, doc, base + begin)}
-            early = stretches([begin for begin, _ in found if begin not in late])
+            place = places[head]
+            base = place - WINDOW + 1
+            late = stretches([end - WINDOW + 1 for end, phrase in found if first[phrase] != base + end])
+            every = stretches([end - WINDOW + 1 for end, _ in found]) if len(rows) > 1 else []
+            early = None
             for k in rows:
-                if places[k] != places[head]:  # behind the first place of an equal segment
-                    for begin, stop in every:
-                        cover(k, begin, stop, True)
+                if places[k] != place:  # behind the first place of an equal segment
+                    cover(k, every, True)
                     continue
-                for begin, stop in stretches(sorted(late)):
-                    cover(k, begin, stop, True)
+                cover(k, late, True)
                 if numbers[k] > 1:
-                    for begin, stop in early:
-                        cover(k, begin, stop, False)
-    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-    names = [part.split()[0] for part in COVERS.split(", ")]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                    if early is None:
+                        early = stretches([end - WINDOW + 1 for end, phrase in found if first[phrase] == base + end])
+                    cover(k, early, False)
+    rows = pa.array(taken, pa.int64())
+    ats = shard.column("at").take(rows)
+    columns = [shard.column(name).take(rows) for name in ("run", "first_doc", "first_start")]
+    columns += [pc.add(ats, pa.array(x, pa.int32())) for x in (begins, stops)]
+    return pa.Table.from_arrays([*columns, pa.array(kinds, pa.bool_())], names=[part.split()[0] for part in COVERS.split(", ")])
 
 
 def stretches(numbers: list[int]) -> list[tuple[int, int]]:

@@ -69,3 +69,11 @@ def test_null_and_repeated_ids(spark):
     assert result(spark.createDataFrame(rows, "doc_id bigint, text string")) == by_hand(rows)
     same = [(1, text), (1, text), (1, "other " * 3)]
     assert [r[2] for r in result(spark.createDataFrame(same, "doc_id bigint, text string"))] == [0, 0, 0]
+
+
+def test_automata_have_few_first_and_second_letters():
+    letters = automata.Letters()
+    pairs = [letters[b"w%d" % i] for i in range(automata.SHARD_WORDS)]
+    assert len(set(pairs)) == len(pairs) and {len(p) for p in pairs} == {2}
+    first, second = ({p[i] for p in pairs} for i in (0, 1))
+    assert not first & second and max(len(first), len(second)) < 400
