@@ -126,3 +126,9 @@ def test_empty_documents(spark, tmp_path):
 
 def test_policy_is_the_current_one():
     assert set(quality.POLICIES[quality.CURRENT]) == {r.name for r in quality.RULES}
+
+
+def test_line_dedup_runs_no_python(spark, stages):
+    folder, _, out = stages
+    plan = corpus_pipeline.line_dedup(spark, out["quality rules"], folder)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan

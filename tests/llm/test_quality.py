@@ -70,3 +70,13 @@ def test_only_rule_and_report_from_the_stored_ledger(odd, empty):
     assert quality.ablation_report(rows).first().ablation == ",".join(sorted(lines))
     nothing = quality.stored_ledger(empty)
     assert nothing.count() == 0 and quality.ablation_report(nothing).first().ablation == ""
+
+
+def test_length_needs_no_python(odd, odd_rows, empty):
+    kept = quality.filter_by_length(odd.union(odd))
+    assert kept.columns == odd.columns and "Python" not in kept._jdf.queryExecution().toString()
+    long = sorted(2 * [r[0] for r in odd_rows if by_hand(r[1])["n_words"] >= 50])
+    assert sorted(r.doc_id for r in kept.collect()) == long and long
+    assert quality.filter_by_length(empty).count() == 0
+    for row in odd.select("text", quality.word_count("text").alias("n")).collect():
+        assert row.n == by_hand(row.text)["n_words"]
