@@ -2,6 +2,7 @@ import os
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftwork.llm import jaccard, lines
@@ -185,3 +186,78 @@ def test_drop_deletes_the_table_alone(spark):
     was = stored(spark)
     drop(one)
     assert {x[:-33] for x in was - stored(spark)} == {"one"} and two.count() == 5
+
+
+def test_parities_bound_what_sets_share(spark):
+    """No linked pair is lost, whatever the sizes, and long sets that share half are told apart."""
+    rng = np.random.default_rng(4)
+    pool = rng.integers(-(2**63), 2**63 - 1, 40000)
+    sizes = [0, 1, 2, 30, 37, 300, 360, 511, 513, 640, 4000, 4097, 5000]
+    sets = [np.sort(pool[:n]) for n in sizes] + [np.sort(pool[n // 10 : n + n // 10]) for n in sizes]
+    sets += [np.sort(pool[n // 2 : n // 2 + n]) for n in sizes]
+    bounds = np.cumsum([0] + [len(s) for s in sets])
+    odd, starts = jaccard.parities(np.concatenate(sets), bounds)
+    rows = [(i, len(s), odd[a:b].tolist()) for i, (s, a, b) in enumerate(zip(sets, starts[:-1], starts[1:]))]
+    table = spark.createDataFrame(rows, "node bigint, n int, odd array<bigint>")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(len(sets))], "a bigint, b bigint")
+    found = jaccard.ends(pairs, table).where(jaccard.linked(F.least("n_a", "n_b")))
+    left = {(r.a, r.b): r.most for r in found.withColumn("most", jaccard.sharable_by_parity()).collect()}
+    linked, kept = 0, 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            share = len(np.intersect1d(x, y))
+            if 9 * share >= 4 * (len(x) + len(y)):
+                linked += 1
+                assert left[i, j] >= share
+            elif (i, j) in left and min(len(x), len(y)) >= 300 and share < 0.8 * len(x):
+                assert left[i, j] >= share and 9 * left[i, j] < 4 * (len(x) + len(y))
+                kept += 1
+    assert linked > 100 and kept > 10
+
+
+def test_unlike_long_texts_are_not_compared_whole(spark, monkeypatch):
+    """Of long texts that share a passage, and so counts in each range, no text is taken up again."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(5000)]
+    texts = {i: " ".join(passage + [word() for _ in range(3000)]) for i in range(6)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    taken, original = [], jaccard.packed
+
+    def noticed(df, name):
+        out = original(df, name)
+        taken.append((name, out.count()))
+        return out
+
+    counted = []
+
+    def stored_too(df, name):
+        out = durable(df, name)
+        counted.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "packed", noticed)
+    monkeypatch.setattr(jaccard, "durable", stored_too)
+    assert {r.doc_id: r.component_id for r in jaccard.classes(docs).collect()} == {i: i for i in texts}
+    assert max(n for name, n in counted if name == "shingle-pairs") > 0  # by counts they might be alike
+    assert taken == [("shingle-texts", 0)] * 3
+
+
+def test_whole_sets_move_in_turns(spark, monkeypatch):
+    """A turn has few pairs however many there are; the groups stay those of brute force."""
+    texts = varied()
+    want, _ = firsts(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    before, turns = stored(spark), []
+
+    def noticed(df, name):
+        out = durable(df, name)
+        if name == "shingle-turn":
+            turns.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "durable", noticed)
+    monkeypatch.setattr(jaccard, "AT_ONCE", 1)
+    assert {r.doc_id: r.component_id for r in jaccard.classes(docs).collect()} == want
+    assert len(turns) >= 2 and sum(turns) > 40 and max(turns) <= 0.8 * sum(turns)
+    assert not any(x.startswith("shingle-t") for x in stored(spark) - before)
